@@ -20,6 +20,7 @@ def local_session(cpus: str = "8", app: str = "accordant", shuffle: int = 8) ->
         .config("spark.driver.host", "localhost")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
