@@ -47,14 +47,14 @@ def distributed_rank(
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
     )
     inside = Window.partitionBy(*group, "_bucket").orderBy(hex_col)
-    ranked = bucketed.withColumn("_pos", F.row_number().over(inside))
+    ranked = bucketed.withColumn("_in_bucket", F.row_number().over(inside))
     cond = F.col("_bucket") == F.col("_b")
     for g in group:
         cond = cond & F.col(g).eqNullSafe(F.col(f"_k_{g}"))
     return (
         ranked.join(offsets, cond)
-        .withColumn(out, (F.col("_offset") + F.col("_pos")).cast("bigint"))
-        .drop("_bucket", "_b", "_offset", "_pos", *[f"_k_{g}" for g in group])
+        .withColumn(out, (F.col("_offset") + F.col("_in_bucket")).cast("bigint"))
+        .drop("_bucket", "_b", "_offset", "_in_bucket", *[f"_k_{g}" for g in group])
     )
 
 

@@ -87,7 +87,13 @@ def pair_sums(
     entities holding both items."""
     keys = list(keys)
     index = item_index(cells, item, max_items)
-    packed = pack_rows(cells, index, keys, entity, item, value).drop(entity)
+    sums = packed_sums(pack_rows(cells, index, keys, entity, item, value), keys)
+    return name_pairs(sums, index, item) if named else sums
+
+
+def packed_sums(packed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The six sums per (keys, i < j) from packed rows."""
+    keys = list(keys)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[tuple, np.ndarray] = {}
@@ -128,14 +134,11 @@ def pair_sums(
             yield from _emit(keys, kv, types, sums)
 
     key_ddl = "".join(
-        f"`{k}` {cells.schema[k].dataType.simpleString()}, " for k in keys
+        f"`{k}` {packed.schema[k].dataType.simpleString()}, " for k in keys
     )
     ddl = key_ddl + "i int, j int, " + ", ".join(f"{s} double" for s in _STATS)
     partials = packed.select(*keys, "idx", "val").mapInArrow(partial, ddl)
-    sums = partials.groupBy(*keys, "i", "j").agg(*[F.sum(s).alias(s) for s in _STATS])
-    if not named:
-        return sums
-    return name_pairs(sums, index, item)
+    return partials.groupBy(*keys, "i", "j").agg(*[F.sum(s).alias(s) for s in _STATS])
 
 
 def name_pairs(sums: DataFrame, index: DataFrame, item: str = "item_id") -> DataFrame:
