@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that decide what a sentence does with its subject.
 NEGATION = (
@@ -40,7 +41,7 @@ def normalise(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(lowered, "[^a-z0-9 ]+", " "), r"\s+", " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_accents(s: pd.Series) -> pd.Series:
     """NFKD with the combining marks dropped."""
     return s.map(

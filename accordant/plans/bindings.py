@@ -97,6 +97,14 @@ BINDINGS: dict[str, str] = {
         SELECT r.r_name AS set_id, s.s_suppkey AS film_id
         FROM {supplier} s JOIN {nation} n ON s.s_nationkey = n.n_nationkey
         JOIN {region} r ON n.n_regionkey = r.r_regionkey""",
+    "propositions": r"""
+        SELECT doc_id AS prop_id, source AS film_id, lang AS scorer,
+               regexp_extract(split_part(text, chr(10), 1), '^(([^ ]+ +){{0,15}}[^ ]+)', 1) AS text
+        FROM {documents}""",
+    "evidence": """
+        SELECT cast((doc_id - doc_id % 5) / 5 AS bigint) AS film_id, CASE doc_id % 5 WHEN 0 THEN 'plot' WHEN 1 THEN 'themes' WHEN 2 THEN 'reception'
+               WHEN 3 THEN 'subtitles' ELSE 'other' END AS layer, text AS content
+        FROM {documents}""",
     "cues": """
         SELECT conv_id AS film_id, turn AS pos, turn * 30000 AS start_ms, text FROM {conversations}""",
 }
