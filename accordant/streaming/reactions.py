@@ -70,7 +70,9 @@ def run_agreed_films(votes: DataFrame, members: DataFrame, root: str, checkpoint
         batch.write.mode("overwrite").parquet(f"{root}/votes/epoch={epoch}")
         log = session.read.parquet(f"{root}/votes").filter(F.col("epoch") <= epoch).drop("epoch")
         touched = batch.select("session_id").distinct()
-        live = log.join(touched, "session_id", "left_semi").dropDuplicates(["session_id", "user_id", "film_id"])
+        first = F.min_by(F.struct("reaction", "submitted_at"), F.struct("submitted_at", "event_id"))
+        live = log.join(touched, "session_id", "left_semi").groupBy("session_id", "user_id", "film_id").agg(
+            first.alias("v")).select("session_id", "user_id", "film_id", "v.*")
         agreed_films(live, members).write.mode("overwrite").parquet(f"{root}/agreed/epoch={epoch}")
 
     return (
