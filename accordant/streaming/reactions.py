@@ -55,15 +55,16 @@ def read_current(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(spark.read.text(f"{root}/current").first()[0])
 
 
-def first_votes(votes: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The first vote of each (session, user, film); a repeat inside the watermark is dropped,
-    a late first vote still counts."""
-    return votes.withWatermark("submitted_at", delay).dropDuplicatesWithinWatermark(["session_id", "user_id", "film_id"])
+def delivered_once(votes: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Votes with re-deliveries of the same event dropped; a vote that is late but inside
+    the watermark still counts."""
+    return votes.withWatermark("submitted_at", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def run_agreed_films(votes: DataFrame, members: DataFrame, root: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
     """Votes go to a log by batch; the agreed films of the sessions a batch touches are
-    worked out again from the log and written per batch."""
+    worked out again from the log, the first vote of each person and film counting, and
+    written per batch."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
@@ -76,7 +77,7 @@ def run_agreed_films(votes: DataFrame, members: DataFrame, root: str, checkpoint
         agreed_films(live, members).write.mode("overwrite").parquet(f"{root}/agreed/epoch={epoch}")
 
     return (
-        first_votes(votes, delay).writeStream.outputMode("append").foreachBatch(write)
+        delivered_once(votes, delay).writeStream.outputMode("append").foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
