@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accordant.session import cut_lineage
+
 MAX_STRENGTH = 2.0
 MIN_FILMS_PER_ITEM = 3
 MIN_DISAGREEMENT = 0.05
@@ -71,7 +73,9 @@ def response_cells(
     Cells that average to exactly zero stay as rows here; they are silent for
     every estimator, which tests the value against ``ZERO``.
     """
-    cells = cell_means(verdicts, *keys, "film_id", "item_id")
+    # the means are far fewer than the verdicts and are needed twice here and again by
+    # every estimator, so the verdicts are read once
+    cells = cut_lineage(cell_means(verdicts, *keys, "film_id", "item_id"))
     kept = contested_items(cells, *keys, min_films=min_films, min_disagreement=min_disagreement)
     return cells.join(kept.select(*keys, "item_id"), [*keys, "item_id"], "left_semi").select(
         *keys, "film_id", "item_id", (F.col("value") / MAX_STRENGTH).alias("value")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordant.operators.cells import ZERO
+from accordant.session import cut_lineage
 
 MAX_ITEMS = 4096
 MIN_PAIR_OVERLAP = 8
@@ -31,9 +32,10 @@ def item_index(cells: DataFrame, item: str = "item_id", max_items: int = MAX_ITE
     idx = F.row_number().over(Window.orderBy(item)) - 1
     numbered = cells.select(item).distinct().withColumn("_idx", idx)
     guard = F.raise_error(F.lit(f"more than {max_items} items: cut the item set first"))
-    return numbered.withColumn(
+    # at most max_items rows, joined several times by every caller
+    return cut_lineage(numbered.withColumn(
         "_idx", F.when(F.col("_idx") < max_items, F.col("_idx")).otherwise(guard.cast("int"))
-    )
+    ))
 
 
 def pack_rows(

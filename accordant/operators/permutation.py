@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from accordant.functions.hashing import hash_hex
 from accordant.operators import pairs as P
+from accordant.session import cut_lineage
 
 
 def label_permutations(assignments: DataFrame, n: int, seed: str) -> DataFrame:
@@ -51,13 +52,13 @@ def co_engagement_test(cells: DataFrame, assignments: DataFrame, n: int = 1000,
     """
     packets = cells.join(F.broadcast(assignments.select("item_id")), "item_id").withColumn(
         "packet", F.struct("film_id", "variant")).withColumn("one", F.lit(1.0))
-    counts = P.pair_sums(packets, (), "packet", "item_id", "one").select("item_i", "item_j", "n")
-    labels = label_permutations(assignments, n, seed)
+    counts = cut_lineage(P.pair_sums(packets, (), "packet", "item_id", "one").select("item_i", "item_j", "n"))
+    labels = cut_lineage(label_permutations(assignments, n, seed))
     side = lambda s: labels.select("rep", F.col("item_id").alias(f"item_{s}"), F.col("dim_id").alias(f"d_{s}"))
     # labels hold n replicates of the guarded item bank
     stat = counts.join(F.broadcast(side("i")), "item_i").join(F.broadcast(side("j")), ["rep", "item_j"]).groupBy("rep").agg(
         (F.sum(F.when(F.col("d_i") == F.col("d_j"), F.col("n")).otherwise(0)) / F.sum("n")).alias("stat"))
-    return null_summary(stat)
+    return null_summary(cut_lineage(stat))
 
 
 def coherence_test(
@@ -97,7 +98,7 @@ def coherence_test(
 
     stat = packed.mapInArrow(partial, "rep int, t double, c bigint").groupBy("rep").agg(
         F.when(F.sum("c") > 0, F.sum("t") / F.sum("c")).otherwise(0.0).alias("stat"))
-    return null_summary(stat)
+    return null_summary(cut_lineage(stat))
 
 
 def fit_coverage(assignments: DataFrame, floor: float = 0.4) -> DataFrame:
@@ -121,7 +122,7 @@ def validation_battery(
     main = passes.filter(F.col("pass_name") == "main").select("item_id", "dim_id", "polarity", "fit")
     other = passes.filter(F.col("pass_name") != "main").select("item_id", "pass_name", F.col("dim_id").alias("b"), F.col("polarity").alias("pb"))
     shared = main.join(other, "item_id").withColumn("a", F.col("dim_id"))
-    clean = own_source_excluded(cells, lineage)
+    clean = cut_lineage(own_source_excluded(cells, lineage))
 
     def long(df: DataFrame, section: str, key, *values: str) -> DataFrame:
         pairs = F.array(*[F.struct(F.lit(v).alias("m"), F.col(v).cast("double").alias("v")) for v in values])

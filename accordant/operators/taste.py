@@ -14,6 +14,7 @@ from accordant.operators import cells as C
 from accordant.operators import factors as L
 from accordant.operators import pairs as P
 from accordant.operators.persons import REACTION_WEIGHTS, lookup
+from accordant.session import cut_lineage
 
 REPLICATION_FLOOR = 0.85
 PROFILE_RATINGS = 10
@@ -100,9 +101,9 @@ def replication(first: DataFrame, second: DataFrame, floor: float = REPLICATION_
 
 def extract(ratings: DataFrame, k: int, seed: str = "3") -> tuple[DataFrame, DataFrame]:
     """(loadings, replication): factors of all raters and how they come back from two halves."""
-    centred = C.centre(ratings, entity="user_id", value="stars", drop_zero=False).select("user_id", "item_id", "centred")
+    centred = cut_lineage(C.centre(ratings, entity="user_id", value="stars", drop_zero=False).select("user_id", "item_id", "centred"))
     sides = hash_halves(centred.select("user_id").distinct(), "user_id", seed)
-    halves = taste_factors(centred.join(sides, "user_id"), k, ["half"])
+    halves = cut_lineage(taste_factors(cut_lineage(centred.join(sides, "user_id")), k, ["half"]))
     side = lambda s: halves.filter(F.col("half") == s).select("item_id", "loadings")
     return taste_factors(centred, k), replication(side("a"), side("b"))
 
@@ -219,7 +220,7 @@ def residual_cells(cells: DataFrame, taste: DataFrame, alpha: float = 1.0, min_f
     An item with fewer engaged films is left as it is.
     """
     x = complete_taste(taste)
-    rows = cells.filter(F.abs("value") > C.ZERO).join(x, "film_id").withColumn("y", F.col("value"))
+    rows = cut_lineage(cells.filter(F.abs("value") > C.ZERO).join(x, "film_id").withColumn("y", F.col("value")))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         n, xbar, ybar, xx, xy = _solve_moments(pdf)
@@ -236,7 +237,7 @@ def residual_cells(cells: DataFrame, taste: DataFrame, alpha: float = 1.0, min_f
 def taste_residual_test(cells: DataFrame, taste: DataFrame, n_iter: int = 200, min_films: int = 100, seed: int = 11) -> DataFrame:
     """Parallel analysis of the residual cells and of the same films' raw cells; no
     rows when fewer films carry a complete taste row."""
-    res = residual_cells(cells, taste)
+    res = cut_lineage(residual_cells(cells, taste))
     both = res.select(F.lit("residual").alias("which"), "film_id", "item_id", "value").unionByName(
         res.select(F.lit("control").alias("which"), "film_id", "item_id", F.col("control").alias("value")))
     films = res.agg(F.count_distinct("film_id")).scalar()
@@ -255,11 +256,11 @@ def adjusted_positions(
     rows with the d x d solutions beside them.
     """
     x = complete_taste(taste)
-    rows = positions.select("film_id", "factor_id", F.col("position").alias("y")).join(x, "film_id")
+    rows = cut_lineage(positions.select("film_id", "factor_id", F.col("position").alias("y")).join(x, "film_id"))
     enough = rows.groupBy("factor_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_films)
     rows = rows.join(F.broadcast(enough.select("factor_id")), "factor_id", "left_semi")
     ranked = distributed_rank(rows.withColumn("_h", hash_hex(seed, "factor_id", "film_id")), ["factor_id"], "_h", "_r")
-    rows = ranked.withColumn("fold", (F.col("_r") % folds).cast("int")).drop("_h", "_r")
+    rows = cut_lineage(ranked.withColumn("fold", (F.col("_r") % folds).cast("int")).drop("_h", "_r"))
     train = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("out")).filter(F.col("out") != F.col("fold"))
 
     def prepare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -271,6 +272,7 @@ def adjusted_positions(
     kind = rows.schema["factor_id"].dataType.simpleString()
     solved = _moments(train, ["factor_id", "out"]).groupBy("factor_id", "out").applyInPandas(
         prepare, f"factor_id {kind}, out int, n double, xbar array<double>, ybar double, lam array<double>, q array<double>, c array<double>")
+    solved = cut_lineage(solved)
     penalties = np.asarray(alphas)
 
     def _predict(pdf: pd.DataFrame, s) -> tuple[np.ndarray, np.ndarray]:
@@ -350,11 +352,11 @@ def person_placement(
     usable = preferences.join(placed, "film_id", "left_semi").select("user_id", "film_id", "weight")
     raters = usable.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_ratings)
     pool = usable.join(raters.select("user_id"), "user_id", "left_semi")
-    pool = distributed_rank(pool.withColumn("_h", hash_hex("seat", "user_id", "film_id")), [], "_h", "seat").drop("_h")
+    pool = cut_lineage(distributed_rank(pool.withColumn("_h", hash_hex("seat", "user_id", "film_id")), [], "_h", "seat").drop("_h"))
     n_raters = raters.agg(F.count(F.lit(1))).scalar()
     dealt = pool.select("user_id", "film_id", "weight", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     dealt = distributed_rank(dealt.withColumn("_h", hash_hex(seed, "draw", "user_id", "film_id")), ["draw"], "_h", "seat").drop("_h", "user_id")
-    dealt = dealt.join(pool.select("seat", "user_id"), "seat").select("draw", "user_id", "film_id", "weight")
+    dealt = cut_lineage(dealt).join(pool.select("seat", "user_id"), "seat").select("draw", "user_id", "film_id", "weight")
     rows = pool.select(F.lit(-1).alias("draw"), "user_id", "film_id", "weight").unionByName(dealt)
     values = rows.join(positions.select("film_id", "factor_id", "position"), "film_id").select(
         "draw", "factor_id", "user_id", (F.col("weight") * F.col("position")).alias("v"))

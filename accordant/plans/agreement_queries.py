@@ -8,6 +8,7 @@ from accordant.operators import agreement as A
 from accordant.operators import cells as C
 from accordant.plans.bindings import bind, oracle_with
 from accordant.plans.registry import query
+from accordant.session import cut_lineage
 
 R = ["scorer"]
 INCUMBENT = "1-URGENT"
@@ -19,11 +20,11 @@ def verdicts(spark, d):
 
 
 def variant_cells(spark, d):
-    return C.cell_means(verdicts(spark, d), "scorer", "film_id", "variant", "item_id")
+    return cut_lineage(C.cell_means(verdicts(spark, d), "scorer", "film_id", "variant", "item_id"))
 
 
 def cells(spark, d):
-    return C.cell_means(verdicts(spark, d), "scorer", "film_id", "item_id")
+    return cut_lineage(C.cell_means(verdicts(spark, d), "scorer", "film_id", "item_id"))
 
 
 def main_pass(spark, d):

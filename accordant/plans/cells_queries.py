@@ -8,6 +8,7 @@ from accordant.operators import cells as C
 from accordant.operators import pairs as P
 from accordant.plans.bindings import bind, oracle_with
 from accordant.plans.registry import query
+from accordant.session import cut_lineage
 
 R = ["scorer"]
 
@@ -119,7 +120,8 @@ SIM = RATED + """, sim AS (SELECT item_i, item_j, support, xy / (a.norm * b.norm
 
 
 def centred_ratings(spark, d):
-    return C.centre(bind(spark, d, "ratings"), entity="user_id", value="stars", drop_zero=False)
+    # grouped once from the lines, then read by the mean, the norms and the pair sums
+    return C.centre(cut_lineage(bind(spark, d, "ratings")), entity="user_id", value="stars", drop_zero=False)
 
 
 @query("centred_ratings", "A4 M19", oracle_with("ratings", RATED + """

@@ -9,6 +9,7 @@ from accordant.operators import factors as L
 from accordant.operators import pairs as P
 from accordant.plans.bindings import bind
 from accordant.plans.registry import query
+from accordant.session import cut_lineage
 
 R = ["scorer"]
 
@@ -20,6 +21,7 @@ def response(spark, d):
 
 def correlation(spark, d):
     cells = response(spark, d)
+    cells = cut_lineage(cells)
     index = P.item_index(cells)
     return cells, index, L.correlation_cells(cells, R, index)
 

@@ -9,6 +9,7 @@ from accordant.operators import partitions as T
 from accordant.operators import permutation as M
 from accordant.plans.bindings import bind, oracle_with
 from accordant.plans.registry import query
+from accordant.session import cut_lineage
 
 SC = ["scorer_a", "scorer_b"]
 
@@ -20,7 +21,7 @@ def rounded(df, places, *cols):
 
 
 def parts(spark, d):
-    return bind(spark, d, "partitions")
+    return cut_lineage(bind(spark, d, "partitions"))
 
 
 def pairs(spark, d):
@@ -127,7 +128,7 @@ def _comparable(spark, d):
 
 def reading_cells(spark, d):
     v = bind(spark, d, "verdicts").filter("scorer = '1-URGENT'")
-    return C.cell_means(v, "film_id", "variant", "item_id")
+    return cut_lineage(C.cell_means(v, "film_id", "variant", "item_id"))
 
 
 def main_pass(spark, d):

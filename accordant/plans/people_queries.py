@@ -11,6 +11,7 @@ from accordant.operators import persons as H
 from accordant.operators import ranking as K
 from accordant.plans.bindings import bind, oracle_with
 from accordant.plans.registry import query
+from accordant.session import cut_lineage
 
 INCUMBENT = "1-URGENT"
 EDGE_SUPPORT = 20
@@ -38,7 +39,8 @@ def loadings(spark, d):
 
 
 def positions(spark, d):
-    return H.film_positions(one_reading(spark, d), loadings(spark, d))
+    # one small table (films x axes) that every placement below reads several times
+    return cut_lineage(H.film_positions(one_reading(spark, d), loadings(spark, d)))
 
 
 def reactions(spark, d):
@@ -167,8 +169,8 @@ def _strongest(spark, d):
     return H.strongest_statement(preferences(spark, d))
 
 
-def person_scores(spark, d):
-    pos = positions(spark, d)
+def person_scores(spark, d, pos=None):
+    pos = positions(spark, d) if pos is None else pos
     return H.person_scores(H.rating_preferences(reactions(spark, d)), pos, H.corpus_baseline(pos), axes(spark, d))
 
 
@@ -211,7 +213,7 @@ def edges(spark, d):
     w = reactions(spark, d).withColumn("weight", H.lookup("reaction", H.REACTION_WEIGHTS)).filter("weight <> 0")
     stars = w.groupBy("user_id", F.col("film_id").alias("item_id")).agg(F.avg("weight").alias("stars"))
     cen = C.centre(stars, entity="user_id", value="stars", drop_zero=False)
-    return P.top_neighbours(P.cosine_similarity(cen, min_support=EDGE_SUPPORT))
+    return P.top_neighbours(P.cosine_similarity(cut_lineage(cen), min_support=EDGE_SUPPORT))
 
 
 EDGES = f""", st AS (SELECT user_id, film_id, avg(weight) AS stars FROM wr WHERE weight <> 0 GROUP BY ALL),
@@ -256,8 +258,8 @@ SELECT told.user_id, films_rated, films_not_seen, coalesce(pairs_answered, 0) AS
   CASE WHEN leaning <> 'balanced' OR (coalesce(films_used, 0) >= 3 AND score <> 0) THEN CASE WHEN score > 0 THEN 'high' ELSE 'low' END END AS headline_side
 FROM told LEFT JOIN pq USING (user_id) LEFT JOIN us USING (user_id) LEFT JOIN hd ON hd.user_id = told.user_id AND rn = 1"""))
 def _summary(spark, d):
-    return H.profile_summary(reactions(spark, d), pair_answers(spark, d), preferences(spark, d), positions(spark, d),
-                             person_scores(spark, d))
+    return H.profile_summary(reactions(spark, d), pair_answers(spark, d), cut_lineage(preferences(spark, d)), (pos := positions(spark, d)),
+                             cut_lineage(person_scores(spark, d, pos)))
 
 
 @query("set_centroids", "A37", oracle_with("verdicts factor_items film_sets", BASE + """
@@ -297,7 +299,7 @@ SELECT user_id, film_id, round(alignment, 8) AS alignment FROM al"""))
 def _alignment(spark, d):
     pos = positions(spark, d)
     base = H.corpus_baseline(pos)
-    scores = person_scores(spark, d)
+    scores = cut_lineage(person_scores(spark, d, pos))
     users = scores.select("user_id").distinct()
     pairs = K.film_grid(users, pos.select("film_id").distinct())
     parts = K.alignment_parts(pairs.join(scores.select("user_id", "factor_id", "score"), "user_id"), pos, base, ["user_id"])
@@ -317,12 +319,12 @@ def chosen_positions(spark, d, pos, base):
 
 def ranking(spark, d, variation, limit=6):
     pos = positions(spark, d)
-    base = H.corpus_baseline(pos)
-    prefs = H.rating_preferences(reactions(spark, d))
+    base = cut_lineage(H.corpus_baseline(pos))
+    prefs = cut_lineage(H.rating_preferences(reactions(spark, d)))
     seen = reactions(spark, d).filter("reaction <> 'havent_seen'").select("user_id", "film_id").distinct()
     films = bind(spark, d, "films").filter("balance > 0").select("film_id", "year")
     return K.session_ranking(
-        bind(spark, d, "members"), films, person_scores(spark, d), pos, base, H.neighbour_scores(prefs, edges(spark, d)),
+        bind(spark, d, "members"), films, cut_lineage(person_scores(spark, d, pos)), pos, base, H.neighbour_scores(prefs, edges(spark, d)),
         seen.filter("film_id % 3 = 0"), chosen_positions(spark, d, pos, base), variation=variation, limit=limit)
 
 

@@ -11,12 +11,13 @@ from accordant.operators import taste as T
 from accordant.plans import people_queries as PQ
 from accordant.plans.bindings import bind, oracle_with
 from accordant.plans.registry import query
+from accordant.session import cut_lineage
 
 K = 4
 
 
 def ratings(spark, d):
-    return bind(spark, d, "ratings")
+    return cut_lineage(bind(spark, d, "ratings"))
 
 
 def centred(spark, d):
@@ -158,7 +159,7 @@ SELECT factor_id, round(reliability, 8) AS reliability, round(noise_ceiling, 8)
   (SELECT count(*) FROM rt) AS raters, round((SELECT control FROM ct), 8) AS control FROM fin WHERE (SELECT count(*) FROM rt) >= 20"""))
 def _placement(spark, d):
     prefs = H.rating_preferences(PQ.reactions(spark, d))
-    out = T.person_placement(prefs, PQ.positions(spark, d), PQ.reactions(spark, d))
+    out = T.person_placement(cut_lineage(prefs), PQ.positions(spark, d), PQ.reactions(spark, d))
     return rounded(out, 8, "reliability", "noise_ceiling", "control")
 
 
