@@ -98,48 +98,51 @@ def packed_sums(packed: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[tuple, np.ndarray] = {}
+        current: tuple | None = None
+        acc: np.ndarray | None = None
         types: list = []
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            idx_col, val_col = batch.column("idx"), batch.column("val")
+            idx_col = batch.column("idx")
             lengths = np.diff(idx_col.offsets.to_numpy())
             idx = idx_col.flatten().to_numpy(zero_copy_only=False)
-            val = val_col.flatten().to_numpy(zero_copy_only=False)
+            val = batch.column("val").flatten().to_numpy(zero_copy_only=False)
             starts = np.concatenate([[0], np.cumsum(lengths)])
             types = [batch.column(k).type for k in keys]
-            key_rows = list(zip(*[batch.column(k).to_pylist() for k in keys])) if keys else None
-            order: dict[tuple, list[int]] = {}
-            if key_rows is None:
-                order[()] = list(range(batch.num_rows))
-            else:
-                for r, kv in enumerate(key_rows):
-                    order.setdefault(kv, []).append(r)
-            for kv, members in order.items():
-                for lo in range(0, len(members), _ROW_BLOCK):
-                    block = np.asarray(members[lo : lo + _ROW_BLOCK])
-                    lens = lengths[block]
-                    take = np.concatenate([np.arange(starts[r], starts[r + 1]) for r in block])
-                    rows = np.repeat(np.arange(len(block)), lens)
-                    ii = idx[take]
-                    p = int(ii.max()) + 1
-                    sums = _block_sums(rows, ii, val[take], len(block), p)
-                    have = acc.get(kv)
-                    if have is None or have.shape[1] < p:
+            # rows arrive sorted by key: one accumulator at a time
+            runs = [((), 0, batch.num_rows)]
+            if keys:
+                values = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+                cuts = [r for r in range(len(values)) if r == 0 or values[r] != values[r - 1]] + [len(values)]
+                runs = [(values[lo], lo, hi) for lo, hi in zip(cuts, cuts[1:])]
+            for key, lo, hi in runs:
+                if acc is not None and key != current:
+                    yield from _emit(keys, current, types, acc)
+                    acc = None
+                current = key
+                for at in range(lo, hi, _ROW_BLOCK):
+                    end = min(at + _ROW_BLOCK, hi)
+                    cells = slice(starts[at], starts[end])
+                    if cells.start == cells.stop:
+                        continue
+                    rows = np.repeat(np.arange(end - at), lengths[at:end])
+                    p = int(idx[cells].max()) + 1
+                    if acc is None or acc.shape[1] < p:
                         grown = np.zeros((len(_STATS), p, p))
-                        if have is not None:
-                            grown[:, : have.shape[1], : have.shape[1]] = have
-                        acc[kv] = have = grown
-                    have[:, :p, :p] += sums
-        for kv, sums in acc.items():
-            yield from _emit(keys, kv, types, sums)
+                        if acc is not None:
+                            grown[:, : acc.shape[1], : acc.shape[1]] = acc
+                        acc = grown
+                    acc[:, :p, :p] += _block_sums(rows, idx[cells], val[cells], end - at, p)
+        if acc is not None:
+            yield from _emit(keys, current, types, acc)
 
     key_ddl = "".join(
         f"`{k}` {packed.schema[k].dataType.simpleString()}, " for k in keys
     )
     ddl = key_ddl + "i int, j int, " + ", ".join(f"{s} double" for s in _STATS)
-    partials = packed.select(*keys, "idx", "val").mapInArrow(partial, ddl)
+    rows = packed.select(*keys, "idx", "val")
+    partials = (rows.sortWithinPartitions(*keys) if keys else rows).mapInArrow(partial, ddl)
     return partials.groupBy(*keys, "i", "j").agg(*[F.sum(s).alias(s) for s in _STATS])
 
 
