@@ -82,7 +82,7 @@ def _evidence(spark, d):
 
 @query("oriented_dimensions", "M23", oracle_with("genome factor_items", TAGS + """
 , fl AS (SELECT dim, r < 0 AS flipped FROM tc WHERE tag = 'size' || CAST(dim AS VARCHAR))
-SELECT item_id, dim, CASE WHEN flipped THEN -l ELSE l END AS loading FROM ll JOIN fl USING (dim)"""))
+SELECT item_id, dim, CASE WHEN coalesce(flipped, false) THEN -l ELSE l END AS loading FROM ll LEFT JOIN fl USING (dim)"""))
 def _orient(spark, d):
     load = stand_in_loadings(spark, d)
     corr = T.tag_correlations(load, genome(spark, d))
