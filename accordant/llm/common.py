@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accordant.session import cut_lineage
@@ -43,12 +43,15 @@ def id_bounds(docs: DataFrame, parts: int) -> list[int]:
     return sorted(set(row["q"] or []))
 
 
-def id_range(bounds: list[int], col: str = "doc_id") -> Column:
-    """Number of the range: 0 for null and for ids below the first bound."""
-    if not bounds:
-        return F.lit(0)
-    held = F.array(*[F.lit(b).cast("long") for b in bounds])
-    return F.coalesce(F.size(F.filter(held, lambda b: b <= F.col(col))), F.lit(0))
+def with_id_range(docs: DataFrame, bounds: list[int], to: str) -> DataFrame:
+    """Adds the number of each row's range, found by binary search: 0 for null and for ids
+    below the first bound."""
+    from pyspark.ml.feature import Bucketizer
+
+    splits = [-float("inf"), *sorted({float(b) for b in bounds}), float("inf")]
+    key = F.coalesce(F.col("doc_id").cast("double"), F.lit(-float("inf")))
+    cut = Bucketizer(splits=splits, inputCol="_key", outputCol=to)
+    return cut.transform(docs.withColumn("_key", key)).withColumn(to, F.col(to).cast("int")).drop("_key")
 
 
 def batches_by_size(batches: Iterator, column: str, limit: int = 1 << 20) -> Iterator:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.llm import packing, prefix_bpe, rules, token_files
+from accordant.llm import cotraining, fingerprints, licences, packing, prefix_bpe, rules, token_files, toxicity
 from accordant.llm.common import documents
 from accordant.session import cut_lineage
 
@@ -16,12 +16,24 @@ WORD_BPE = "word_bpe_49k.json"
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
+
+
+def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.score(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.folder(spark)
     token_files.write(documents(spark, sf_dir), tokenizer(BYTE_BPE), path)
@@ -39,6 +51,15 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(stored)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.against_edits(documents(spark, sf_dir))
+    return found.withColumn("edited", F.sha2("edited", 256)).withColumnRenamed("edited", "edited_sha256")
+
+
 def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op1_licence_scan": licences.oracle()}
