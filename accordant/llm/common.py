@@ -74,28 +74,35 @@ def batches_by_size(batches: Iterator, column: str, limit: int = 1 << 20) -> Ite
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Smallest id reachable over ``links(a, b)``: rows ``(node, component)``, all ends included.
 
-    Every round gives a node the smallest label among its own and its neighbours', then
-    jumps to the label of that label. Labels and links stay in tables; only the number of
-    changed labels comes back. Null ends are left out.
+    Every round gives a node the smallest of its neighbours' labels and of the label of its
+    own label, all as of the round before. Labels and links stay in tables; only whether a
+    label changed comes back. Null ends are left out.
     """
     edges = links.select("a", "b").filter("a is not null and b is not null and a <> b").distinct()
     both = cut_lineage(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    label = cut_lineage(label)
+    least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))
+    label = cut_lineage(least.select("node", F.least("node", "b").alias("component")))
     for _ in range(most_rounds):
-        near = (
-            both.join(label.select(F.col("node").alias("b"), F.col("component").alias("c")), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("c").alias("c"))
-        )
-        step = label.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "c").alias("c"))
-        step = cut_lineage(step)
-        jump = step.select(F.col("node").alias("c"), F.col("c").alias("far"))
+        of = label.select(F.col("node").alias("b"), F.col("component").alias("c"))
+        near = both.join(of, "b").select(F.col("a").alias("node"), "c")
+        far = label.join(of, label["component"] == of["b"]).select("node", "c")
+        least = near.union(far).groupBy("node").agg(F.min("c").alias("c"))
         step = cut_lineage(
-            step.join(jump, "c", "left").select("node", "was", F.least("c", F.coalesce("far", "c")).alias("component"))
+            label.join(least, "node").select("node", F.col("component").alias("was"), F.least("component", "c").alias("component"))
         )
-        changed = step.filter("component < was").limit(1).count()
         label = step.select("node", "component")
-        if not changed:
+        if step.filter("component < was").isEmpty():
             return label
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps whose results were written.
+
+    Spark drops them when the driver's garbage collector meets their owner, which an idle
+    driver rarely does.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
