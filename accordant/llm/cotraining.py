@@ -257,19 +257,49 @@ def score(
         import pyarrow as pa
 
         for b in batches_by_size(batches, "text"):
-            columns = [b.column(c).to_pylist() for c in ("text", "lang", "source")]
-            if isinstance(models, float):
-                odds = [np.full(b.num_rows, np.log(max(models, 1e-9) / max(1 - models, 1e-9)))] * 3
-            else:
-                views = [content(t) for t in columns[0]], [page(*r) for r in zip(*columns, strict=True)]
-                odds = [
-                    w[-2] * np.add.reduceat(w[at] * value, cuts) + w[-1]
-                    for w, (at, value, cuts) in zip((models["content"], models["page"]), map(_stack, views), strict=True)
-                ]
-                c = models["both"]
-                odds.append(c[0] * odds[0] + c[1] * odds[1] + c[2])
+            odds = log_odds(models, *(b.column(c).to_pylist() for c in ("text", "lang", "source")))
             values = [*map(_sigmoid, odds)]
-            kept = np.full(b.num_rows, True) if isinstance(models, float) else values[2] >= least
-            yield pa.record_batch([b.column("doc_id"), *map(pa.array, values), pa.array(kept)], ["doc_id", "content_score", "page_score", "score", "kept"])
+            arrays = [b.column("doc_id"), *map(pa.array, values), pa.array(_good(models, odds[2], least))]
+            yield pa.record_batch(arrays, ["doc_id", "content_score", "page_score", "score", "kept"])
 
     return rows.mapInArrow(run, "doc_id long, content_score double, page_score double, score double, kept boolean")
+
+
+def log_odds(models: dict[str, np.ndarray] | float, text: list, lang: list, source: list) -> list[np.ndarray]:
+    """Of good quality: by content, by page, by both."""
+    if isinstance(models, float):
+        return [np.full(len(text), np.log(max(models, 1e-9) / max(1 - models, 1e-9)))] * 3
+    views = [content(t) for t in text], [page(*r) for r in zip(text, lang, source, strict=True)]
+    odds = [
+        w[-2] * np.add.reduceat(w[at] * value, cuts) + w[-1]
+        for w, (at, value, cuts) in zip((models["content"], models["page"]), map(_stack, views), strict=True)
+    ]
+    c = models["both"]
+    return [*odds, c[0] * odds[0] + c[1] * odds[1] + c[2]]
+
+
+def _good(models: dict[str, np.ndarray] | float, odds: np.ndarray, least: float) -> np.ndarray:
+    return np.full(len(odds), True) if isinstance(models, float) else _sigmoid(odds) >= least
+
+
+def keep(
+    docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_open: int = MOST_OPEN, rounds: int = ROUNDS,
+    least: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``score`` would keep."""
+    models = fit(sample(_columns(docs, id_col, text_col), labels, most, most_open), rounds)
+    names = {c.lower(): c for c in docs.columns}
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def column(b, name: str) -> list:
+            if name not in names:
+                return [""] * b.num_rows
+            return ["" if v is None else str(v) for v in b.column(names[name]).to_pylist()]
+
+        for b in batches_by_size(batches, text_col):
+            text = [t or "" for t in b.column(text_col).to_pylist()]
+            yield b.filter(pa.array(_good(models, log_odds(models, text, column(b, "lang"), column(b, "source"))[2], least)))
+
+    return docs.mapInArrow(run, docs.schema)

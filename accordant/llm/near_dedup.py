@@ -369,3 +369,15 @@ def near_duplicates(
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     )
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component; of several rows of
+    one id one stays. Rows without an id stay."""
+    kept = near_duplicates(docs, width, percent, id_col, text_col).filter("kept and doc_id is not null").select("doc_id").distinct()
+    key = docs[id_col].cast("long")
+    known = docs.filter(key.isNotNull())
+    left = known.join(kept, key == kept["doc_id"], "left_semi")
+    if not known.groupBy(key.alias("id")).count().filter("count > 1").isEmpty():
+        left = left.dropDuplicates([id_col])
+    return left.union(docs.filter(key.isNull()))

@@ -382,9 +382,13 @@ def _join_number(rows: DataFrame, number: DataFrame) -> DataFrame:
     return own.join(to, own["doc_id"].eqNullSafe(to["_id"]) & (own["hash"] == to["_hash"]))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_bytes, spans, kept)``: maximal removed runs as (lo, hi) and the bytes left."""
-    rows = texts(docs, id_col, text_col)
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """``(doc_id, n_bytes, spans, kept)``: maximal removed runs as (lo, hi) and the bytes left.
+
+    With ``carry`` there is a fifth column ``row``, a struct of all columns but the text.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] if carry else [F.col(f"`{id_col}`")]
+    rows = texts(docs, id_col, text_col, F.struct(*others).alias("row"))
     numbered, number = _numbered(rows)
     spans = repeated_spans(numbered)
     # a text's spans, at most a few per byte of it
@@ -392,7 +396,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if number is None:
         base = rows.withColumn("doc", F.col("doc_id"))
     else:
-        base = _join_number(rows, number).select("doc_id", "text", "doc")
+        base = _join_number(rows, number).select("doc_id", "text", "doc", "row")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -417,8 +421,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 runs.append([{"lo": x, "hi": y} for x, y in zip(begin, end, strict=True)])
                 kept.append(b"".join(raw[x:y] for x, y in zip([0, *end], [*begin, len(raw)], strict=True)))
             kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-            yield pa.record_batch([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary()), b.column("row")], ["doc_id", "n_bytes", "spans", "kept", "row"])
 
     none = F.array().cast("array<struct<lo:int,hi:int>>")
-    joined = base.join(per_doc, "doc", "left").select("doc_id", "text", F.coalesce("found", none).alias("found"))
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<lo:int,hi:int>>, kept binary")
+    joined = base.join(per_doc, "doc", "left").select("doc_id", "text", F.coalesce("found", none).alias("found"), "row")
+    kind = joined.schema["row"].dataType.simpleString()
+    out = joined.mapInArrow(run, f"doc_id long, n_bytes long, spans array<struct<lo:int,hi:int>>, kept binary, row {kind}")
+    return out if carry else out.drop("row")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the repeated passages cut out of the texts, same columns. Where a cut
+    falls into a character, the rest of it goes too. A null text becomes the empty one. A text that was all repeats goes with its
+    row; ``n_chars``, if there, is counted anew."""
+
+    @F.pandas_udf("string")
+    def decode(raw):
+        return raw.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    left = remove_repeats(docs, id_col, text_col, carry=True).filter("n_bytes = 0 or length(kept) > 0")
+    text = F.when(F.size("spans") > 0, decode("kept")).otherwise(F.col("kept").cast("string"))
+    left = left.withColumn("text", text)
+    columns = []
+    for f in docs.schema:
+        if f.name == text_col:
+            column = F.col("text")
+        elif f.name == "n_chars":
+            column = F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("row")[f.name]).cast(f.dataType)
+        else:
+            column = F.col("row")[f.name]
+        columns.append(column.alias(f.name))
+    return left.select(*columns)

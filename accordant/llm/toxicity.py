@@ -173,3 +173,16 @@ def score(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, id_col:
     return rows.mapInArrow(run, "doc_id long, score double").select(
         "doc_id", (remainder() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def keep(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below 0.5."""
+    model = fit(labelled(texts(docs, id_col, text_col), labels, most))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches_by_size(batches, text_col):
+            yield b.filter(pa.array(logits([t or "" for t in b.column(text_col).to_pylist()], model) < 0))
+
+    return docs.mapInArrow(run, docs.schema)
