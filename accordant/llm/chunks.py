@@ -35,8 +35,8 @@ class Stretches(dict):
 class StretchEncoder:
     """``spaced``: a token may begin with one space (byte-level BPE); else spaces are dropped."""
 
-    def __init__(self, encode: Callable[[list[str]], list], spaced: bool) -> None:
-        self.encode, self.spaced = encode, spaced
+    def __init__(self, encode: Callable[[list[str]], list], spaced: bool, most: int | None = None) -> None:
+        self.encode, self.spaced, self.most = encode, spaced, most
         self._clear()
 
     def _clear(self) -> None:
@@ -84,7 +84,7 @@ class StretchEncoder:
         if self.missed > 0.4 * self.asked + 100_000:  # full of what no longer comes
             self._clear()
         kept, chars = len(self.numbers), self.chars
-        full = kept > MOST_STRETCHES or chars > MOST_CHARS
+        full = kept > (self.most or MOST_STRETCHES) or chars > MOST_CHARS
         keys = [self._keys(t) for t in texts]
         counts = np.fromiter(map(len, keys), np.int64, len(keys))
         get = self.numbers.__getitem__

@@ -26,7 +26,8 @@ from accordant.llm.common import batches_by_size, texts
 
 # fixed value: what the pattern's \s means to the public library (Unicode White_Space)
 WHITE = r"\t-\r \x85\xa0  -     　"
-MOST_PAIRS = 2_000_000
+MOST_PAIRS = 500_000
+MOST_STRETCHES = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -170,7 +171,7 @@ def bpe(path: str, pattern: str) -> tuple[PrefixBPE, StretchEncoder]:
     """One per worker process."""
     if (path, pattern) not in _LOADED:
         own = PrefixBPE(load_ranks(path), pattern)
-        _LOADED[path, pattern] = own, StretchEncoder(lambda strings: [own.encode(s) for s in strings], True)
+        _LOADED[path, pattern] = own, StretchEncoder(lambda strings: [own.encode(s) for s in strings], True, MOST_STRETCHES)
     return _LOADED[path, pattern]
 
 
