@@ -49,6 +49,8 @@ def with_id_range(docs: DataFrame, bounds: list[int], to: str) -> DataFrame:
     below the first bound."""
     from pyspark.ml.feature import Bucketizer
 
+    if not bounds:
+        return docs.withColumn(to, F.lit(0))
     splits = [-float("inf"), *sorted({float(b) for b in bounds}), float("inf")]
     key = F.coalesce(F.col("doc_id").cast("double"), F.lit(-float("inf")))
     cut = Bucketizer(splits=splits, inputCol="_key", outputCol=to)
