@@ -35,9 +35,14 @@ CRITIC_WORDS = (
 MIN_WORDS, MAX_WORDS = 11, 22
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def normalise(c: Column) -> Column:
     """Lower case, everything but letters, digits and spaces to a space, spaces collapsed."""
-    lowered = F.trim(F.lower(c))
+    lowered = strip(F.lower(c))
     return F.regexp_replace(F.regexp_replace(lowered, "[^a-z0-9 ]+", " "), r"\s+", " ")
 
 
@@ -79,43 +84,43 @@ def split_disambiguated(title: Column) -> Column:
     part = lambda pattern, n: F.regexp_extract(title, pattern, n)
     year = lambda pattern: F.when(part(pattern, 2) != "", part(pattern, 2).cast("int"))
     return (
-        F.when(title.rlike(film), F.struct(F.trim(part(film, 1)).alias("title"), year(film).alias("year")))
-        .when(title.rlike(dated), F.struct(F.trim(part(dated, 1)).alias("title"), year(dated).alias("year")))
-        .otherwise(F.struct(F.trim(title).alias("title"), F.lit(None).cast("int").alias("year"))))
+        F.when(title.rlike(film), F.struct(strip(part(film, 1)).alias("title"), year(film).alias("year")))
+        .when(title.rlike(dated), F.struct(strip(part(dated, 1)).alias("title"), year(dated).alias("year")))
+        .otherwise(F.struct(strip(title).alias("title"), F.lit(None).cast("int").alias("year"))))
 
 
 def is_placeholder(c: Column) -> Column:
-    bare = F.trim(F.coalesce(c, F.lit("")))
+    bare = strip(F.coalesce(c, F.lit("")))
     return F.lower(F.trim(bare, F.lit("."))).isin(*PLACEHOLDERS)
 
 
 def poles_of(name: Column, max_words: int = 2) -> Column:
     """A name's two ends: split on vs / versus / or, else the name itself at both;
     ``short`` says whether both are labels of at most two words."""
-    trimmed = F.trim(F.coalesce(name, F.lit("")))
+    trimmed = strip(F.coalesce(name, F.lit("")))
     split = lambda pattern: F.regexp_extract(trimmed, pattern, 1)
     low, high = trimmed, trimmed
     for sep in (" or ", " versus ", " vs ", r" vs\. "):  # the last one written here wins
         pattern = f"(?is)^(.*?){sep}(.*)$"
-        low = F.when(trimmed.rlike(pattern), F.trim(F.regexp_extract(trimmed, pattern, 1))).otherwise(low)
-        high = F.when(trimmed.rlike(pattern), F.trim(F.regexp_extract(trimmed, pattern, 2))).otherwise(high)
+        low = F.when(trimmed.rlike(pattern), strip(F.regexp_extract(trimmed, pattern, 1))).otherwise(low)
+        high = F.when(trimmed.rlike(pattern), strip(F.regexp_extract(trimmed, pattern, 2))).otherwise(high)
     short = lambda p: word_count(p) <= max_words
     return F.struct(low.alias("low"), high.alias("high"), (short(low) & short(high)).alias("short"))
 
 
 def proper_nouns(sentence: Column) -> Column:
     """Capitalised words that do not open the sentence, I and A aside."""
-    words = F.regexp_extract_all(sentence, F.lit(r"([A-Za-z][\w'-]*)"))
+    words = F.regexp_extract_all(sentence, F.lit(r"(?U)([A-Za-z][\w'-]*)"))
     keep = lambda w, i: (i > 0) & w.rlike("^[A-Z]") & ~w.isin("I", "A")
     return F.filter(words, keep)
 
 
 def house_style_problems(sentence: Column, title: Column) -> Column:
     """The rules a card's sentence breaks, as an array of rule names."""
-    text = F.trim(sentence)
+    text = strip(sentence)
     n = word_count(text)
     clean = lambda arr, marks: F.transform(arr, lambda w: F.trim(F.lower(w), F.lit(marks)))
-    title_words = clean(F.filter(F.split(F.trim(title), r"\s+"), lambda w: F.length(w) > 3), ":,'")
+    title_words = clean(F.filter(F.split(strip(title), r"\s+"), lambda w: F.length(w) > 3), ":,'")
     reused = F.size(F.array_intersect(title_words, clean(F.split(text, r"\s+"), ".,'")))
     padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
     uses = lambda vocab: padded.rlike(" (" + "|".join(vocab) + ")[ ,]")
@@ -128,7 +133,7 @@ def house_style_problems(sentence: Column, title: Column) -> Column:
 
 
 def imdb_key(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.trim(c), "^tt", ""), "^0+", "")
+    return F.regexp_replace(F.regexp_replace(strip(c), "^tt", ""), "^0+", "")
 
 
 def token_estimate(c: Column) -> Column:

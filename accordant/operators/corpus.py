@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accordant.functions.text import strip
+
 # Variants from richest to thinnest.
 VARIANT_PREFERENCE = ("full", "subs", "spine_themes", "spine")
 MAX_QUOTES = 6
@@ -31,7 +33,7 @@ def best_skeletons(skeletons: DataFrame, preference: Sequence[str] = VARIANT_PRE
 def trim_quotes(quotes: Column) -> Column:
     """The first quotes, long ones cut with an ellipsis, blanks dropped."""
     cut = lambda q: F.when(F.length(q) > MAX_QUOTE_CHARS, F.concat(F.rtrim(F.substring(q, 1, MAX_QUOTE_CHARS)), F.lit("…"))).otherwise(q)
-    trimmed = F.transform(F.slice(quotes, 1, MAX_QUOTES), lambda q: cut(F.trim(q)))
+    trimmed = F.transform(F.slice(quotes, 1, MAX_QUOTES), lambda q: cut(strip(q)))
     return F.filter(trimmed, lambda q: q != "")
 
 
@@ -169,7 +171,7 @@ def layer_quality(evidence: DataFrame) -> DataFrame:
     from accordant.functions.text import word_count
     from accordant.operators.agreement import upper_median
 
-    rows = evidence.filter(F.trim("content") != "").withColumn("words", word_count(F.col("content")))
+    rows = evidence.filter(strip(F.col("content")) != "").withColumn("words", word_count(F.col("content")))
     return rows.groupBy("layer").agg(F.count_distinct("film_id").alias("films"), upper_median("words").cast("bigint").alias("median_words"))
 
 
@@ -219,7 +221,7 @@ def write_index(index: DataFrame, evidence: DataFrame, path: str) -> None:
 
 def film_cards(films: DataFrame, with_title: bool = True) -> DataFrame:
     """Card columns: a description only when there is one, the first genre or "Film"."""
-    text = F.nullif(F.trim("description"), F.lit(""))
+    text = F.nullif(strip(F.col("description")), F.lit(""))
     cols = ["film_id", text.alias("description")]
     if with_title:
         cols += ["title", "year", F.coalesce(F.get("genres", 0), F.lit("Film")).alias("genre")]

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from accordant.functions.text import is_placeholder, plain_key, slug, split_disambiguated, title_key
 
@@ -25,10 +26,14 @@ def facets(films: DataFrame) -> DataFrame:
     Columns that are absent give no facet.
     """
     one = lambda name, c: F.array(F.struct(F.lit(name).alias("facet"), c.cast("string").alias("value")))
+    each = lambda name: F.transform(name, lambda v: F.struct(F.lit(name).alias("facet"), v.cast("string").alias("value")))
     parts = []
     for name in ("language", "country"):
         if name in films.columns:
-            parts.append(one(name, F.col(name)))
+            if isinstance(films.schema[name].dataType, ArrayType):  # several countries count each
+                parts.append(each(name))
+            else:
+                parts.append(one(name, F.col(name)))
     if "genres" in films.columns:
         parts.append(F.transform("genres", lambda g: F.struct(F.lit("genre").alias("facet"), g.alias("value"))))
     if "year" in films.columns:

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accordant.functions.text import strip
+
 TIMECODE = r"(\d{1,2}):(\d{2}):(\d{2})[,.](\d{1,3})\s*-->"
 RENDERED = r"^\[(\d+):(\d{2}):(\d{2})\]\s*(.*)$"
 TAG = r"<[^>]+>|\{[^}]*\}"
@@ -35,19 +37,19 @@ def parse_timed(tracks: DataFrame, track: str = "track_id", raw: str = "raw") ->
     """
     text = F.regexp_replace(F.regexp_replace(F.col(raw), "\\uFEFF", ""), "\r\n?", "\n")
     blocks = tracks.select(track, F.posexplode(F.split(text, r"\n\s*\n")).alias("block", "body"))
-    lines = F.filter(F.split("body", "\n"), lambda l: F.trim(l) != "")
+    lines = F.filter(F.split("body", "\n"), lambda l: strip(l) != "")
     start = F.struct(F.lit(None).cast("bigint").alias("ms"), F.array().cast("array<string>").alias("text"))
 
     def step(s: Column, line: Column) -> Column:
-        bare = F.trim(line)
+        bare = strip(line)
         counter = bare.rlike("^[0-9]+$") & s["ms"].isNull() & (F.size(s["text"]) == 0)
         header = F.upper(bare).startswith("WEBVTT") | F.upper(bare).startswith("NOTE ")
-        said = F.struct(s["ms"].alias("ms"), F.concat(s["text"], F.array(F.trim(F.regexp_replace(line, TAG, "")))).alias("text"))
+        said = F.struct(s["ms"].alias("ms"), F.concat(s["text"], F.array(strip(F.regexp_replace(line, TAG, "")))).alias("text"))
         timed = F.struct(_clock(line, TIMECODE, True).alias("ms"), s["text"].alias("text"))
         return F.when(line.rlike(TIMECODE), timed).when(counter | header, s).otherwise(said)
 
     cue = blocks.withColumn("_c", F.aggregate(lines, start, step))
-    joined = F.trim(F.array_join(F.filter(F.col("_c.text"), lambda t: t != ""), " "))
+    joined = strip(F.array_join(F.filter(F.col("_c.text"), lambda t: t != ""), " "))
     cues = cue.select(track, "block", F.col("_c.ms").alias("start_ms"), joined.alias("text")).filter(
         F.col("start_ms").isNotNull() & (F.col("text") != ""))
     w = Window.partitionBy(track).orderBy("block")
@@ -57,8 +59,8 @@ def parse_timed(tracks: DataFrame, track: str = "track_id", raw: str = "raw") ->
 def parse_rendered(tracks: DataFrame, track: str = "track_id", raw: str = "raw") -> DataFrame:
     """Read back the "[h:mm:ss] text" form."""
     lines = tracks.select(track, F.posexplode(F.split(raw, "\r\n|\n|\r")).alias("line_no", "line"))
-    bare = F.trim("line")
-    body = F.trim(F.regexp_extract(bare, RENDERED, 4))
+    bare = strip(F.col("line"))
+    body = strip(F.regexp_extract(bare, RENDERED, 4))
     cues = lines.filter(bare.rlike(RENDERED) & (body != "")).select(
         track, "line_no", _clock(bare, RENDERED, False).alias("start_ms"), body.alias("text"))
     w = Window.partitionBy(track).orderBy("line_no")
@@ -74,7 +76,7 @@ def parse_xml_sentences(tracks: DataFrame, track: str = "track_id", raw: str = "
     plain = F.regexp_replace("xml", "<[^>]+>", "")
     for entity, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(entity), F.lit(ch))
-    said = rows.select(track, "n", own.alias("own"), F.trim(F.regexp_replace(plain, r"\s+", " ")).alias("text")).filter("text <> ''")
+    said = rows.select(track, "n", own.alias("own"), strip(F.regexp_replace(plain, r"\s+", " ")).alias("text")).filter("text <> ''")
     w = Window.partitionBy(track).orderBy("n")
     carried = F.coalesce(F.last("own", ignorenulls=True).over(w), F.lit(0).cast("bigint"))
     return said.select(track, (F.row_number().over(w) - 1).alias("pos"), carried.alias("start_ms"), "text")
@@ -154,13 +156,13 @@ def split_sections(texts: DataFrame, doc: str = "doc_id", text: str = "text") ->
     """(doc, section, path, body): bodies under the path of headings open at that point.
 
     A heading closes every open heading of its own level or deeper.  Text before
-    the first heading sits under "__lead__".
+    the first heading, which may be none, sits under "__lead__".
     """
     heading = r"^(={2,6})\s*(.+?)\s*\1\s*$"
-    lines = texts.select(doc, F.posexplode(F.split(text, "\r\n|\n|\r")).alias("n", "line"))
-    bare = F.trim("line")
+    lines = texts.select(doc, F.posexplode(F.split(F.concat(F.lit("\n"), F.col(text)), "\r\n|\n|\r")).alias("n", "line"))
+    bare = strip(F.col("line"))
     lines = lines.withColumn("level", F.when(bare.rlike(heading), F.length(F.regexp_extract(bare, heading, 1)))).withColumn(
-        "name", F.when(F.col("level").isNotNull(), F.lower(F.trim(F.regexp_extract(bare, heading, 2)))))
+        "name", F.when(F.col("level").isNotNull(), F.lower(strip(F.regexp_extract(bare, heading, 2)))))
     upto = Window.partitionBy(doc).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     for level in range(2, 7):
         here = F.when(F.col("level") == level, F.struct("n", "name"))
@@ -175,7 +177,7 @@ def split_sections(texts: DataFrame, doc: str = "doc_id", text: str = "text") ->
     lines = lines.withColumn("path", F.when(F.size(path) == 0, F.array(F.lit("__lead__"))).otherwise(path))
     body = F.sort_array(F.collect_list(F.when(F.col("level").isNull(), F.struct("n", "line"))))
     out = lines.groupBy(doc, "section").agg(F.first("path").alias("path"), body.alias("_b"))
-    return out.select(doc, "section", "path", F.trim(F.regexp_replace(
+    return out.select(doc, "section", "path", strip(F.regexp_replace(
         F.array_join(F.transform("_b", lambda r: r["line"]), "\n"), r"^\s+|\s+$", "")).alias("body"))
 
 
@@ -211,7 +213,7 @@ def evidence_packets(films: DataFrame, evidence: DataFrame, slices: DataFrame |
         evidence = evidence.join(slices, "film_id", "left").withColumn(
             "content", F.when((F.col("layer") == "subtitles") & F.col("opening").isNotNull(), cut).otherwise(F.col("content")))
     want = films.select("film_id", F.explode(_variant_map()).alias("v")).select("film_id", "v.variant", "v.ord", "v.layer")
-    have = evidence.select("film_id", "layer", F.trim("content").alias("content")).filter("content <> ''")
+    have = evidence.select("film_id", "layer", strip(F.col("content")).alias("content")).filter("content <> ''")
     rows = want.join(have, ["film_id", "layer"], "left")
     pick = lambda cond, c: F.transform(
         F.sort_array(F.collect_list(F.when(cond, F.struct("ord", c.alias("t"))))), lambda r: r["t"])
@@ -232,7 +234,7 @@ def evidence_packets(films: DataFrame, evidence: DataFrame, slices: DataFrame |
 
 def completeness(films: DataFrame, evidence: DataFrame) -> DataFrame:
     """Weighted share of the evidence layers a film has, and the variants it can run."""
-    have = lambda layer: F.coalesce(F.max(F.when((F.col("layer") == layer) & (F.trim("content") != ""), 1)), F.lit(0))
+    have = lambda layer: F.coalesce(F.max(F.when((F.col("layer") == layer) & (strip(F.col("content")) != ""), 1)), F.lit(0))
     per = films.select("film_id").join(evidence, "film_id", "left").groupBy("film_id").agg(
         *[have(l).alias(l) for l in LAYERS])
     score = sum((F.col(l) * w for l, w in LAYER_WEIGHTS.items()), F.lit(0.0))
@@ -257,8 +259,8 @@ def evidence_index(evidence: DataFrame) -> DataFrame:
 def card_evidence(films: DataFrame, evidence: DataFrame, cues: DataFrame) -> DataFrame:
     """The text one card is written from: the plot's first 12,000 characters, else the
     opening 12 % and the middle of the dialogue."""
-    plot = evidence.filter((F.col("layer") == "plot") & (F.trim("content") != "")).select(
-        "film_id", F.substring(F.trim("content"), 1, 12000).alias("plot"))
+    plot = evidence.filter((F.col("layer") == "plot") & (strip(F.col("content")) != "")).select(
+        "film_id", F.substring(strip(F.col("content")), 1, 12000).alias("plot"))
     opening = render_cues(slice_cues(cues, 0.0, 0.12), out="opening")
     middle = render_cues(slice_cues(cues, 0.45, 0.55), out="middle")
     out = films.select("film_id").join(plot, "film_id", "left").join(opening, "film_id", "left").join(middle, "film_id", "left")

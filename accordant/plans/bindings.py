@@ -81,13 +81,13 @@ BINDINGS: dict[str, str] = {
                     ELSE 'havent_seen' END AS reaction, ts AS submitted_at
         FROM {events}""",
     "votes": """
-        SELECT user_id % 30 AS session_id, user_id,
+        SELECT cast((user_id - user_id % 2) / 2 AS bigint) AS session_id, user_id,
                cast(regexp_extract(props, '([0-9]+)', 1) AS bigint) AS film_id,
                CASE WHEN event_type IN ('purchase', 'click') THEN 'yes' ELSE 'no' END AS reaction,
                ts AS submitted_at, event_id
         FROM {events} WHERE event_type IN ('purchase', 'click', 'error')""",
     "members": """
-        SELECT DISTINCT user_id % 30 AS session_id, user_id FROM {events}""",
+        SELECT DISTINCT cast((user_id - user_id % 2) / 2 AS bigint) AS session_id, user_id FROM {events}""",
     "films": """
         SELECT s.s_suppkey AS film_id, s.s_name AS title, cast(1950 + s.s_suppkey % 75 AS int) AS year,
                n.n_name AS country, r.r_name AS language, s.s_acctbal AS balance
@@ -102,8 +102,8 @@ BINDINGS: dict[str, str] = {
                regexp_extract(split_part(text, chr(10), 1), '^(([^ ]+ +){{0,15}}[^ ]+)', 1) AS text
         FROM {documents}""",
     "evidence": """
-        SELECT cast((doc_id - doc_id % 5) / 5 AS bigint) AS film_id, CASE doc_id % 5 WHEN 0 THEN 'plot' WHEN 1 THEN 'themes' WHEN 2 THEN 'reception'
-               WHEN 3 THEN 'subtitles' ELSE 'other' END AS layer, text AS content
+        SELECT cast((doc_id - doc_id % 4) / 4 AS bigint) AS film_id, CASE doc_id % 4 WHEN 0 THEN 'plot' WHEN 1 THEN 'themes'
+               WHEN 2 THEN 'reception' ELSE 'subtitles' END AS layer, text AS content
         FROM {documents}""",
     "cues": """
         SELECT conv_id AS film_id, turn AS pos, turn * 30000 AS start_ms, text FROM {conversations}""",

@@ -117,7 +117,7 @@ def decks_and_answers(spark, d):
     answers = e.select(
         "user_id",
         F.when(F.col("event_id") % 7 == 0, "gone").otherwise(
-            F.concat(F.lit("s"), (F.col("user_id") % 30).cast("string"))).alias("token"),
+            F.expr("concat('s', cast(cast((user_id - user_id % 2) / 2 AS bigint) AS string))")).alias("token"),
         F.concat(F.lit("pair-"), (1 + F.col("event_id") % 6).cast("string")).alias("question_id"),
         F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("neither")), (F.col("event_id") % 3 + 1).cast("int")).alias("choice"),
         "submitted_at", F.col("event_id").alias("answer_id"))
@@ -129,7 +129,7 @@ PAIRS = """, dk AS (SELECT DISTINCT session_id, n, (session_id * 7 + 13 * n) % 1
 ans AS (SELECT user_id, 1 + event_id % 6 AS n, ['a', 'b', 'neither'][event_id % 3 + 1] AS choice, submitted_at, event_id
    FROM reactions WHERE reaction IN ('not_for_me', 'havent_seen')),
 pa AS (SELECT user_id, 'pair-' || CAST(ans.n AS VARCHAR) AS question_id, choice, fa, fb FROM ans
-   JOIN dk ON dk.session_id = user_id % 30 AND dk.n = ans.n
+   JOIN dk ON dk.session_id = CAST((user_id - user_id % 2) / 2 AS bigint) AND dk.n = ans.n
    QUALIFY row_number() OVER (PARTITION BY user_id, least(fa, fb), greatest(fa, fb) ORDER BY submitted_at DESC, event_id DESC) = 1)"""
 PAIRPREFS = PAIRS + """, pp AS (SELECT user_id, CASE choice WHEN 'a' THEN fa ELSE fb END AS film_id, 0.5e0 AS weight, question_id AS detail FROM pa WHERE choice IN ('a', 'b')
    UNION ALL SELECT user_id, CASE choice WHEN 'a' THEN fb ELSE fa END, -0.5e0, question_id FROM pa WHERE choice IN ('a', 'b'))"""
@@ -327,7 +327,7 @@ def ranking(spark, d, variation, limit=6):
     films = bind(spark, d, "films").filter("balance > 0").select("film_id", "year")
     return K.session_ranking(
         bind(spark, d, "members"), films, cut_lineage(person_scores(spark, d, pos)), pos, base, H.neighbour_scores(prefs, edges(spark, d)),
-        seen.filter("film_id % 3 = 0"), chosen_positions(spark, d, pos, base), variation=variation, limit=limit)
+        seen, chosen_positions(spark, d, pos, base), variation=variation, limit=limit)
 
 
 RANK = BASE + PREFS + SCORES + CF + ALIGN.format(who="scores") + """
@@ -342,8 +342,7 @@ ch AS (SELECT user_id, film_id, CASE WHEN sum(w) <> 0 THEN sum(part) / (sum(w) +
    JOIN base USING (factor_id) CROSS JOIN typ) q GROUP BY ALL),
 cand AS (SELECT m.session_id, m.user_id, f.film_id, f.year FROM members m CROSS JOIN films f
    WHERE f.balance > 0 AND f.film_id IN (SELECT film_id FROM pos) AND NOT EXISTS (SELECT 1 FROM members m2 JOIN reactions r
-     ON r.user_id = m2.user_id WHERE m2.session_id = m.session_id AND r.film_id = f.film_id AND r.reaction <> 'havent_seen'
-     AND r.film_id % 3 = 0)),
+     ON r.user_id = m2.user_id WHERE m2.session_id = m.session_id AND r.film_id = f.film_id AND r.reaction <> 'havent_seen')),
 mer AS (SELECT session_id, user_id, film_id, year, coalesce(alignment, 0) AS alignment,
    CASE WHEN coalesce(cw, 0) = 0 OR chosen IS NULL THEN 0.59e0 * coalesce(cf.score, 0)
         ELSE (1 - cw) * (0.59e0 * coalesce(cf.score, 0)) + cw * chosen END AS merit
@@ -433,14 +432,12 @@ def _restrict(spark, d):
 
 
 @query("agreed_films", "A42", oracle_with("votes members", """
-, sz AS (SELECT session_id, count(DISTINCT user_id) AS n_members FROM members WHERE user_id < 60 GROUP BY ALL)
-SELECT v.session_id, film_id, max(submitted_at) AS agreed_at, n_members FROM votes v JOIN sz USING (session_id) WHERE user_id < 60
+, sz AS (SELECT session_id, count(DISTINCT user_id) AS n_members FROM members GROUP BY ALL)
+SELECT v.session_id, film_id, max(submitted_at) AS agreed_at, n_members FROM votes v JOIN sz USING (session_id)
 GROUP BY v.session_id, film_id, n_members HAVING count(DISTINCT CASE WHEN reaction = 'yes' THEN user_id END) = n_members
   AND count(*) FILTER (WHERE reaction = 'no') = 0"""))
 def _agreed(spark, d):
-    # sessions of two: the first sixty people are the ones who joined
-    joined = F.col("user_id") < 60
-    return K.agreed_films(bind(spark, d, "votes").filter(joined), bind(spark, d, "members").filter(joined))
+    return K.agreed_films(bind(spark, d, "votes"), bind(spark, d, "members"))
 
 
 @query("next_cards", "J9", oracle_with("votes members films", """
@@ -459,11 +456,11 @@ def _next_cards(spark, d):
 
 
 @query("session_members", "J12", oracle_with("members", """
-, viewers AS (SELECT DISTINCT user_id % 31 AS session_id, user_id FROM events)
+, viewers AS (SELECT DISTINCT cast((user_id - user_id % 3) / 3 AS bigint) AS session_id, user_id FROM events)
 SELECT v.session_id, v.user_id AS viewer_id, m.user_id FROM viewers v JOIN members me ON me.session_id = v.session_id
   AND me.user_id = v.user_id JOIN members m ON m.session_id = v.session_id"""))
 def _session_members(spark, d):
-    viewers = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 31).alias("session_id"), "user_id").distinct()
+    viewers = spark.read.parquet(f"{d}/events.parquet").selectExpr("cast((user_id - user_id % 3) / 3 AS bigint) AS session_id", "user_id").distinct()
     return K.session_members(bind(spark, d, "members"), viewers)
 
 

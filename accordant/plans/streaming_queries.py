@@ -36,13 +36,12 @@ def _batch(spark, d):
 
 
 @query("agreed_films_stream", "ST2 A42", oracle_with("votes members", """
-, fv AS (SELECT * FROM votes WHERE user_id < 60 QUALIFY row_number() OVER (PARTITION BY session_id, user_id, film_id ORDER BY submitted_at, event_id) = 1),
-sz AS (SELECT session_id, count(DISTINCT user_id) AS n_members FROM members WHERE user_id < 60 GROUP BY ALL)
+, fv AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY session_id, user_id, film_id ORDER BY submitted_at, event_id) = 1),
+sz AS (SELECT session_id, count(DISTINCT user_id) AS n_members FROM members GROUP BY ALL)
 SELECT session_id, film_id, n_members FROM fv JOIN sz USING (session_id) GROUP BY ALL
 HAVING count(DISTINCT CASE WHEN reaction = 'yes' THEN user_id END) = n_members AND count(*) FILTER (WHERE reaction = 'no') = 0"""))
 def _agreed(spark, d):
-    joined = F.col("user_id") < 60
     root = scratch(spark, "agreed")
-    votes = stream(spark, d, "votes").filter(joined).withColumn("submitted_at", F.col("submitted_at").cast("timestamp"))
-    R.run_agreed_films(votes, bind(spark, d, "members").filter(joined), root, f"{root}/log", "3650 days").awaitTermination()
+    votes = stream(spark, d, "votes").withColumn("submitted_at", F.col("submitted_at").cast("timestamp"))
+    R.run_agreed_films(votes, bind(spark, d, "members"), root, f"{root}/log", "3650 days").awaitTermination()
     return R.read_agreed(spark, root).select("session_id", "film_id", "n_members")

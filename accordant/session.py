@@ -30,7 +30,8 @@ def local_session(cpus: str = "8", app: str = "accordant", shuffle: int = 8) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names, or a scratch one when unset."""
+    """The shared checkpoint folder the cluster names; where it names none, a scratch folder
+    of a local session. Executors of a cluster would not share such a folder, so there it is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -39,6 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     fallback = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(fallback)
     return fallback
