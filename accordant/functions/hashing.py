@@ -58,6 +58,21 @@ def distributed_rank(
     )
 
 
+def ordered_numbers(df: DataFrame, col: str, out: str) -> DataFrame:
+    """``df`` with a 0-based number in the order of ``col``, whose values are distinct.
+
+    Ranges of values are sorted apart and written; a range's first number is the count of
+    the rows in the ranges before it (one row per range).
+    """
+    from accordant.session import cut_lineage
+
+    ranged = df.repartitionByRange(F.col(col)).withColumn("_part", F.spark_partition_id())
+    ranged = cut_lineage(ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(col))))
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return ranged.join(before, "_part").withColumn(out, (F.col("_before") + F.col("_in") - 1).cast("int")).drop("_part", "_in", "_before")
+
+
 def hash_sample(df: DataFrame, keys: Sequence[str], seed: str, k: int) -> DataFrame:
     """Uniform sample of k rows without replacement, in hash order."""
     return df.orderBy(hash_hex(seed, *keys), *keys).limit(k)

@@ -1,9 +1,9 @@
 """Item-by-item moments over shared entities.
 
-Entities are packed into sparse rows; each task multiplies its own rows into
-partial item-by-item sums and Spark adds the partials.  Pairs are never emitted
-per entity, so a heavy entity costs one sparse row, and what is shuffled is
-bounded by the square of the item count, which is guarded.
+Entities are packed into sparse rows, which are cut into tiles of item blocks; each
+task multiplies its own rows into partial sums of one tile at a time and Spark adds the
+partials.  Pairs are never emitted per entity, so a heavy entity costs one sparse row per
+tile, and a task holds one tile whatever the number of items.
 """
 
 from __future__ import annotations
@@ -15,27 +15,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from accordant.functions.hashing import ordered_numbers
 from accordant.operators.cells import ZERO
 from accordant.session import cut_lineage
 
-MAX_ITEMS = 4096
+TILE = 1024
 MIN_PAIR_OVERLAP = 8
 _ROW_BLOCK = 2048
 _STATS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
-def item_index(cells: DataFrame, item: str = "item_id", max_items: int = MAX_ITEMS) -> DataFrame:
-    """Dense 0-based item numbers in item order; more than ``max_items`` is an error.
-
-    The window runs over the distinct items only, whose number is the guard.
-    """
-    idx = F.row_number().over(Window.orderBy(item)) - 1
-    numbered = cells.select(item).distinct().withColumn("_idx", idx)
-    guard = F.raise_error(F.lit(f"more than {max_items} items: cut the item set first"))
-    # at most max_items rows, joined several times by every caller
-    return cut_lineage(numbered.withColumn(
-        "_idx", F.when(F.col("_idx") < max_items, F.col("_idx")).otherwise(guard.cast("int"))
-    ))
+def item_index(cells: DataFrame, item: str = "item_id") -> DataFrame:
+    """Dense 0-based item numbers in item order."""
+    # one row per item, joined several times by every caller
+    return cut_lineage(ordered_numbers(cells.select(item).filter(F.col(item).isNotNull()).distinct(), item, "_idx"))
 
 
 def pack_rows(
@@ -43,10 +36,10 @@ def pack_rows(
 ) -> DataFrame:
     """One sparse row per entity: parallel arrays of item number and value.
 
-    A row holds at most one cell per item, so its length is at most ``MAX_ITEMS``.
+    A row holds at most one cell per item.
     """
     packed = (
-        cells.join(F.broadcast(index), item)  # bounded by the item guard
+        cells.join(index, item)
         .groupBy(*keys, entity)
         .agg(F.collect_list(F.struct(F.col("_idx").alias("i"), F.col(value).cast("double").alias("v"))).alias("_c"))
     )
@@ -67,36 +60,72 @@ def _block_sums(rows: np.ndarray, idx: np.ndarray, val: np.ndarray, n_rows: int,
     return np.stack([e.T @ e, sx, sx.T, sxx, sxx.T, x.T @ x])
 
 
+def _tile_sums(n_rows: int, left: tuple, right: tuple, tile: int) -> np.ndarray:
+    """The six sums of one block of rows over one tile; sides are (rows, item in block, value)."""
+    dense = []
+    for rows, idx, val in (left, right):
+        x, e = np.zeros((n_rows, tile)), np.zeros((n_rows, tile))
+        x[rows, idx] = val
+        e[rows, idx] = 1.0
+        dense.append((x, e))
+    (xi, ei), (xj, ej) = dense
+    return np.stack([ei.T @ ej, xi.T @ ej, ei.T @ xj, (xi * xi).T @ ej, ei.T @ (xj * xj), xi.T @ xj])
+
+
 def _emit(keys: Sequence[str], key_values: tuple, key_types: list, sums: np.ndarray, chunk: int = 200_000):
-    i, j = np.nonzero(np.triu(sums[0], 1) > 0)
+    """Pairs i < j that some row holds both of; the last two key values are the tile's blocks."""
+    *key_values, block_i, block_j = key_values
+    live = sums[0] > 0
+    i, j = np.nonzero(np.triu(live, 1) if block_i == block_j else live)
+    tile = sums.shape[1]
     for lo in range(0, len(i), chunk):
         a, b = i[lo : lo + chunk], j[lo : lo + chunk]
         cols = {
             k: pa.array([v] * len(a), type=t) for k, v, t in zip(keys, key_values, key_types)
         }
-        cols["i"] = pa.array(a.astype(np.int32))
-        cols["j"] = pa.array(b.astype(np.int32))
+        cols["i"] = pa.array((a + block_i * tile).astype(np.int32))
+        cols["j"] = pa.array((b + block_j * tile).astype(np.int32))
         for s, name in enumerate(_STATS):
             cols[name] = pa.array(sums[s][a, b])
         yield pa.RecordBatch.from_pydict(cols)
 
 
+def _tiled(packed: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
+    """A row per entity and pair of item blocks it has cells in: (keys, _bi, _bj, li, lv, ri, rv)."""
+    cut = packed.select(*keys, "idx", "val", F.expr(
+        f"array_sort(array_distinct(transform(idx, x -> cast(x div {tile} as int))))").alias("_blocks"))
+    pairs = "flatten(transform(_blocks, a -> transform(filter(_blocks, b -> b >= a), b -> struct(a as bi, b as bj))))"
+    cut = cut.select(*keys, F.arrays_zip("idx", "val").alias("_cells"), F.expr(f"explode({pairs})").alias("_t"))
+    side = lambda b: F.expr(f"filter(_cells, c -> c.idx div {tile} = _t.{b})")
+    cut = cut.select(*keys, F.col("_t.bi").alias("_bi"), F.col("_t.bj").alias("_bj"), side("bi").alias("_l"), side("bj").alias("_r"))
+    return cut.select(*keys, "_bi", "_bj", F.col("_l.idx").alias("li"), F.col("_l.val").alias("lv"), F.col("_r.idx").alias("ri"), F.col("_r.val").alias("rv"))
+
+
 def pair_sums(
     cells: DataFrame, keys: Sequence[str] = (), entity: str = "film_id", item: str = "item_id",
-    value: str = "value", max_items: int = MAX_ITEMS, named: bool = True,
+    value: str = "value", named: bool = True,
 ) -> DataFrame:
     """n, sums, squared sums and cross sums per (keys, item_i < item_j) over the
     entities holding both items."""
     keys = list(keys)
-    index = item_index(cells, item, max_items)
+    index = item_index(cells, item)
     sums = packed_sums(pack_rows(cells, index, keys, entity, item, value), keys)
     return name_pairs(sums, index, item) if named else sums
 
 
-def packed_sums(packed: DataFrame, keys: Sequence[str]) -> DataFrame:
+def packed_sums(packed: DataFrame, keys: Sequence[str], tile: int = TILE) -> DataFrame:
     """The six sums per (keys, i < j) from packed rows."""
     keys = list(keys)
 
+    by = [*keys, "_bi", "_bj"]
+
+    def sides(batch: pa.RecordBatch):
+        for i, v in (("li", "lv"), ("ri", "rv")):
+            column = batch.column(i)
+            lengths = np.diff(column.offsets.to_numpy())
+            idx = column.flatten().to_numpy(zero_copy_only=False) % tile
+            yield lengths, np.concatenate([[0], np.cumsum(lengths)]), idx, batch.column(v).flatten().to_numpy(zero_copy_only=False)
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: tuple | None = None
         acc: np.ndarray | None = None
@@ -104,36 +133,25 @@ def packed_sums(packed: DataFrame, keys: Sequence[str]) -> DataFrame:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            idx_col = batch.column("idx")
-            lengths = np.diff(idx_col.offsets.to_numpy())
-            idx = idx_col.flatten().to_numpy(zero_copy_only=False)
-            val = batch.column("val").flatten().to_numpy(zero_copy_only=False)
-            starts = np.concatenate([[0], np.cumsum(lengths)])
             types = [batch.column(k).type for k in keys]
-            # rows arrive sorted by key: one accumulator at a time
-            runs = [((), 0, batch.num_rows)]
-            if keys:
-                values = list(zip(*[batch.column(k).to_pylist() for k in keys]))
-                cuts = [r for r in range(len(values)) if r == 0 or values[r] != values[r - 1]] + [len(values)]
-                runs = [(values[lo], lo, hi) for lo, hi in zip(cuts, cuts[1:])]
-            for key, lo, hi in runs:
-                if acc is not None and key != current:
+            both = list(sides(batch))
+            # rows arrive sorted by key and tile: one accumulator at a time
+            values = list(zip(*[batch.column(k).to_pylist() for k in by]))
+            cuts = [r for r in range(len(values)) if r == 0 or values[r] != values[r - 1]] + [len(values)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if acc is not None and values[lo] != current:
                     yield from _emit(keys, current, types, acc)
                     acc = None
-                current = key
+                current = values[lo]
                 for at in range(lo, hi, _ROW_BLOCK):
                     end = min(at + _ROW_BLOCK, hi)
-                    cells = slice(starts[at], starts[end])
-                    if cells.start == cells.stop:
-                        continue
-                    rows = np.repeat(np.arange(end - at), lengths[at:end])
-                    p = int(idx[cells].max()) + 1
-                    if acc is None or acc.shape[1] < p:
-                        grown = np.zeros((len(_STATS), p, p))
-                        if acc is not None:
-                            grown[:, : acc.shape[1], : acc.shape[1]] = acc
-                        acc = grown
-                    acc[:, :p, :p] += _block_sums(rows, idx[cells], val[cells], end - at, p)
+                    parts = [
+                        (np.repeat(np.arange(end - at), n[at:end]), idx[s[at] : s[end]], val[s[at] : s[end]]) for n, s, idx, val in both
+                    ]
+                    wide = max(int(parts[0][1].max(initial=0)), int(parts[1][1].max(initial=0))) + 1
+                    if acc is None:
+                        acc = np.zeros((len(_STATS), tile, tile))
+                    acc[:, :wide, :wide] += _tile_sums(end - at, *parts, wide)
         if acc is not None:
             yield from _emit(keys, current, types, acc)
 
@@ -141,17 +159,16 @@ def packed_sums(packed: DataFrame, keys: Sequence[str]) -> DataFrame:
         f"`{k}` {packed.schema[k].dataType.simpleString()}, " for k in keys
     )
     ddl = key_ddl + "i int, j int, " + ", ".join(f"{s} double" for s in _STATS)
-    rows = packed.select(*keys, "idx", "val")
-    partials = (rows.sortWithinPartitions(*keys) if keys else rows).mapInArrow(partial, ddl)
+    partials = _tiled(packed, keys, tile).sortWithinPartitions(*by).mapInArrow(partial, ddl)
     return partials.groupBy(*keys, "i", "j").agg(*[F.sum(s).alias(s) for s in _STATS])
 
 
 def name_pairs(sums: DataFrame, index: DataFrame, item: str = "item_id") -> DataFrame:
-    """Replace item numbers by item ids (broadcast bounded by the item guard)."""
+    """Replace item numbers by item ids."""
     a = index.select(F.col("_idx").alias("i"), F.col(item).alias("item_i"))
     b = index.select(F.col("_idx").alias("j"), F.col(item).alias("item_j"))
     return (
-        sums.join(F.broadcast(a), "i").join(F.broadcast(b), "j").drop("i", "j")
+        sums.join(a, "i").join(b, "j").drop("i", "j")
         .withColumn("n", F.col("n").cast("bigint"))
     )
 
@@ -206,7 +223,7 @@ def cosine_similarity(
     b = norms.select(F.col(item).alias("item_j"), F.col("norm").alias("norm_j"))
     one = lambda c: F.when(F.col(c) == 0, 1.0).otherwise(F.col(c))
     return (
-        sums.join(F.broadcast(a), "item_i").join(F.broadcast(b), "item_j")  # item guard
+        sums.join(a, "item_i").join(b, "item_j")
         .select("item_i", "item_j", F.col("n").alias("support"),
                 (F.col("sxy") / (one("norm_i") * one("norm_j"))).alias("similarity"))
     )
@@ -230,15 +247,15 @@ def implicit_zero_correlation(
         *keys, "n_users", "i", F.explode(F.sequence(F.col("i") + 1, p - 1)).alias("j")
     )
     x = F.col(value)
-    col = centred.join(F.broadcast(index), item).groupBy(*keys, "_idx").agg(
+    col = centred.join(index, item).groupBy(*keys, "_idx").agg(
         F.sum(x).alias("s"), F.sum(x * x).alias("ss")
     )
     side = lambda c: col.select(
         *keys, F.col("_idx").alias(c), F.col("s").alias(f"s_{c}"), F.col("ss").alias(f"ss_{c}")
     )
     full = (
-        grid.join(F.broadcast(side("i")), [*keys, "i"], "left")
-        .join(F.broadcast(side("j")), [*keys, "j"], "left")
+        grid.join(side("i"), [*keys, "i"], "left")
+        .join(side("j"), [*keys, "j"], "left")
         .join(sums.select(*keys, "i", "j", "n", "sxy"), [*keys, "i", "j"], "left")
     )
     n = F.col("n_users")

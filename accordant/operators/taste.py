@@ -52,7 +52,7 @@ def taste_factors(centred: DataFrame, k: int, keys: Sequence[str] = ()) -> DataF
     """(keys, item_id, loadings): common factors of co-preference, strongest first."""
     corr, index = taste_matrix(centred, keys)
     load = L.loadings(corr, keys, k, method="taste")
-    return load.join(F.broadcast(index), load.i == index._idx).select(*keys, "item_id", "loadings")
+    return load.join(index, load.i == index._idx).select(*keys, "item_id", "loadings")
 
 
 def taste_components(centred: DataFrame, k: int) -> DataFrame:
@@ -61,7 +61,7 @@ def taste_components(centred: DataFrame, k: int) -> DataFrame:
     index = P.item_index(centred)
     x = F.col("centred")
     sums = P.pair_sums(centred, entity="user_id", value="centred", named=False).select("i", "j", F.col("sxy").alias("r"))
-    own = centred.join(F.broadcast(index), "item_id").groupBy("_idx").agg(F.sum(x * x).alias("r")).select(
+    own = centred.join(index, "item_id").groupBy("_idx").agg(F.sum(x * x).alias("r")).select(
         F.col("_idx").alias("i"), F.col("_idx").alias("j"), "r")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -72,7 +72,7 @@ def taste_components(centred: DataFrame, k: int) -> DataFrame:
         return pd.DataFrame({"i": ids, "loadings": list(v[:, top] * np.sqrt(lam)), "variance": [lam / lam.sum()] * len(ids)})
 
     out = L._keyed(sums.unionByName(own), (), solve, "i int, loadings array<double>, variance array<double>")
-    return out.join(F.broadcast(index), out.i == index._idx).select("item_id", "loadings", "variance")
+    return out.join(index, out.i == index._idx).select("item_id", "loadings", "variance")
 
 
 def replication(first: DataFrame, second: DataFrame, floor: float = REPLICATION_FLOOR) -> DataFrame:
