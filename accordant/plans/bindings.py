@@ -97,10 +97,13 @@ BINDINGS: dict[str, str] = {
         SELECT r.r_name AS set_id, s.s_suppkey AS film_id
         FROM {supplier} s JOIN {nation} n ON s.s_nationkey = n.n_nationkey
         JOIN {region} r ON n.n_regionkey = r.r_regionkey""",
-    "propositions": r"""
-        SELECT doc_id AS prop_id, source AS film_id, lang AS scorer,
-               regexp_extract(split_part(text, chr(10), 1), '^(([^ ]+ +){{0,15}}[^ ]+)', 1) AS text
-        FROM {documents}""",
+    # every sentence of every document is a statement
+    "propositions": """
+        SELECT doc_id * 100000 + pos AS prop_id, source AS film_id, lang AS scorer, text FROM (
+          SELECT doc_id, source, lang,
+                 posexplode(split(regexp_replace(text, '([.!?]) +', concat('$1', chr(10))), chr(10))) AS (pos, text)
+          FROM {documents}) s
+        WHERE trim(text) <> ''""",
     "evidence": """
         SELECT cast((doc_id - doc_id % 4) / 4 AS bigint) AS film_id, CASE doc_id % 4 WHEN 0 THEN 'plot' WHEN 1 THEN 'themes'
                WHEN 2 THEN 'reception' ELSE 'subtitles' END AS layer, text AS content
@@ -109,6 +112,16 @@ BINDINGS: dict[str, str] = {
         SELECT conv_id AS film_id, turn AS pos, turn * 30000 AS start_ms, text FROM {conversations}""",
 }
 
+# where the two engines have no common words for the same rows
+ORACLE_BINDINGS: dict[str, str] = {
+    "propositions": r"""
+        SELECT doc_id * 100000 + pos AS prop_id, source AS film_id, lang AS scorer, text FROM (
+          SELECT doc_id, source, lang, unnest(range(len(parts))) AS pos, unnest(parts) AS text FROM (
+            SELECT *, string_split(regexp_replace(text, '([.!?]) +', '\1' || chr(10), 'g'), chr(10)) AS parts
+            FROM {documents}) p) s
+        WHERE trim(text) <> ''""",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -131,7 +144,7 @@ def oracle_with(names: str, body: str) -> str:
     """
     ctes = []
     for name in names.split():
-        text = BINDINGS[name]
+        text = ORACLE_BINDINGS.get(name, BINDINGS[name])
         ctes.append(f"{name} AS ({text.format(**{t: t for t in _names(text)})})")
     body = body.strip()
     if not ctes:

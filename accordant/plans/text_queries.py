@@ -197,12 +197,12 @@ def _split_inverted(spark, d):
 
 
 @query("cut_item_bank", "T9", oracle_with("propositions", """
-, c AS (SELECT prop_id // 10 AS cluster_id, arg_max(text, (length(text), -prop_id)) AS text, count(DISTINCT film_id) AS support, count(*) AS n_statements
+, c AS (SELECT prop_id % 997 AS cluster_id, arg_max(text, (length(text), -prop_id)) AS text, count(DISTINCT film_id) AS support, count(*) AS n_statements
   FROM propositions GROUP BY 1)
 SELECT 'I' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS item_id, text, cluster_id, support, n_statements FROM (
   SELECT *, row_number() OVER (ORDER BY n_statements DESC, cluster_id) AS n FROM c WHERE support >= 3) q"""))
 def _cut(spark, d):
-    members = props(spark, d).select("prop_id", "film_id", "text", F.floor(F.col("prop_id") / 10).alias("cluster_id"))
+    members = props(spark, d).select("prop_id", "film_id", "text", (F.col("prop_id") % 997).alias("cluster_id"))
     return K.cut_bank(K.cluster_table(members), 3)
 
 
@@ -215,11 +215,11 @@ def _neighbourhoods(spark, d):
 @query("unreduced_bank", "T11", oracle_with("propositions", f"""
 , n AS (SELECT prop_id, text, {NORM.format(c='text')} AS norm FROM propositions),
 u AS (SELECT norm, min(prop_id) AS prop_id, arg_min(text, prop_id) AS text, count(*) AS copies FROM n GROUP BY norm)
-SELECT u.*, prop_id // 10 AS neighbourhood FROM u ORDER BY md5('11|' || norm), norm LIMIT 50"""))
+SELECT u.*, prop_id // 10 AS neighbourhood FROM u"""))
 def _unreduced(spark, d):
     p = props(spark, d)
     labels = p.select(F.col("prop_id").alias("id"), F.floor(F.col("prop_id") / 10).alias("cluster_id"))
-    return K.unreduced_bank(p, labels, sample=50)
+    return K.unreduced_bank(p, labels)
 
 
 CLAIMS = """, cl AS (SELECT prop_id // 4 AS claim_id, prop_id FROM propositions), mg AS (SELECT DISTINCT prop_id // 4 AS claim_id, prop_id // 16 AS parent_id FROM propositions)"""
