@@ -82,14 +82,27 @@ def response_cells(
     )
 
 
-def matrix_shape(cells: DataFrame, *keys: str) -> DataFrame:
-    """Films, items, engaged cells and density of each reading."""
+def film_counts(verdicts: DataFrame, *keys: str) -> DataFrame:
+    """All films of each reading, those without a contested cell too."""
+    return verdicts.groupBy(*keys).agg(F.count_distinct("film_id").alias("n_films"))
+
+
+def matrix_shape(cells: DataFrame, *keys: str, films: DataFrame | None = None) -> DataFrame:
+    """Films, items, engaged cells and density of each reading.
+
+    ``films``: rows of ``film_counts``. A film without any contested cell is an empty row of
+    the matrix; without ``films`` only those with a cell are counted.
+    """
     engaged = F.count_if(F.abs(F.col("value")) > ZERO)
-    return cells.groupBy(*keys).agg(
+    shape = cells.groupBy(*keys).agg(
         F.count_distinct("film_id").alias("n_films"),
         F.count_distinct("item_id").alias("n_items"),
         engaged.alias("n_engaged"),
-    ).withColumn("density", F.col("n_engaged") / (F.col("n_films") * F.col("n_items")))
+    )
+    if films is not None:
+        kept = shape.drop("n_films")
+        shape = (kept.join(films, list(keys)) if keys else kept.crossJoin(films)).select(*keys, "n_films", "n_items", "n_engaged")
+    return shape.withColumn("density", F.col("n_engaged") / (F.col("n_films") * F.col("n_items")))
 
 
 def require_matrix(cells: DataFrame, *keys: str, min_items: int = 2, min_films: int = 3) -> DataFrame:

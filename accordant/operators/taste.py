@@ -18,7 +18,6 @@ from accordant.session import cut_lineage
 
 REPLICATION_FLOOR = 0.85
 PROFILE_RATINGS = 10
-PROFILE_SAMPLE = 25_000
 MIN_RATERS = 200
 MIN_RATINGS = 5
 NULL_DRAWS = 60
@@ -142,7 +141,7 @@ def name_evidence(correlations: DataFrame, top: int = 6) -> DataFrame:
 
 
 def profile_reliability(
-    loadings: DataFrame, ratings: DataFrame, take: int = PROFILE_RATINGS, sample: int = PROFILE_SAMPLE,
+    loadings: DataFrame, ratings: DataFrame, take: int = PROFILE_RATINGS, sample: int | None = None,
     min_raters: int = MIN_RATERS, seed: str = "4",
 ) -> DataFrame:
     """How well a dimension places a person from ``take`` ratings: two disjoint halves
@@ -157,9 +156,11 @@ def profile_reliability(
         "item_id", "dim", ((F.col("l") - F.col("m")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).alias("z"))
     rated = ratings.join(loadings.select("item_id"), "item_id", "left_semi")
     able = rated.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 2 * take)
-    chosen = able.select("user_id", hash_hex(seed, "user_id").alias("_h")).orderBy("_h", "user_id").limit(sample)
+    chosen = able.select("user_id")
+    if sample is not None:
+        chosen = able.orderBy(hash_hex(seed, "user_id"), "user_id").limit(sample).select("user_id")
     w = Window.partitionBy("user_id").orderBy(hash_hex(seed, "user_id", "item_id"), "item_id")
-    picked = rated.join(chosen.select("user_id"), "user_id").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 2 * take)
+    picked = rated.join(chosen, "user_id").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 2 * take)
     picked = picked.withColumn("side", F.when(F.col("_r") <= take, 0).otherwise(1))
     mean = picked.groupBy("user_id", "side").agg(F.avg("stars").alias("_m"))
     x = F.col("stars") - F.col("_m")

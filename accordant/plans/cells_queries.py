@@ -77,12 +77,13 @@ def _response(spark, d):
 
 
 @query("matrix_density", "A3", oracle_with("verdicts", CELLS + """
-SELECT scorer, count(DISTINCT film_id) AS n_films, count(DISTINCT item_id) AS n_items,
+, fc AS (SELECT scorer, count(DISTINCT film_id) AS n_films FROM verdicts GROUP BY scorer)
+SELECT scorer, any_value(n_films) AS n_films, count(DISTINCT item_id) AS n_items,
   count(*) FILTER (WHERE abs(value) > 1e-12) AS n_engaged,
-  round(count(*) FILTER (WHERE abs(value) > 1e-12) / (count(DISTINCT film_id) * count(DISTINCT item_id)), 9) AS density
-FROM m GROUP BY scorer"""))
+  round(count(*) FILTER (WHERE abs(value) > 1e-12) / (any_value(n_films) * count(DISTINCT item_id)), 9) AS density
+FROM m JOIN fc USING (scorer) GROUP BY scorer"""))
 def _density(spark, d):
-    return C.matrix_shape(response(spark, d), *R).withColumn("density", F.round("density", 9))
+    return C.matrix_shape(response(spark, d), *R, films=C.film_counts(verdicts(spark, d), *R)).withColumn("density", F.round("density", 9))
 
 
 @query("respondent_centring", "A4", oracle_with("verdicts", CENTRED + """

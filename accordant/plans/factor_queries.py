@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from accordant.operators import cells as C
 from accordant.operators import factors as L
 from accordant.operators import pairs as P
-from accordant.plans.bindings import bind
+from accordant.plans.bindings import bind, oracle_with
+from accordant.plans.cells_queries import CORR
 from accordant.plans.registry import query
 from accordant.session import cut_lineage
 
@@ -36,6 +37,18 @@ def _spectrum_pca(spark, d):
     return L.spectrum(correlation(spark, d)[2], R, "pca")
 
 
+@query("spectrum_invariants", "M2", oracle_with("verdicts", CORR + """
+, p AS (SELECT scorer, count(DISTINCT item_id) AS n_items FROM m GROUP BY scorer),
+q AS (SELECT scorer, sum(r * r) AS rr FROM corr GROUP BY scorer)
+SELECT scorer, n_items, round(CAST(n_items AS DOUBLE), 6) AS trace, round(n_items + 2 * rr, 6) AS squares FROM p JOIN q USING (scorer)"""))
+def _spectrum_invariants(spark, d):
+    """Sum and sum of squares of the eigenvalues, which the correlations alone determine."""
+    w = L.spectrum(correlation(spark, d)[2], R, "pca")
+    return w.groupBy(*R).agg(
+        F.count(F.lit(1)).alias("n_items"), F.round(F.sum("eigenvalue"), 6).alias("trace"),
+        F.round(F.sum(F.col("eigenvalue") * F.col("eigenvalue")), 6).alias("squares"))
+
+
 @query("factor_loadings", "M4")
 def _loadings(spark, d):
     return L.loadings(correlation(spark, d)[2], R, 3)
@@ -79,5 +92,5 @@ def _halves(spark, d):
 
 @query("factor_analysis_report", "M10 M32")
 def _analyse(spark, d):
-    report, _items = L.analyse(response(spark, d), R, n_iter=100)
+    report, _items = L.analyse(response(spark, d), R, n_iter=200)
     return report.drop("observed", "null_threshold")

@@ -170,7 +170,7 @@ def _coherence_test(spark, d):
 def _battery(spark, d):
     v = bind(spark, d, "verdicts").filter("scorer = '1-URGENT'")
     lineage = v.groupBy("film_id", "item_id").agg(F.max("confidence").alias("hi")).filter("hi >= 0.99").select("film_id", "item_id")
-    return M.validation_battery(reading_cells(spark, d), bind(spark, d, "item_dimensions"), lineage, 200)
+    return M.validation_battery(reading_cells(spark, d), bind(spark, d, "item_dimensions"), lineage, 1000)
 
 
 @query("fit_coverage", "M18", oracle_with("item_dimensions", """

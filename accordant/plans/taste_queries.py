@@ -94,7 +94,7 @@ def _orient(spark, d):
 @query("profile_reliability", "M25 F14", oracle_with("ratings factor_items", """
 , ll AS (SELECT item_id, 0 AS dim, l1 AS l FROM factor_items UNION ALL SELECT item_id, 1, l2 FROM factor_items UNION ALL SELECT item_id, 2, l3 FROM factor_items),
 zz AS (SELECT item_id, dim, (l - avg(l) OVER (PARTITION BY dim)) / stddev_pop(l) OVER (PARTITION BY dim) AS z FROM ll),
-able AS (SELECT user_id FROM ratings GROUP BY user_id HAVING count(*) >= 20 ORDER BY md5('4|' || user_id), user_id LIMIT 25000),
+able AS (SELECT user_id FROM ratings GROUP BY user_id HAVING count(*) >= 20),
 pk AS (SELECT user_id, item_id, stars, row_number() OVER (PARTITION BY user_id ORDER BY md5('4|' || user_id || '|' || item_id), item_id) AS r
    FROM ratings JOIN able USING (user_id) QUALIFY r <= 20),
 sd AS (SELECT *, CASE WHEN r <= 10 THEN 0 ELSE 1 END AS side FROM pk),
@@ -117,7 +117,7 @@ def _residual(spark, d):
 def _residual_test(spark, d):
     v = bind(spark, d, "verdicts").filter("scorer = '1-URGENT'")
     cells = C.response_cells(v).select("film_id", "item_id", "value")
-    return T.taste_residual_test(cells, PQ.film_taste(spark, d), n_iter=100).drop("observed", "null_threshold")
+    return T.taste_residual_test(cells, PQ.film_taste(spark, d), n_iter=200).drop("observed", "null_threshold")
 
 
 def adjusted(spark, d):

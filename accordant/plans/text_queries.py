@@ -113,7 +113,17 @@ def _names(spark, d):
     return table(spark, d, "documents").select("doc_id", X.proper_nouns(F.col("text")).alias("names"))
 
 
-@query("house_style_problems", "F7")
+_USES = lambda vocab: "regexp_matches(' ' || lower(t) || ' ', ' (" + "|".join(vocab) + ")[ ,]')"
+
+
+@query("house_style_problems", "F7", oracle_with("propositions", r"""
+, s AS (SELECT prop_id, film_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM propositions),
+w AS (SELECT *, len(list_filter(string_split_regex(t, '\s+'), lambda x: x <> '')) AS n,
+  list_filter(regexp_extract_all(t, '([A-Za-z][\p{L}\p{M}\p{N}_''-]*)', 1)[2:], lambda x: regexp_matches(x, '^[A-Z]') AND x NOT IN ('I', 'A')) AS names FROM s)
+SELECT prop_id, CASE WHEN t = '' THEN ['empty'] ELSE list_filter([CASE WHEN n < 11 THEN 'too_short' END, CASE WHEN n > 22 THEN 'too_long' END,
+  CASE WHEN NOT ends_with(t, '.') THEN 'no_full_stop' END, CASE WHEN regexp_matches(t, '[.!?]\s+\S') THEN 'many_sentences' END,
+  CASE WHEN len(names) > 0 THEN 'names' END, CASE WHEN """ + _USES(X.VERDICT_WORDS) + " THEN 'verdict_words' END, CASE WHEN "
+    + _USES(X.CRITIC_WORDS) + """ THEN 'critic_words' END], lambda x: x IS NOT NULL) END AS problems FROM w"""))
 def _style(spark, d):
     p = props(spark, d)
     return p.select("prop_id", X.house_style_problems(F.col("text"), F.col("film_id")).alias("problems"))

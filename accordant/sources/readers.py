@@ -11,7 +11,6 @@ from accordant.functions.text import imdb_key
 
 RATINGS_SCHEMA = "userId long, movieId int, rating double, timestamp long"
 LINKS_SCHEMA = "movieId int, imdbId string, tmdbId string"
-LINK_LIMIT = 1_000_000
 
 
 def decode_list(c: Column) -> Column:
@@ -37,14 +36,11 @@ def film_links(films: DataFrame, links: DataFrame) -> DataFrame:
 def read_ratings(spark: SparkSession, path: str, links: DataFrame) -> DataFrame:
     """Ratings CSV cut to the linked movies.
 
-    Only three columns are parsed.  The link side holds one row per film of the
-    catalogue; it is broadcast while its counted size is small and shuffled beyond.
+    Only three columns are parsed.  How the links are sent is left to Spark's own size check.
     """
     raw = spark.read.schema(RATINGS_SCHEMA).csv(path, header=True).select(
         F.col("userId").alias("user_id"), F.col("movieId").alias("movie_id"), F.col("rating").alias("stars"))
     ids = links.select("movie_id").distinct()
-    if ids.limit(LINK_LIMIT + 1).count() <= LINK_LIMIT:
-        ids = F.broadcast(ids)
     return raw.join(ids, "movie_id", "left_semi")
 
 
