@@ -18,6 +18,10 @@ depth are exactly the repeated windows.
    full depth: its surrounding bytes are fetched and all windows in them compared. A group
    of over ``WIDE`` such rows is compared by the windows themselves in an aggregation.
 
+An anchor at the edge of a passage that very many documents hold has a row for each of
+them. Such anchors are found on a sample and replaced by their windows from the start, so
+that no key holds a large share of the rows.
+
 Steps are written tables in the shared checkpoint folder. Digits are compared as 128 bits of
 hashes, windows of a group as 64 bits beside the anchor.
 
@@ -40,6 +44,8 @@ from accordant.session import cut_lineage
 THRESHOLD = 100
 GRAM = 32
 WIDE = 20_000
+SAMPLE_TEXTS = 2_000
+HEAVY_SHARE = 0.01
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _BASE = 0x5851F42D4C957F2D
 _TABLE = np.random.default_rng(1990).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,9 +85,14 @@ def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(data: np.ndarray, sizes: np.ndarray, threshold: int = THRESHOLD, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def anchors(
+    data: np.ndarray, sizes: np.ndarray, threshold: int = THRESHOLD, gram: int = GRAM, heavy: np.ndarray | None = None
+) -> tuple[np.ndarray, ...]:
     """Of texts one after another: (text, place, bytes of context before and after the
-    place, hash of the anchor, hash of the context) of every anchor."""
+    place, hash of the anchor, hash of the context) of every anchor.
+
+    An anchor listed in ``heavy`` is replaced by the windows around it, each of which is its
+    own anchor and has nothing around it."""
     none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if len(data) < threshold:
         return none
@@ -107,7 +118,22 @@ def anchors(data: np.ndarray, sizes: np.ndarray, threshold: int = THRESHOLD, gra
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letter * up[: len(data)])])
     context = (total[place + after] - total[place - before]) * down[place - before]
     context = _mix(context + (before * 256 + after).astype(np.uint64) * np.uint64(_ODD[5]))
-    return text, place - begin, before, after, g[place], context
+    anchor = g[place]
+    place -= begin
+    if heavy is None or not len(heavy):
+        return text, place, before, after, anchor, context
+    hit = np.isin(anchor, heavy)
+    least = np.maximum(0, threshold - after[hit])
+    many = np.maximum(0, before[hit] - least + 1)
+    row = np.repeat(np.flatnonzero(hit), many)
+    back = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(least, many)
+    start = place[row] + begin[row] - back
+    value = (total[start + threshold] - total[start]) * down[start]
+    name = _mix(value ^ _mix(anchor[row] + back.astype(np.uint64) * np.uint64(_ODD[1])))
+    rest = ~hit
+    same = np.full(len(row), threshold)
+    more = (text[row], place[row] - back, same - threshold, same, name, value)
+    return tuple(np.concatenate([c[rest], m]) for c, m in zip((text, place, before, after, anchor, context), more, strict=True))
 
 
 def _equal_before(*columns: np.ndarray) -> np.ndarray:
@@ -124,7 +150,21 @@ _ROW_SCHEMA = "anchor long, context long, doc long, place int, extent int"
 _SPAN_SCHEMA = "anchor long, doc long, lo int, hi int"
 
 
-def first_digits(docs: DataFrame) -> DataFrame:
+def heavy_anchors(docs: DataFrame, most: int = SAMPLE_TEXTS, share: float = HEAVY_SHARE) -> np.ndarray:
+    """Anchors that stand in different surroundings in over ``share`` of a sample of texts:
+    the edges of passages that very many documents hold.
+
+    They decide how rows are dealt out, never what is compared. A text has an anchor in
+    about 35 bytes, so the list is bounded by a text's anchors over ``share``.
+    """
+    every = max(1, docs.count() // most)
+    some = docs.filter(F.pmod(F.xxhash64("doc"), F.lit(every)) == 0)
+    kinds = first_digits(some).filter("context is not null").groupBy("anchor").count()
+    least = max(20, int(share * most))
+    return np.array([r["anchor"] for r in kinds.filter(F.col("count") >= least).collect()], np.int64).view(np.uint64)
+
+
+def first_digits(docs: DataFrame, heavy: np.ndarray | None = None) -> DataFrame:
     """Rows ``(anchor, context, doc, place, extent)`` that are first of their kind in their
     task; ``extent`` packs the bytes before and after. Others become spans: rows without
     ``context``, ``place`` to ``extent`` being the repeated bytes."""
@@ -163,7 +203,7 @@ def first_digits(docs: DataFrame) -> DataFrame:
         for b in batches_by_size(batches, "text", 1 << 18):
             raw = [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
             sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-            text, place, before, after, anchor, context = anchors(np.frombuffer(b"".join(raw), np.uint8), sizes)
+            text, place, before, after, anchor, context = anchors(np.frombuffer(b"".join(raw), np.uint8), sizes, heavy=heavy)
             if len(text):
                 held.append((anchor, context, b.column("doc").to_numpy()[text], place, before, after))
                 n += len(text)
@@ -347,7 +387,7 @@ def wide_groups(rows: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``(doc, lo, hi)``: bytes to remove, in overlapping pieces. ``docs``: (doc, text), ids distinct."""
     spark = docs.sparkSession
-    found = cut_lineage(second_digits(first_digits(docs)))
+    found = cut_lineage(second_digits(first_digits(docs, heavy_anchors(docs))))
     free_shuffles(spark)
     places = found.filter("hi is null")
     sizes = places.groupBy("anchor").count()

@@ -147,10 +147,16 @@ def test_op6(spark, small):
     assert got == brute_removed([(r.doc_id, r.text) for r in small.collect()])
 
 
-@pytest.mark.parametrize("wide", [20_000, 3])
-def test_repeats_of_all_kinds(spark, monkeypatch, wide):
-    """Overlaps, periods and shared passages; a low ``WIDE`` sends every group down the wide path."""
+@pytest.mark.parametrize(("wide", "heavy"), [(20_000, "none"), (3, "none"), (20_000, "found"), (20_000, "all")])
+def test_repeats_of_all_kinds(spark, monkeypatch, wide, heavy):
+    """Overlaps, periods and shared passages; a low ``WIDE`` sends every group down the wide
+    path, and anchors are dealt out by their windows if none, some or all are heavy."""
     monkeypatch.setattr(suffix_dedup, "WIDE", wide)
+    if heavy == "none":
+        monkeypatch.setattr(suffix_dedup, "heavy_anchors", lambda docs: None)
+    if heavy == "all":
+        every = lambda docs: np.array([r.anchor for r in suffix_dedup.first_digits(docs).select("anchor").distinct().collect()], np.int64).view(np.uint64)
+        monkeypatch.setattr(suffix_dedup, "heavy_anchors", every)
     rng = random.Random(5)
     shared = ["".join(rng.choice("abc é") for _ in range(rng.randint(60, 260))) for _ in range(12)]
     docs = []
