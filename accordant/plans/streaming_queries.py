@@ -43,5 +43,5 @@ HAVING count(DISTINCT CASE WHEN reaction = 'yes' THEN user_id END) = n_members A
 def _agreed(spark, d):
     root = scratch(spark, "agreed")
     votes = stream(spark, d, "votes").withColumn("submitted_at", F.col("submitted_at").cast("timestamp"))
-    R.run_agreed_films(votes, bind(spark, d, "members"), root, f"{root}/log", "3650 days").awaitTermination()
+    R.run_agreed_films(votes, bind(spark, d, "members"), root, f"{root}/log").awaitTermination()
     return R.read_agreed(spark, root).select("session_id", "film_id", "n_members")

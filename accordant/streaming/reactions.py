@@ -9,6 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from accordant.operators.persons import REACTION_WEIGHTS, lookup
 from accordant.operators.ranking import agreed_films
 
+BUCKETS = 64
+
 
 def current_preferences(reactions: DataFrame) -> DataFrame:
     """Newest nonzero reaction per (user, film), kept up to date.
@@ -23,23 +25,12 @@ def current_preferences(reactions: DataFrame) -> DataFrame:
         "user_id", "film_id", "p.weight", F.col("p.reaction").alias("detail"), "p.submitted_at", "p.event_id")
 
 
-def upsert_preferences(spark: SparkSession, root: str):
-    """A foreachBatch sink: each batch writes a new version of the table and then moves
-    the pointer, so a batch that is run again or dies half-way leaves no mix."""
+def append_changes(root: str):
+    """A foreachBatch sink: each batch writes the rows it changed under its own number, so
+    its cost follows the batch, and a batch that is run again replaces itself."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        session = batch.sparkSession
-        pointer = f"{root}/current"
-        try:
-            version = session.read.text(pointer).first()[0]
-            old = session.read.parquet(version)
-            batch = old.join(batch, ["user_id", "film_id"], "left_anti").unionByName(batch)
-        except Exception as missing:  # the first batch finds no pointer
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        target = f"{root}/v{epoch}"
-        batch.write.mode("overwrite").parquet(target)
-        session.range(1).select(F.lit(target).alias("value")).coalesce(1).write.mode("overwrite").text(pointer)
+        batch.write.mode("overwrite").parquet(f"{root}/changes/epoch={epoch}")
 
     return write
 
@@ -47,12 +38,16 @@ def upsert_preferences(spark: SparkSession, root: str):
 def run_current_preferences(reactions: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     return (
         current_preferences(reactions).writeStream.outputMode("update")
-        .foreachBatch(upsert_preferences(reactions.sparkSession, root))
+        .foreachBatch(append_changes(root))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(spark.read.text(f"{root}/current").first()[0])
+    """Each (user, film) as of the last batch that changed it."""
+    log = spark.read.parquet(f"{root}/changes")
+    rest = [c for c in log.columns if c not in ("user_id", "film_id", "epoch")]
+    newest = F.max_by(F.struct(*rest), "epoch").alias("p")
+    return log.groupBy("user_id", "film_id").agg(newest).select("user_id", "film_id", "p.*")
 
 
 def delivered_once(votes: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -62,19 +57,29 @@ def delivered_once(votes: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def run_agreed_films(votes: DataFrame, members: DataFrame, root: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
-    """Votes go to a log by batch; the agreed films of the sessions a batch touches are
-    worked out again from the log, the first vote of each person and film counting, and
-    written per batch."""
+    """Votes go to a log by bucket of sessions and batch; the agreed films of the sessions a
+    batch touches are worked out again from their buckets, the first vote of each person and
+    film counting, and written per batch."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{root}/votes/epoch={epoch}")
-        log = session.read.parquet(f"{root}/votes").filter(F.col("epoch") <= epoch).drop("epoch")
-        touched = batch.select("session_id").distinct()
-        first = F.min_by(F.struct("reaction", "submitted_at"), F.struct("submitted_at", "event_id"))
-        live = log.join(touched, "session_id", "left_semi").groupBy("session_id", "user_id", "film_id").agg(
-            first.alias("v")).select("session_id", "user_id", "film_id", "v.*")
-        agreed_films(live, members).write.mode("overwrite").parquet(f"{root}/agreed/epoch={epoch}")
+        bucket = F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int")
+        rows = batch.withColumn("bucket", bucket).withColumn("epoch", F.lit(epoch)).persist()
+        try:
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(f"{root}/votes")
+            touched = rows.select("session_id").distinct()
+            buckets = [r.bucket for r in rows.select("bucket").distinct().collect()]  # BUCKETS at most
+            if not buckets:
+                return
+            # only the touched buckets of the log are read
+            log = session.read.parquet(f"{root}/votes").filter(F.col("bucket").isin(buckets) & (F.col("epoch") <= epoch))
+            first = F.min_by(F.struct("reaction", "submitted_at"), F.struct("submitted_at", "event_id"))
+            live = log.join(touched, "session_id", "left_semi").groupBy("session_id", "user_id", "film_id").agg(
+                first.alias("v")).select("session_id", "user_id", "film_id", "v.*")
+            present = members.join(touched, "session_id", "left_semi")
+            agreed_films(live, present).write.mode("overwrite").parquet(f"{root}/agreed/epoch={epoch}")
+        finally:
+            rows.unpersist()
 
     return (
         delivered_once(votes, delay).writeStream.outputMode("append").foreachBatch(write)

@@ -16,7 +16,7 @@ HEADLINE = (
     "partition_agreement_null", "co_engagement_permutation_test", "coherence_permutation_test",
     "spectrum_common_factors", "parallel_analysis", "common_factor_groups", "split_half_overlap",
     "taste_factors", "profile_reliability", "taste_adjusted_positions", "person_placement",
-    "statement_clusters", "evidence_packets",
+    "distinct_statements", "evidence_packets",
 )
 
 
