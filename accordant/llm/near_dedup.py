@@ -8,10 +8,11 @@ are candidates, and the lowest four bits of each minimum are packed into a signa
 * A bucket of at most ``SMALL`` sets gives its pairs. Their signatures' matching bits,
   corrected for chance, estimate the similarity; pairs far below the threshold (five
   standard deviations) end here.
-* A larger bucket gives only a star from its first member, which says that its members
-  belong into one cluster, not that they are alike.
+* A larger bucket is estimated in blocks of ``BLOCK`` signatures inside tasks, which return
+  a forest of the components of what may be similar, one edge per member at most.
 
-Clusters are the components of both. Similarity is then decided on whole sets, cluster by
+Clusters are the components of both. So documents that only share a common passage meet
+in buckets, but not in clusters. Similarity is then decided on whole sets, cluster by
 cluster: intersections of all sets of a block at once, from counts of shared shingles. A
 cluster over ``BLOCK`` sets is dealt out to several blocks; what the first pass leaves
 outside the cluster's largest component meets all blocks in a second one. Tasks return
@@ -41,7 +42,7 @@ from accordant.llm.common import batches_by_size, components, partitions, texts
 from accordant.llm.fingerprints import shingles, word_hashes
 from accordant.session import cut_lineage
 
-WIDTH, PERCENT, ROWS = 5, 80, 4
+WIDTH, PERCENT, ROWS = 5, 80, 5
 SMALL = 12
 BLOCK = 2048
 BLOCK_SHINGLES = 3_000_000
@@ -118,15 +119,31 @@ def sketches(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary")
 
 
-def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``: pairs of small buckets that may be similar, and the stars of large ones."""
-    n = bands_for(percent) * ROWS
+def _least_estimate(percent: int) -> float:
+    """Five standard deviations of the estimate below the threshold."""
     share = percent / 100
-    least = share - 5 * math.sqrt(share * (1 - share) / n)
+    return share - 5 * math.sqrt(share * (1 - share) / (bands_for(percent) * ROWS))
+
+
+def _may_be_similar(rows: np.ndarray, least: float) -> np.ndarray:
+    """Whether the estimate of each pair of packed rows reaches ``least``; some rows at a time."""
+    out = np.empty((len(rows), len(rows)), bool)
+    values = 2 * rows.shape[1]
+    same = (least * (1 - 1 / 16) + 1 / 16) * values
+    for at in range(0, len(rows), 32):
+        met = np.zeros((len(rows[at : at + 32]), len(rows)), np.uint16)
+        for c in range(rows.shape[1]):
+            met += _ZERO_HALVES[rows[at : at + 32, c, None] ^ rows[None, :, c]]
+        out[at : at + 32] = met >= same
+    return out
+
+
+def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: component edges of the pairs that share a bucket and may be similar."""
+    least = _least_estimate(percent)
     members = reps.select(F.explode("bands").alias("key"), F.col("node"))
-    counts = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
+    counts = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = cut_lineage(members.join(counts, "key"))
-    stars = shared.filter((F.col("n") > SMALL) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     held = shared.filter(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("nodes"))  # SMALL at most
     pairs = (
         held.select("nodes", F.posexplode("nodes").alias("i", "a"))
@@ -146,7 +163,30 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
     own = reps.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
     other = reps.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
     near = pairs.join(own, "a").join(other, "b").filter(alike("sa", "sb") >= least).select("a", "b")
-    return near.union(stars.distinct())
+    return near.union(large_buckets(shared.filter(F.col("n") > SMALL), reps, least).distinct())
+
+
+def large_buckets(shared: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """Component edges within buckets of any size: every block of a bucket meets every other."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for t in _groups(batches, ("key", "lo", "hi"), BLOCK):
+            nodes = t.column("node").to_numpy()
+            raw = t.column("signature").to_pylist()
+            edges = forest(_may_be_similar(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), least))
+            if edges:
+                a, b = np.array(edges).T
+                yield pa.record_batch([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = shared.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.join(reps.select("node", "signature"), "node")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "signature")
+    by = ("key", "lo", "hi")
+    return rows.repartition(partitions(reps.sparkSession), *by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
 
 
 def shared_counts(rows: list[np.ndarray], columns: list[np.ndarray] | None = None) -> np.ndarray:
@@ -317,12 +357,13 @@ def confirmed(rows: DataFrame, reps: DataFrame, edges: DataFrame, width: int, pe
         .mapInArrow(run, "cluster long, node long, held binary").dropDuplicates(["node"])
     )
     sets = cut_lineage(sets.withColumn("size", F.length("held") / 8))
-    extent = sets.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("size").alias("s")).filter("m > 1")
+    extent = sets.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("size").alias("s"))
     blocks_of = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("s") / BLOCK_SHINGLES))
-    extent = extent.withColumn("blocks", blocks_of.cast("int")).select("cluster", "blocks")
-    blocks = sets.join(extent, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # only clusters of several blocks are listed, so the list is short and hot keys meet no shuffle
+    wide = cut_lineage(extent.withColumn("blocks", blocks_of.cast("int")).filter("blocks > 1").select("cluster", "blocks"))
+    blocks = sets.join(wide, "cluster", "left")
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int"))
     links = cut_lineage(first_pass(blocks, percent))
-    wide = extent.filter("blocks > 1")
     if wide.isEmpty():
         return links
     found = components(links)
