@@ -231,7 +231,7 @@ def fit(rows: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray] | float:
             at = np.flatnonzero(w)
             yield pa.record_batch([pa.array([view] * len(at)), pa.array(at, pa.int64()), pa.array(w[at])], ["view", "at", "value"])
 
-    found = rows.select("doc_id", "text", "lang", "source", "label").coalesce(1).mapInArrow(run, "view string, at long, value double").toPandas()
+    found = rows.select("doc_id", "text", "lang", "source", "label").repartition(1).mapInArrow(run, "view string, at long, value double").toPandas()
     share = found[found["view"] == "share"]
     if len(share):
         return float(share["value"].iloc[0])

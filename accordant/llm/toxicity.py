@@ -110,7 +110,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> D
 
 def fit(rows: DataFrame, bits: int = BITS, epochs: int = 4) -> dict[str, np.ndarray]:
     """Weights that are not zero: ``at`` (ascending), ``weight``, and the ``bias``; learned in
-    one task from rows of ``labelled``, whose number is bounded."""
+    one task from rows of ``labelled``, whose number is bounded. The tables are read by many."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -132,7 +132,7 @@ def fit(rows: DataFrame, bits: int = BITS, epochs: int = 4) -> dict[str, np.ndar
             at = np.append(np.flatnonzero(np.abs(model.z[:-1]) > model.l1), len(model.z) - 1)
             yield pa.record_batch([pa.array(at, pa.int64()), pa.array(model.weights(at))], ["at", "weight"])
 
-    found = rows.select("doc_id", "text", "toxic").coalesce(1).mapInArrow(run, "at long, weight double").toPandas()
+    found = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(run, "at long, weight double").toPandas()
     found = found.sort_values("at")
     at, weight = found["at"].to_numpy(np.int64), found["weight"].to_numpy()
     if not len(at):
