@@ -103,7 +103,7 @@ def displacement(
     """How far a child entity moved from its parent, per variant, with the ratio
     of the summary variant's displacement to the dialogue variant's."""
     keys = list(keys)
-    p = cells.join(F.broadcast(pairs), cells.film_id == pairs.parent_id).select(
+    p = cells.join(pairs, cells.film_id == pairs.parent_id).select(
         *keys, "parent_id", "child_id", "variant", "item_id", F.col("value").alias("p"))
     c = cells.select(*keys, F.col("film_id").alias("child_id"), "variant", "item_id", F.col("value").alias("c"))
     per = p.join(c, [*keys, "child_id", "variant", "item_id"]).groupBy(
@@ -159,7 +159,7 @@ def co_engagement(cells: DataFrame, assignments: DataFrame, keys: Sequence[str]
     sum of c(c-1)/2 per (packet, axis) over sum of N(N-1)/2 per packet."""
     keys = list(keys)
     packet = [*keys, "film_id", "variant"]
-    per_axis = cells.join(F.broadcast(assignments), "item_id").groupBy(*packet, "dim_id").agg(
+    per_axis = cells.join(assignments, "item_id").groupBy(*packet, "dim_id").agg(
         F.count(F.lit(1)).cast("double").alias("c"))
     per = per_axis.groupBy(*packet).agg(
         F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("same"), F.sum("c").alias("N"))
@@ -175,7 +175,7 @@ def stance_coherence(
     """Mean |sum of signed verdicts| / count over (packet, axis) cells with enough items."""
     keys = list(keys)
     signed = F.col("polarity") * F.col("value")
-    per = cells.join(F.broadcast(assignments), "item_id").groupBy(*keys, "film_id", "variant", "dim_id").agg(
+    per = cells.join(assignments, "item_id").groupBy(*keys, "film_id", "variant", "dim_id").agg(
         F.count(F.lit(1)).alias("c"), F.sum(signed).alias("s")).filter(F.col("c") >= min_items)
     return per.groupBy(*keys).agg(
         F.avg(F.abs(F.col("s")) / F.col("c")).alias("coherence"), F.count(F.lit(1)).alias("n_cells"))
@@ -194,7 +194,7 @@ def scorer_report(cells: DataFrame, refusals: DataFrame) -> DataFrame:
 
 def axis_lean(cells: DataFrame, assignments: DataFrame, incumbent: str) -> DataFrame:
     """Mean signed verdict per scorer and axis, and its gap to the incumbent's."""
-    lean = cells.join(F.broadcast(assignments), "item_id").groupBy("scorer", "dim_id").agg(
+    lean = cells.join(assignments, "item_id").groupBy("scorer", "dim_id").agg(
         F.avg(F.col("polarity") * F.col("value")).alias("lean"), F.count(F.lit(1)).alias("n"))
     base = lean.filter(F.col("scorer") == incumbent).select("dim_id", F.col("lean").alias("incumbent_lean"))
     return lean.filter(F.col("scorer") != incumbent).join(F.broadcast(base), "dim_id").withColumn(

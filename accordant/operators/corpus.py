@@ -65,7 +65,7 @@ def funnel(**tables: DataFrame) -> DataFrame:
 
 def widest_variant(verdicts: DataFrame, assignments: DataFrame | None = None) -> DataFrame:
     """(film_id, variant): the variant with the most rows on assigned items, first of equals."""
-    rows = verdicts if assignments is None else verdicts.join(F.broadcast(assignments.select("item_id")), "item_id", "left_semi")
+    rows = verdicts if assignments is None else verdicts.join(assignments.select("item_id"), "item_id", "left_semi")
     n = rows.groupBy("film_id", "variant").agg(F.count(F.lit(1)).alias("n"))
     ranked = Window.partitionBy("film_id").orderBy(F.desc("n"), "variant")
     return n.withColumn("_r", F.row_number().over(ranked)).filter(F.col("_r") == 1).select("film_id", "variant")
@@ -74,7 +74,7 @@ def widest_variant(verdicts: DataFrame, assignments: DataFrame | None = None) ->
 def film_profiles(verdicts: DataFrame, assignments: DataFrame) -> DataFrame:
     """Mean signed verdict per axis from each film's widest variant."""
     wide = widest_variant(verdicts, assignments)
-    rows = verdicts.join(wide, ["film_id", "variant"]).join(F.broadcast(assignments), "item_id")
+    rows = verdicts.join(wide, ["film_id", "variant"]).join(assignments, "item_id")
     return rows.groupBy("film_id", "variant", "dim_id").agg(
         F.avg(F.col("polarity") * F.col("value")).alias("net"), F.count(F.lit(1)).alias("n_items"))
 
@@ -88,7 +88,7 @@ def film_axes(verdicts: DataFrame, assignments: DataFrame, texts: DataFrame) ->
     """Every verdict behind a film's axis: label, direction, and its place by
     |value x confidence|.  One row per verdict, so no film's evidence is gathered."""
     wide = widest_variant(verdicts, assignments)
-    rows = verdicts.join(wide, ["film_id", "variant"]).join(F.broadcast(assignments), "item_id").join(F.broadcast(texts), "item_id")
+    rows = verdicts.join(wide, ["film_id", "variant"]).join(assignments, "item_id").join(texts, "item_id")
     signed = F.col("polarity") * F.col("value")
     toward = F.when(signed > 0, "high").when(signed < 0, "low")
     verdict = F.when(F.col("value") > 0, "affirms").when(F.col("value") < 0, "denies").otherwise("not addressed")

@@ -50,13 +50,13 @@ def co_engagement_test(cells: DataFrame, assignments: DataFrame, n: int = 1000,
     Packets are reduced once to co-engagement counts per item pair; a replicate
     then only compares labels over those p(p-1)/2 counts.
     """
-    packets = cells.join(F.broadcast(assignments.select("item_id")), "item_id").withColumn(
+    packets = cells.join(assignments.select("item_id"), "item_id").withColumn(
         "packet", F.struct("film_id", "variant")).withColumn("one", F.lit(1.0))
     counts = cut_lineage(P.pair_sums(packets, (), "packet", "item_id", "one").select("item_i", "item_j", "n"))
     labels = cut_lineage(label_permutations(assignments, n, seed))
     side = lambda s: labels.select("rep", F.col("item_id").alias(f"item_{s}"), F.col("dim_id").alias(f"d_{s}"))
     # labels hold n replicates of the guarded item bank
-    stat = counts.join(F.broadcast(side("i")), "item_i").join(F.broadcast(side("j")), ["rep", "item_j"]).groupBy("rep").agg(
+    stat = counts.join(side("i"), "item_i").join(side("j"), ["rep", "item_j"]).groupBy("rep").agg(
         (F.sum(F.when(F.col("d_i") == F.col("d_j"), F.col("n")).otherwise(0)) / F.sum("n")).alias("stat"))
     return null_summary(cut_lineage(stat))
 
@@ -70,7 +70,7 @@ def coherence_test(
     partial sum per replicate; packets are never repeated per replicate.
     """
     index = P.item_index(assignments.select("item_id"))
-    signed = cells.join(F.broadcast(assignments.select("item_id", "polarity")), "item_id").withColumn(
+    signed = cells.join(assignments.select("item_id", "polarity"), "item_id").withColumn(
         "signed", F.col("polarity") * F.col("value"))
     packed = P.pack_rows(signed, index, ["variant"], "film_id", "item_id", "signed").select("idx", "val")
     # n x items label numbers: bounded by the replicate count and the item guard

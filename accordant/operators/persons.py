@@ -57,7 +57,7 @@ def film_positions(cells: DataFrame, loadings: DataFrame, keys: Sequence[str] =
     unit = loadings.agg(F.avg(F.abs("strength")).alias("u")).scalar()
     w = F.abs("strength")
     v = F.col("value") / MAX_STRENGTH * F.signum("strength")
-    per = cells.join(F.broadcast(loadings), "item_id").groupBy(*keys, "film_id", "factor_id").agg(
+    per = cells.join(loadings, "item_id").groupBy(*keys, "film_id", "factor_id").agg(
         F.sum(v * w).alias("_num"), F.sum(w).alias("_den"), F.count(F.lit(1)).alias("n_items"))
     return per.select(
         *keys, "film_id", "factor_id", (F.col("_num") / F.col("_den")).alias("position"), "n_items",
@@ -67,7 +67,7 @@ def film_positions(cells: DataFrame, loadings: DataFrame, keys: Sequence[str] =
 def contributions(cells: DataFrame, loadings: DataFrame) -> DataFrame:
     """Signed share of every verdict in its film's position; the terms sum to it."""
     w = F.abs("strength")
-    rows = cells.join(F.broadcast(loadings), "item_id")
+    rows = cells.join(loadings, "item_id")
     total = rows.groupBy("film_id", "factor_id").agg(F.sum(w).alias("_total"))
     return rows.join(total, ["film_id", "factor_id"]).select(
         "film_id", "factor_id", "item_id", "value", F.col("strength").alias("loading"),

@@ -260,7 +260,7 @@ def items_by_pole(items: DataFrame, min_weight: float = 0.20, per_end: int = 40,
 def factor_detail(cells: DataFrame, items: DataFrame, positions: DataFrame, min_items: int = 3) -> DataFrame:
     """Per factor: affirmations and denials of its own items, corpus score and the
     number of films with enough items to be placed."""
-    sides = cells.join(F.broadcast(items.select("item_id", "factor_id")), "item_id").groupBy("factor_id").agg(
+    sides = cells.join(items.select("item_id", "factor_id"), "item_id").groupBy("factor_id").agg(
         F.count_if(F.col("value") > 0).alias("affirms"), F.count_if(~(F.col("value") > 0)).alias("denies"))
     placed = positions.filter(F.col("n_items") >= min_items).groupBy("factor_id").agg(F.count(F.lit(1)).alias("films_positioned"))
     total = F.col("affirms") + F.col("denies")

@@ -42,7 +42,7 @@ def taste_matrix(centred: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFram
     index = P.item_index(centred)
     corr = P.implicit_zero_correlation(centred, keys=keys)
     num = lambda s, c: index.select(F.col("item_id").alias(f"item_{s}"), F.col("_idx").alias(c))
-    pairs = corr.join(F.broadcast(num("i", "i")), "item_i").join(F.broadcast(num("j", "j")), "item_j").select(*keys, "i", "j", "r")
+    pairs = corr.join(num("i", "i"), "item_i").join(num("j", "j"), "item_j").select(*keys, "i", "j", "r")
     groups = centred.select(*keys).distinct() if keys else None
     return pairs.unionByName(_diag(index, groups, F.lit(1.0))), index
 
@@ -164,7 +164,7 @@ def profile_reliability(
     picked = picked.withColumn("side", F.when(F.col("_r") <= take, 0).otherwise(1))
     mean = picked.groupBy("user_id", "side").agg(F.avg("stars").alias("_m"))
     x = F.col("stars") - F.col("_m")
-    per = picked.join(mean, ["user_id", "side"]).withColumn("w", x).join(F.broadcast(z), "item_id").groupBy("user_id", "side", "dim").agg(
+    per = picked.join(mean, ["user_id", "side"]).withColumn("w", x).join(z, "item_id").groupBy("user_id", "side", "dim").agg(
         F.sum(F.col("z") * F.col("w")).alias("num"), F.sum(F.abs("w")).alias("den"))
     pos = per.filter(F.col("den") > C.ZERO).select("user_id", "side", "dim", (F.col("num") / F.col("den")).alias("p"))
     both = pos.groupBy("user_id", "dim").agg(
@@ -231,7 +231,7 @@ def residual_cells(cells: DataFrame, taste: DataFrame, alpha: float = 1.0, min_f
 
     coef = _moments(rows, ["item_id"]).groupBy("item_id").applyInPandas(fit, "item_id string, beta array<double>, level double")
     dot = F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    out = rows.join(F.broadcast(coef), "item_id")  # one row per guarded item
+    out = rows.join(coef, "item_id")  # one row per guarded item
     return out.select("film_id", "item_id", F.col("value").alias("control"), (F.col("value") - F.col("level") - dot).alias("value"))
 
 

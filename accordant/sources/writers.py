@@ -175,7 +175,7 @@ def run_cost(runs: DataFrame, prices: DataFrame) -> DataFrame:
     """
     fresh = F.col("input_tokens") - F.col("cached_tokens")
     usd = (fresh * F.col("in_price") + F.col("cached_tokens") * F.col("in_price") * 0.1 + F.col("output_tokens") * F.col("out_price")) / 1e6
-    return runs.join(F.broadcast(prices), "model", "left").withColumn("cost_usd", F.coalesce(usd, F.lit(0.0))).drop("in_price", "out_price")
+    return runs.join(prices, "model", "left").withColumn("cost_usd", F.coalesce(usd, F.lit(0.0))).drop("in_price", "out_price")
 
 
 def seed_sync(films: DataFrame, seeds: DataFrame) -> DataFrame:
