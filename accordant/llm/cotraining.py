@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from accordant.llm.common import batches_by_size
 
-MOST_LABELLED = 6_000
-MOST_OPEN = 6_000
+MOST_LABELLED = 4_000
+MOST_OPEN = 4_000
 ROUNDS = 4
 BITS = 13
 PAGE_BITS = 8
@@ -120,6 +120,14 @@ class Logistic:
         return np.add.reduceat(self.w[at] * value, cuts)
 
 
+def _packed(rows):
+    """The same rows as views into two small arrays."""
+    at, value, cuts = _stack(rows)
+    at, value = at.astype(np.uint16), value.astype(np.float32)
+    ends = np.append(cuts[1:], len(at))
+    return [(at[a:b], value[a:b]) for a, b in zip(cuts, ends, strict=True)]
+
+
 def _stack(rows):
     sizes = np.array([len(a) for a, _ in rows])
     return np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows]), np.cumsum(sizes) - sizes
@@ -217,9 +225,11 @@ def fit(rows: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray] | float:
         import pyarrow as pa
 
         kept = []
-        for b in batches:
-            for d, t, lang, source, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "lang", "source", "label")), strict=True):
-                kept.append((zlib.crc32(str(d).encode()), d, y, content(t), page(t, lang, source)))
+        for b in batches_by_size(batches, "text"):
+            ids, text, lang, source, label = (b.column(c).to_pylist() for c in ("doc_id", "text", "lang", "source", "label"))
+            # views into one array a batch, so that their memory is given back as a whole
+            read = _packed([content(t) for t in text]), _packed([page(*r) for r in zip(text, lang, source, strict=True)])
+            kept += [(zlib.crc32(str(d).encode()), d, y, *views) for d, y, *views in zip(ids, label, *read, strict=True)]
         kept.sort(key=lambda r: r[:3])
         label = np.array([r[2] for r in kept], np.int64)
         known = label[label >= 0]

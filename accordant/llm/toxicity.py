@@ -1,7 +1,8 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A text's features are the hashes of its words, of adjacent pairs, and of pairs with one or
-two words between; each counts once. Every coordinate has its own learning rate, and L1
+two words between; each counts once. Features in fewer than ``LEAST_TEXTS`` of the learned
+rows, by a sketch of counts, are left out before learning. Every coordinate has its own learning rate, and L1
 keeps most weights at exactly zero, so what is sent to the tasks is a short list.
 
 Labels are learned from at most ``MOST_LABELLED`` rows (chosen by a hash of the id among
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 
 from accordant.llm.common import batches_by_size, texts
 
-MOST_LABELLED = 12_000
-BITS = 24
+MOST_LABELLED = 8_000
+BITS = 32
+LEAST_TEXTS = 4
+SKETCH = 1 << 24
 WORD = re.compile(r"\w+")
 # odd multipliers that set the kinds of feature apart
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -66,7 +69,7 @@ class FTRL:
     """Per-coordinate FTRL-proximal for rows of distinct 0/1 features; the last coordinate is the bias.
     A row of the rare class (label 1) counts ``rare`` times."""
 
-    def __init__(self, size: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.001, rare: float = 3.0) -> None:
+    def __init__(self, size: int, alpha: float = 4.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.001, rare: float = 2.0) -> None:
         self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)
         self.alpha, self.beta, self.l1, self.l2, self.rare = alpha, beta, l1, l2, rare
 
@@ -108,7 +111,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> D
     return docs.join(F.broadcast(chosen), "doc_id")  # at most ``most`` rows
 
 
-def fit(rows: DataFrame, bits: int = BITS, epochs: int = 4) -> dict[str, np.ndarray]:
+def fit(rows: DataFrame, bits: int = BITS, epochs: int = 5) -> dict[str, np.ndarray]:
     """Weights that are not zero: ``at`` (ascending), ``weight``, and the ``bias``; learned in
     one task from rows of ``labelled``, whose number is bounded. The tables are read by many."""
 
@@ -116,21 +119,28 @@ def fit(rows: DataFrame, bits: int = BITS, epochs: int = 4) -> dict[str, np.ndar
         import pyarrow as pa
 
         kept: list = []
+        seen = np.zeros(SKETCH, np.uint16)
         for b in batches_by_size(batches, "text"):
             owner, found = features(b.column("text").to_pylist(), bits)
             key = np.unique(owner.astype(np.int64) << 32 | found)
             cuts = np.searchsorted(key >> 32, np.arange(b.num_rows + 1))
-            found = (key & 0xFFFFFFFF).astype(np.int32)
+            found = (key & 0xFFFFFFFF).astype(np.uint32)
+            np.add.at(seen, found & (SKETCH - 1), 1)
             ids, toxic = b.column("doc_id").to_pylist(), b.column("toxic").to_pylist()
             kept += [(ids[i], toxic[i], found[cuts[i] : cuts[i + 1]]) for i in range(b.num_rows)]
         kept.sort(key=lambda r: zlib.crc32(str(r[0]).encode()))
-        model = FTRL(1 << bits)
+        kept = [(label, row[seen[row & (SKETCH - 1)] >= LEAST_TEXTS]) for _, label, row in kept]
+        known = np.unique(np.concatenate([row for _, row in kept])) if kept else np.empty(0, np.uint32)
+        rows = [(label, np.searchsorted(known, row)) for label, row in kept]
+        del kept, seen
+        model = FTRL(len(known), l1=min(10.0, 4 + len(rows) / 700))  # few rows overcome less
         for _ in range(epochs):
-            for _, label, row in kept:
+            for label, row in rows:
                 model.learn(row, label)
-        if kept:
-            at = np.append(np.flatnonzero(np.abs(model.z[:-1]) > model.l1), len(model.z) - 1)
-            yield pa.record_batch([pa.array(at, pa.int64()), pa.array(model.weights(at))], ["at", "weight"])
+        if rows:
+            at = np.append(np.flatnonzero(np.abs(model.z[:-1]) > model.l1), len(known))
+            name = np.append(known.astype(np.int64), 1 << bits)[at]  # the bias comes last
+            yield pa.record_batch([pa.array(name, pa.int64()), pa.array(model.weights(at))], ["at", "weight"])
 
     found = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(run, "at long, weight double").toPandas()
     found = found.sort_values("at")

@@ -77,7 +77,7 @@ def test_toxicity_on_held_out_rows(spark):
 
 def test_ftrl_is_sparse_and_finds_the_words():
     rng = np.random.default_rng(0)
-    model = toxicity.FTRL(1000)
+    model = toxicity.FTRL(1000, l1=4.0)
     for _ in range(1500):
         row = np.unique(rng.integers(0, 1000, 30))
         model.learn(row, int(7 in row or 8 in row))
