@@ -14,8 +14,9 @@ def main() -> None:
     by_id: dict[str, list[str]] = {i: [] for i in titles}
     for e in load_all().values():
         for i in e.ids:
-            by_id.setdefault(i, []).append(f"`{e.name}`" + ("" if e.sql else " (tests)"))
-    lines = ["# Coverage", "", "Queries without SQL are marked (tests): brute force or planted data checks them.", "",
+            by_id.setdefault(i, []).append(f"`{e.name}`" + ("" if e.sql else " (no SQL)"))
+    lines = ["# Coverage", "", "Queries marked (no SQL) have none; tests check their operators by brute force, planted data or "
+             "invariants, though not each of these queries from end to end.", "",
              "| Id | Operator | Queries |", "|---|---|---|"]
     for i, t in titles.items():
         short = re.split(r"[.;:(]", t.replace("*re-aim* ", ""))[0].strip()[:90]
