@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from accordant.llm.common import keep_only, register_cache
+
 # a space that white space or the end follows does not begin a token of its own
 _LOOSE = re.compile(r" (?:\s|\Z)")
 # once so many are kept, further ones serve their own call only
@@ -109,6 +111,7 @@ class StretchEncoder:
 
 
 _LOADED: dict = {}
+register_cache("stretches", _LOADED.clear)
 
 
 def _is_word(s: str) -> bool:
@@ -142,8 +145,9 @@ def _encode(tok, spaced: bool, strings: list[str]) -> list:
     return found
 
 
-def json_encoder(path: str, spaced: bool) -> StretchEncoder:
+def json_encoder(path: str, spaced: bool, most: int | None = None) -> StretchEncoder:
     """The tokenizers library's ids; strings of special tokens in a text are ordinary text."""
+    keep_only("stretches")
     if (path, spaced) not in _LOADED:
         import os
 
@@ -152,5 +156,5 @@ def json_encoder(path: str, spaced: bool) -> StretchEncoder:
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        _LOADED[path, spaced] = StretchEncoder(lambda s: _encode(tok, spaced, s), spaced)
+        _LOADED[path, spaced] = StretchEncoder(lambda s: _encode(tok, spaced, s), spaced, most)
     return _LOADED[path, spaced]

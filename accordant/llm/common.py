@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,22 @@ from pyspark.sql import functions as F
 from accordant.session import cut_lineage
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def register_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Name a cache that a worker process keeps between tasks."""
+    _CACHES[owner] = clear
+
+
+def keep_only(owner: str | None = None) -> None:
+    """Empty the caches of all but ``owner``: workers live on from step to step, and what
+    one step has learned must not narrow the memory of the next."""
+    for name, clear in _CACHES.items():
+        if name != owner:
+            clear()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

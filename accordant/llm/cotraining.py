@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordant.llm.common import batches_by_size
+from accordant.llm.common import batches_by_size, keep_only, register_cache
 
 MOST_LABELLED = 4_000
 MOST_OPEN = 4_000
@@ -51,6 +51,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+register_cache("cotraining", _WORDS.clear)
 
 
 def content(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -224,6 +225,7 @@ def fit(rows: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray] | float:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        keep_only("cotraining")
         kept = []
         for b in batches_by_size(batches, "text"):
             ids, text, lang, source, label = (b.column(c).to_pylist() for c in ("doc_id", "text", "lang", "source", "label"))
@@ -266,6 +268,7 @@ def score(
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        keep_only("cotraining")
         for b in batches_by_size(batches, "text"):
             odds = log_odds(models, *(b.column(c).to_pylist() for c in ("text", "lang", "source")))
             values = [*map(_sigmoid, odds)]
@@ -303,6 +306,7 @@ def keep(
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        keep_only("cotraining")
         def column(b, name: str) -> list:
             if name not in names:
                 return [""] * b.num_rows

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordant.llm.common import batches_by_size, id_bounds, partitions, texts, with_id_range
+from accordant.llm.common import batches_by_size, id_bounds, keep_only, partitions, register_cache, texts, with_id_range
 
 WIDTH = 5
 BINS = 256
@@ -44,6 +44,7 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+register_cache("words", _HASHES.clear)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -136,6 +137,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        keep_only("words")
         for b in batches_by_size(batches, "text"):
             held = b.column("text").to_pylist()
             packed = [p.tobytes().hex() for p in fingerprint(held)]
@@ -176,6 +178,7 @@ def against_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        keep_only("words")
         held: list[tuple] = []  # rows that wait for their successor
         last_range = None
         names = ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from accordant.llm.common import batches_by_size, components, partitions, texts
+from accordant.llm.common import batches_by_size, components, keep_only, partitions, texts
 from accordant.llm.fingerprints import shingles, word_hashes
 from accordant.session import cut_lineage
 
@@ -96,6 +96,7 @@ def sketches(rows: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        keep_only("words")
         factors = multipliers(n)
         weigh = multipliers(n + ROWS)[n:]
         number = np.arange(n_bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -172,6 +173,7 @@ def large_buckets(shared: DataFrame, reps: DataFrame, least: float) -> DataFrame
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        keep_only("words")
         for t in _groups(batches, ("key", "lo", "hi"), BLOCK):
             nodes = t.column("node").to_numpy()
             raw = t.column("signature").to_pylist()
@@ -283,6 +285,7 @@ def first_pass(blocks: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        keep_only("words")
         for t in _groups(batches, ("cluster", "block"), BLOCK):
             nodes = t.column("node").to_numpy()
             edges = forest(linked(_sets(t), percent))
@@ -307,6 +310,7 @@ def second_pass(blocks: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        keep_only("words")
         for t in _groups(batches, ("cluster", "outer", "block"), BLOCK):
             outside = t.filter(t.column("side"))
             inside = t.filter(pa.compute.invert(t.column("side")))
@@ -345,6 +349,7 @@ def confirmed(rows: DataFrame, reps: DataFrame, edges: DataFrame, width: int, pe
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        keep_only("words")
         for b in batches_by_size(batches, "text"):
             held = [document_set(t, width) for t in b.column("text").to_pylist()]
             same = [set_digest(h) == d for h, d in zip(held, b.column("digest").to_pylist(), strict=True)]

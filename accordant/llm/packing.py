@@ -38,6 +38,7 @@ from accordant.llm.common import batches_by_size, texts
 from accordant.session import cut_lineage
 
 CAPACITY = 4096
+MOST_STRETCHES = 500_000
 
 
 def _best_pair(sizes: np.ndarray, left: np.ndarray, room: int) -> tuple[int, int, int]:
@@ -172,7 +173,7 @@ def pieces(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = json_encoder(tokenizer, spaced)
+        encoder = json_encoder(tokenizer, spaced, MOST_STRETCHES)
         part = TaskContext.get().partitionId()
         met = np.zeros(capacity + 1, np.int64)
         for b in batches_by_size(batches, "text"):

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 
 from accordant.llm.chunks import StretchEncoder
-from accordant.llm.common import batches_by_size, texts
+from accordant.llm.common import batches_by_size, keep_only, register_cache, texts
 
 # fixed value: what the pattern's \s means to the public library (Unicode White_Space)
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -165,10 +165,12 @@ class PrefixEncoding:
 
 
 _LOADED: dict = {}
+register_cache("prefixes", _LOADED.clear)
 
 
 def bpe(path: str, pattern: str) -> tuple[PrefixBPE, StretchEncoder]:
     """One per worker process."""
+    keep_only("prefixes")
     if (path, pattern) not in _LOADED:
         own = PrefixBPE(load_ranks(path), pattern)
         _LOADED[path, pattern] = own, StretchEncoder(lambda strings: [own.encode(s) for s in strings], True, MOST_STRETCHES)
@@ -198,6 +200,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        keep_only("prefixes")
         if path not in _LOADED:
             words = {v: k for k, v in load_ranks(path).items()}
             size = np.zeros(max(words, default=-1) + 1, np.int64)

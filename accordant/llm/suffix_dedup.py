@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordant.llm.common import batches_by_size, free_shuffles, partitions, texts
+from accordant.llm.common import batches_by_size, free_shuffles, keep_only, partitions, texts
 from accordant.session import cut_lineage
 
 THRESHOLD = 100
@@ -199,6 +199,7 @@ def first_digits(docs: DataFrame, heavy: np.ndarray | None = None) -> DataFrame:
         return pa.record_batch(arrays, list(_ROW))
 
     def run(batches: Iterator) -> Iterator:
+        keep_only()
         held, n = [], 0
         for b in batches_by_size(batches, "text", 1 << 18):
             raw = [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accordant.llm.common import batches_by_size, texts
+from accordant.llm.common import batches_by_size, keep_only, register_cache, texts
 
 MOST_LABELLED = 8_000
 BITS = 32
@@ -43,10 +43,12 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+register_cache("toxicity", _HASHES.clear)
 
 
 def features(texts_: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(number of the text, feature) for every word and pair of all texts, with repeats."""
+    keep_only("toxicity")
     if len(_HASHES) > 500_000:
         _HASHES.clear()
     words = [WORD.findall(t.lower()) for t in texts_]
