@@ -163,7 +163,7 @@ def plan(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
 
 def pieces(
     docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, spaced: bool = False,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", most_stretches: int = MOST_STRETCHES,
 ) -> DataFrame:
     """``(doc_id, piece, start, length, ids, part, nth)``: documents' ids and ``end_id``, cut
     at ``capacity``. ``ids``: little-endian unsigned 32-bit. ``nth`` numbers the pieces of
@@ -173,7 +173,7 @@ def pieces(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = json_encoder(tokenizer, spaced, MOST_STRETCHES)
+        encoder = json_encoder(tokenizer, spaced, most_stretches)
         part = TaskContext.get().partitionId()
         met = np.zeros(capacity + 1, np.int64)
         for b in batches_by_size(batches, "text"):
@@ -232,6 +232,12 @@ def place(stored: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, spaced: bool = False) -> DataFrame:
-    """``(doc_id, piece, start, length, ids, sequence_id, offset)`` for all pieces of ``docs``."""
-    return place(cut_lineage(pieces(docs, tokenizer, end_id, capacity, spaced)), capacity)
+def pack(
+    docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, spaced: bool = False,
+    most_stretches: int = MOST_STRETCHES,
+) -> DataFrame:
+    """``(doc_id, piece, start, length, ids, sequence_id, offset)`` for all pieces of ``docs``.
+
+    ``most_stretches`` trades a worker's memory for time; it changes no result."""
+    made = pieces(docs, tokenizer, end_id, capacity, spaced, most_stretches=most_stretches)
+    return place(cut_lineage(made), capacity)

@@ -44,6 +44,8 @@ from accordant.session import cut_lineage
 THRESHOLD = 100
 GRAM = 32
 WIDE = 20_000
+# rows a task sorts at once
+SETTLED_ROWS = 600_000
 SAMPLE_TEXTS = 2_000
 HEAVY_SHARE = 0.01
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
@@ -208,7 +210,7 @@ def first_digits(docs: DataFrame, heavy: np.ndarray | None = None) -> DataFrame:
             if len(text):
                 held.append((anchor, context, b.column("doc").to_numpy()[text], place, before, after))
                 n += len(text)
-            if n > 2_000_000:
+            if n > SETTLED_ROWS:
                 yield settle(held)
                 held, n = [], 0
         if held:

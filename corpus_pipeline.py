@@ -36,7 +36,8 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences of at most 4096 tokens."""
-    return packing.pack(docs, tokenizer(WORD_BPE))
+    # workers have run four stages by now, so the cache is kept small
+    return packing.pack(docs, tokenizer(WORD_BPE), most_stretches=120_000)
 
 
 STAGES = [
