@@ -122,6 +122,14 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
 
 
+@pytest.mark.parametrize("reach", [1, 3])
+def test_components_of_long_chains_in_any_order(spark, reach):
+    ids = np.random.default_rng(5).permutation(4000).tolist()
+    links = [(ids[i], ids[i + k]) for k in range(1, reach + 1) for i in range(len(ids) - k)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(4000), 0)
+
+
 def brute_removed(docs):
     seen, out = set(), {}
     for d, t in sorted(docs, key=lambda r: r[0]):
