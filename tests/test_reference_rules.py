@@ -104,3 +104,11 @@ def test_multiple_correlations_equal_regressions():
     r[0, :] = r[:, 0] = 0
     r[0, 0] = 1
     assert np.isfinite(solvers.multiple_correlations(r)).all()
+
+
+def test_taste_has_the_dimensions_of_the_reference(spark):
+    from accordant.plans.registry import load_all
+
+    for name in ("taste_factors", "taste_components"):
+        rows = load_all()[name].run(spark, "/root/testdata/sf0.001").select("loadings").collect()
+        assert {len(r.loadings) for r in rows} == {min(24, len(rows))}, name
