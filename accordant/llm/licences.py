@@ -2,7 +2,10 @@
 
 A text is brought to a canonical form: letters A-Z in lower case, lines with a copyright
 notice or "all rights reserved" taken out, equivalent spellings made one, and every run of
-punctuation and white space one space. The digest of the whole text, and that of each of
+punctuation and white space one space. A line that begins with "copyright" is a notice if
+it has a year or a copyright sign, or else if what follows may be a holder: "copyright
+notice", "copyright holders" and the like are body text that was wrapped there. In whole
+texts spellings are also made one across line breaks. The digest of the whole text, and that of each of
 its lines, is hash-joined to the digests of known licence texts and notices in the same
 form. The known table is fixed and small, so it is broadcast and no document is shuffled.
 
@@ -31,7 +34,13 @@ SPELLINGS = (
     ("&", " and "),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-NOTICE_LINE = r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+BODY = r"(notices?|holders?|owners?|licen[cs]es?|laws?|statements?|interests?|claims?|and|or)\b(?!:)"
+NOTICE_LINE = (
+    r"(?m)^[ \t#*/;-]*(copyright([^\n]*(\b[0-9]{4}\b|\(c\)|©)|(?!\w)(?![ \t]*$)(?![ \t]+" + BODY + r"))"
+    r"|\(c\)|©|all rights reserved)[^\n]*$"
+)
+# of the SQL, whose regular expressions cannot look ahead: any line that begins with the word
+SQL_NOTICE_LINE = r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 BREAKS = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”‘’–—…©®]+"
 
 # fixed values: names and the short texts of common licences
@@ -124,7 +133,11 @@ def canonical(text: Column) -> Column:
 
 
 def whole(form: Column) -> Column:
-    return F.trim(F.regexp_replace(form, r"[ \n]+", " "))
+    form = F.regexp_replace(form, r"[ \n]+", " ")
+    for a, b in SPELLINGS:
+        if " " in a or "-" in a:
+            form = F.replace(form, F.lit(a.replace("-", " ")), F.lit(b))
+    return F.trim(form)
 
 
 def known(spark: SparkSession) -> DataFrame:
@@ -155,10 +168,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def oracle() -> str:
-    """The scan as DuckDB SQL."""
+    """The scan as DuckDB SQL; it does not know texts that are wrapped before "copyright" or
+    within a spelling."""
     lit = lambda s: "'" + s.replace("'", "''") + "'"
     form = f"translate(text, {lit(UPPER)}, {lit(LOWER)})"
-    form = f"regexp_replace({form}, {lit(NOTICE_LINE)}, '', 'g')"
+    form = f"regexp_replace({form}, {lit(SQL_NOTICE_LINE)}, '', 'g')"
     for a, b in SPELLINGS:
         form = f"replace({form}, {lit(a)}, {lit(b)})"
     form = f"regexp_replace({form}, {lit(BREAKS)}, ' ', 'g')"

@@ -155,6 +155,24 @@ def test_licences(spark, text, places):
     assert {r.place for r in licences.scan(df).collect()} == places
 
 
+def test_licences_wrapped_at_any_width(spark):
+    import textwrap
+
+    wrap = lambda t, n, lead: "\n".join(textwrap.fill(x, n, initial_indent=lead, subsequent_indent=lead, break_long_words=False) for x in t.split("\n"))
+    spelt = {k: t.replace("sublicense", "sub-license").replace("NONINFRINGEMENT", "NON-INFRINGEMENT") for k, t in licences.TEXTS.items()}
+    rows = [
+        (f"{k} {n} {lead}", notice + wrap(text, n, lead))
+        for texts in (licences.TEXTS, spelt)
+        for k, text in texts.items()
+        for n in (1, *range(20, 101, 3))
+        for lead in ("", " * ")
+        for notice in ("", "Copyright (c) 2001 Some One\n", "Copyright Some One and others.\n", "Copyright 2001 by X\n(c) Y\n")
+    ]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: r.licence for r in licences.scan(df).filter("place = 0").collect()}
+    assert [name for i, (name, _) in enumerate(rows) if found.get(i) != name.split()[0]] == []
+
+
 def test_licence_scan_matches_sql(spark, duck):
     got = sorted(map(tuple, queries.op1_licence_scan(spark, SF).select("doc_id", "place", "licence").collect()))
     assert got == sorted(duck.execute(licences.oracle()).fetchall())
