@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.llm import cotraining, fingerprints, licences, near_dedup, packing, prefix_bpe, rules, suffix_dedup, token_files, toxicity
+from accordant.llm import (
+    cotraining, fingerprints, html_text, licences, near_dedup, packing, phrases, prefix_bpe, rules, spelling, suffix_dedup, token_files, toxicity,
+)
 from accordant.llm.common import documents
 from accordant.session import cut_lineage
 
@@ -82,9 +84,21 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(documents(spark, sf_dir), slips=97)
+
+
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op")}
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_licence_scan": licences.oracle()}
+    return {"op1_licence_scan": licences.oracle(), "op13_phrases": phrases.oracle()}
