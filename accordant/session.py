@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,4 +58,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SCRATCH.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: paths that ``cut_lineage`` has written and nothing has deleted, oldest first
+_SCRATCH: list[str] = []
+
+
+def scratch() -> list[str]:
+    """The written tables so far; the last is that of the latest ``cut_lineage``."""
+    return list(_SCRATCH)
+
+
+def discard(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _SCRATCH.remove(path)
