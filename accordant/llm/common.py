@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.session import cut_lineage
+from accordant.session import cut_lineage, discard, scratch
 
 
 _CACHES: dict[str, Callable[[], None]] = {}
+_LAST: list[str | None] = [None]
 
 
 def register_cache(owner: str, clear: Callable[[], None]) -> None:
@@ -20,10 +21,28 @@ def register_cache(owner: str, clear: Callable[[], None]) -> None:
 
 def keep_only(owner: str | None = None) -> None:
     """Empty the caches of all but ``owner``: workers live on from step to step, and what
-    one step has learned must not narrow the memory of the next."""
+    one step has learned must not narrow the memory of the next. Where the owner changes,
+    what Arrow and the allocator hold unused goes back to the system too."""
     for name, clear in _CACHES.items():
         if name != owner:
             clear()
+    if owner != _LAST[0]:
+        _LAST[0] = owner
+        give_back()
+
+
+def give_back() -> None:
+    """Returns this process's unused memory to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +122,7 @@ def components(links: DataFrame) -> DataFrame:
     both = cut_lineage(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))
     label = cut_lineage(least.select("node", F.least("node", "b").alias("component")))
-    hooks = None
+    hooks, last = None, None
     while True:
         of = label.select(F.col("node").alias("b"), F.col("component").alias("c"))
         near = both.join(of, "b").select(F.col("a").alias("node"), "c")
@@ -113,6 +132,9 @@ def components(links: DataFrame) -> DataFrame:
         step = cut_lineage(
             label.join(least, "node").select("node", F.col("component").alias("was"), F.least("component", "c").alias("component"))
         )
+        if last:
+            discard(edges.sparkSession, [last])
+        last = scratch()[-1]
         label = step.select("node", "component")
         changed = step.filter("component < was")
         if changed.isEmpty():

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from accordant.llm.common import batches_by_size, keep_only, register_cache
 
-MOST_LABELLED = 4_000
-MOST_OPEN = 4_000
+MOST_LABELLED = 6_000
+MOST_OPEN = 6_000
 ROUNDS = 4
 BITS = 13
 PAGE_BITS = 8
@@ -103,13 +103,14 @@ class Logistic:
         self.w, self.l2, self.steps, self.rate = np.zeros(size), l2, steps, rate
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Logistic:
-        at, value, cuts = _stack(rows)
-        sizes = np.diff(np.append(cuts, len(at)))
         n, weight = len(rows), np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))  # both classes weigh alike
         grown = np.full(len(self.w), 1e-8)
         for _ in range(self.steps if n else 0):
-            g = (_sigmoid(np.add.reduceat(self.w[at] * value, cuts)) - y) * weight
-            grad = np.bincount(at, value * np.repeat(g, sizes), len(self.w)) + self.l2 * self.w
+            grad = self.l2 * self.w
+            for lo, (at, value, cuts, sizes) in _blocks(rows):
+                mine = slice(lo, lo + len(cuts))
+                g = (_sigmoid(np.add.reduceat(self.w[at] * value, cuts)) - y[mine]) * weight[mine]
+                grad += np.bincount(at, value * np.repeat(g, sizes), len(self.w))
             grown += grad * grad
             self.w -= self.rate * grad / np.sqrt(grown)
         return self
@@ -117,8 +118,14 @@ class Logistic:
     def logits(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         if not rows:
             return np.empty(0)
-        at, value, cuts = _stack(rows)
-        return np.add.reduceat(self.w[at] * value, cuts)
+        return np.concatenate([np.add.reduceat(self.w[at] * value, cuts) for _, (at, value, cuts, _) in _blocks(rows)])
+
+
+def _blocks(rows, size: int = 1000):
+    """(first row, stacked rows and their sizes) of some rows at a time: what a step holds stays small."""
+    for lo in range(0, len(rows), size):
+        at, value, cuts = _stack(rows[lo : lo + size])
+        yield lo, (at, value, cuts, np.diff(np.append(cuts, len(at))))
 
 
 def _packed(rows):
@@ -206,17 +213,23 @@ def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sample(rows: DataFrame, labels: DataFrame, most: int, most_open: int) -> DataFrame:
-    """At most ``most`` labelled and ``most_open`` other rows, with ``label`` (-1: none)."""
+    """At most ``most`` labelled and ``most_open`` other rows, with ``label`` (-1: none).
+
+    Only labels of ids that ``rows`` has are drawn from; of a repeated id one row stands, the
+    least by its columns."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
         .filter("doc_id is not null and label is not null")
+        .join(rows.select("doc_id"), "doc_id", "left_semi")
         .groupBy("doc_id")
         .agg(F.min("label").alias("label"))
     )
     some = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rest = rows.select("doc_id").filter("doc_id is not null").join(chosen, "doc_id", "left_anti").distinct()
     rest = rest.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_open).withColumn("label", F.lit(-1))
-    return rows.join(F.broadcast(some.union(rest)), "doc_id")  # bounded by both limits
+    found = rows.join(F.broadcast(some.union(rest)), "doc_id")  # bounded by both limits
+    one = found.groupBy("doc_id", "label").agg(F.min(F.struct("text", "lang", "source")).alias("row"))
+    return one.select("doc_id", "row.*", "label")
 
 
 def fit(rows: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray] | float:

@@ -8,7 +8,7 @@ are candidates, and the lowest four bits of each minimum are packed into a signa
 * A bucket of at most ``SMALL`` sets gives its pairs. Their signatures' matching bits,
   corrected for chance, estimate the similarity; pairs far below the threshold (five
   standard deviations) end here.
-* A larger bucket is estimated in blocks of ``BLOCK`` signatures inside tasks, which return
+* A larger bucket is estimated in blocks of ``SIGNATURES`` signatures inside tasks, which return
   a forest of the components of what may be similar, one edge per member at most.
 
 Clusters are the components of both. So documents that only share a common passage meet
@@ -45,6 +45,7 @@ from accordant.session import cut_lineage
 WIDTH, PERCENT, ROWS = 5, 80, 5
 SMALL = 12
 BLOCK = 2048
+SIGNATURES = 256
 BLOCK_SHINGLES = 3_000_000
 
 
@@ -152,14 +153,15 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
         .distinct()
     )
 
-    @F.pandas_udf("double")
+    @F.arrow_udf("double")
     def alike(x, y):
-        import pandas as pd
+        import pyarrow as pa
 
+        keep_only("words")
         if not len(x):
-            return pd.Series([], dtype="float64")
-        rows = [np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (x, y)]
-        return pd.Series(estimate(*rows))
+            return pa.array([], pa.float64())
+        rows = [np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(len(s), -1) for s in (x, y)]
+        return pa.array(estimate(*rows))
 
     own = reps.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
     other = reps.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
@@ -174,7 +176,7 @@ def large_buckets(shared: DataFrame, reps: DataFrame, least: float) -> DataFrame
         import pyarrow as pa
 
         keep_only("words")
-        for t in _groups(batches, ("key", "lo", "hi"), BLOCK):
+        for t in _groups(batches, ("key", "lo", "hi"), SIGNATURES):
             nodes = t.column("node").to_numpy()
             raw = t.column("signature").to_pylist()
             edges = forest(_may_be_similar(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), least))
@@ -182,7 +184,7 @@ def large_buckets(shared: DataFrame, reps: DataFrame, least: float) -> DataFrame
                 a, b = np.array(edges).T
                 yield pa.record_batch([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("n") / SIGNATURES).cast("int")
     rows = shared.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.join(reps.select("node", "signature"), "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from accordant.llm.chunks import json_encoder
-from accordant.llm.common import batches_by_size, texts
+from accordant.llm.common import batches_by_size, keep_only, texts
 from accordant.session import cut_lineage
 
 CAPACITY = 4096
@@ -212,17 +212,17 @@ def place(stored: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")
     base = per_part.select("part", "length", before.alias("_before"))
 
-    @F.pandas_udf("sequence_id long, offset long")
+    @F.arrow_udf("sequence_id long, offset long")
     def seat(length, rank):
-        import pandas as pd
+        import pyarrow as pa
 
+        keep_only("stretches")
         size, rank = length.to_numpy(), rank.to_numpy()
         at = np.searchsorted(keys, size << 44 | rank, side="right") - 1
         past = rank - made["lo"][at]
         each = made["each"][at]
-        return pd.DataFrame(
-            {"sequence_id": made["seq"][at] + past // each, "offset": made["offset"][at] + past % each * size}
-        )
+        found = made["seq"][at] + past // each, made["offset"][at] + past % each * size
+        return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in found], ["sequence_id", "offset"])
 
     kept = [c for c in stored.columns if c not in ("part", "nth")]
     return (

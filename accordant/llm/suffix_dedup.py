@@ -226,6 +226,8 @@ def second_digits(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        keep_only()
+
         last = None  # (anchor, context) of the last row
         waiting = None  # the only first row of the last anchor so far: (anchor, doc, place)
         several = False  # whether the last anchor has shown several contexts
@@ -281,6 +283,8 @@ def contexts(docs: DataFrame, places: DataFrame, threshold: int = THRESHOLD, gra
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        keep_only()
+
         for b in batches_by_size(batches, "text"):
             out: list[list] = [[], [], [], [], []]
             for doc, text, found in zip(*(b.column(c).to_pylist() for c in ("doc", "text", "found")), strict=True):
@@ -375,6 +379,8 @@ def wide_groups(rows: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        keep_only()
+
         for b in batches_by_size(batches, "held", 1 << 18):
             anchor, doc, place = (b.column(c).to_numpy() for c in ("anchor", "doc", "place"))
             row, back, value = _windows(b.column("before").to_numpy().astype(np.int64), b.column("held").to_pylist(), threshold, gram)
@@ -444,6 +450,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        keep_only()
+
         for b in batches_by_size(batches, "text"):
             sizes, runs, kept = [], [], []
             column = b.column("found")
@@ -478,9 +486,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     falls into a character, the rest of it goes too. A null text becomes the empty one. A text that was all repeats goes with its
     row; ``n_chars``, if there, is counted anew."""
 
-    @F.pandas_udf("string")
+    @F.arrow_udf("string")
     def decode(raw):
-        return raw.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+        import pyarrow as pa
+
+        keep_only()
+        return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in raw.to_pylist()], pa.string())
 
     left = remove_repeats(docs, id_col, text_col, carry=True).filter("n_bytes = 0 or length(kept) > 0")
     text = F.when(F.size("spans") > 0, decode("kept")).otherwise(F.col("kept").cast("string"))

@@ -6,7 +6,8 @@ rows, by a sketch of counts, are left out before learning. Every coordinate has
 keeps most weights at exactly zero, so what is sent to the tasks is a short list.
 
 Labels are learned from at most ``MOST_LABELLED`` rows (chosen by a hash of the id among
-all that may be learned from); scoring covers every row. Labels, language, source and id
+the ids of the documents at hand that may be learned from; one row an id); scoring covers
+every row. Labels, language, source and id
 are no inputs of a score.
 
 Defined results: a null or empty text scores the bias alone; a repeated row is scored
@@ -16,6 +17,7 @@ score is 0.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from accordant.llm.common import batches_by_size, keep_only, register_cache, texts
 
-MOST_LABELLED = 8_000
+MOST_LABELLED = 12_000
 BITS = 32
 LEAST_TEXTS = 4
 SKETCH = 1 << 24
@@ -100,17 +102,21 @@ def remainder(id_col: str = "doc_id") -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """``(doc_id, text, toxic)``: at most ``most`` labels that may be learned from, with texts."""
+    """``(doc_id, text, toxic)``: at most ``most`` labels that may be learned from, with texts.
+
+    Only labels of ids that ``docs`` has are drawn from, and of repeated ids the least text stands."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .filter("doc_id is not null and toxic is not null")
         .filter(remainder() != 0)
+        .join(docs.select("doc_id"), "doc_id", "left_semi")
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    return docs.join(F.broadcast(chosen), "doc_id")  # at most ``most`` rows
+    found = docs.join(F.broadcast(chosen), "doc_id")  # at most ``most`` rows
+    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def fit(rows: DataFrame, bits: int = BITS, epochs: int = 5) -> dict[str, np.ndarray]:
@@ -120,18 +126,28 @@ def fit(rows: DataFrame, bits: int = BITS, epochs: int = 5) -> dict[str, np.ndar
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        def rows_of(texts_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            owner, found = features(texts_, bits)
+            key = np.unique(owner.astype(np.int64) << 32 | found)
+            return (key & 0xFFFFFFFF).astype(np.uint32), np.searchsorted(key >> 32, np.arange(len(texts_) + 1))
+
+        # texts wait packed while features are counted; then only rows of frequent features are made
         kept: list = []
+        waiting: list = []
         seen = np.zeros(SKETCH, np.uint16)
-        for b in batches_by_size(batches, "text"):
-            owner, found = features(b.column("text").to_pylist(), bits)
-            key = np.unique(owner.astype(np.int64) << 32 | found)
-            cuts = np.searchsorted(key >> 32, np.arange(b.num_rows + 1))
-            found = (key & 0xFFFFFFFF).astype(np.uint32)
-            np.add.at(seen, found & (SKETCH - 1), 1)
-            ids, toxic = b.column("doc_id").to_pylist(), b.column("toxic").to_pylist()
-            kept += [(ids[i], toxic[i], found[cuts[i] : cuts[i + 1]]) for i in range(b.num_rows)]
+        for b in batches_by_size(batches, "text", 1 << 18):
+            some = b.column("text").to_pylist()
+            np.add.at(seen, rows_of(some)[0] & (SKETCH - 1), 1)
+            waiting.append((b.column("doc_id").to_pylist(), b.column("toxic").to_pylist(), zlib.compress(json.dumps(some).encode(), 1)))
+        for ids, toxic, packed in waiting:
+            found, cuts = rows_of(json.loads(zlib.decompress(packed)))
+            often = seen[found & (SKETCH - 1)] >= LEAST_TEXTS
+            cuts = np.append(0, np.cumsum(often))[cuts]
+            found = found[often]
+            kept += [(ids[i], toxic[i], found[cuts[i] : cuts[i + 1]]) for i in range(len(ids))]
+        del waiting
         kept.sort(key=lambda r: zlib.crc32(str(r[0]).encode()))
-        kept = [(label, row[seen[row & (SKETCH - 1)] >= LEAST_TEXTS]) for _, label, row in kept]
+        kept = [(label, row) for _, label, row in kept]
         known = np.unique(np.concatenate([row for _, row in kept])) if kept else np.empty(0, np.uint32)
         rows = [(label, np.searchsorted(known, row)) for label, row in kept]
         del kept, seen
