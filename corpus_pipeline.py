@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from accordant.llm import cotraining, near_dedup, packing, suffix_dedup, toxicity
 from accordant.llm.common import documents
 from accordant.llm.queries import WORD_BPE, labels, tokenizer
-from accordant.session import cut_lineage
+from accordant.session import cut_lineage, discard, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, own = documents(spark, sf_dir), None
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut_lineage(docs)
-    return docs
+        if i == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        already = scratch()
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+        # the result is written, so what the stage wrote before it and its input may go
+        discard(spark, [x for x in scratch()[:-1] if x not in already or x == own])
+        own = scratch()[-1]
