@@ -8,7 +8,7 @@ tile, and a task holds one tile whatever the number of items.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,12 @@ from accordant.session import cut_lineage
 
 TILE = 1024
 MIN_PAIR_OVERLAP = 8
+STRIP = 64
 _ROW_BLOCK = 2048
+_EMIT = 200_000
 _STATS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+#: the stat of the other side of a pair
+_SWAPPED = {"n": "n", "sx": "sy", "sy": "sx", "sxx": "syy", "syy": "sxx", "sxy": "sxy"}
 
 
 def item_index(cells: DataFrame, item: str = "item_id") -> DataFrame:
@@ -60,34 +64,35 @@ def _block_sums(rows: np.ndarray, idx: np.ndarray, val: np.ndarray, n_rows: int,
     return np.stack([e.T @ e, sx, sx.T, sxx, sxx.T, x.T @ x])
 
 
-def _tile_sums(n_rows: int, left: tuple, right: tuple, tile: int) -> np.ndarray:
-    """The six sums of one block of rows over one tile; sides are (rows, item in block, value)."""
+def _tile_sums(n_rows: int, left: tuple, right: tuple | None, wide: int, stats: Sequence[str]) -> np.ndarray:
+    """``stats`` of one block of rows over one tile; sides are (rows, item in block, value),
+    ``right`` is None on the diagonal."""
     dense = []
-    for rows, idx, val in (left, right):
-        x, e = np.zeros((n_rows, tile)), np.zeros((n_rows, tile))
+    for rows, idx, val in (left, right or left)[: 1 if right is None else 2]:
+        x, e = np.zeros((n_rows, wide)), np.zeros((n_rows, wide))
         x[rows, idx] = val
         e[rows, idx] = 1.0
         dense.append((x, e))
-    (xi, ei), (xj, ej) = dense
-    return np.stack([ei.T @ ej, xi.T @ ej, ei.T @ xj, (xi * xi).T @ ej, ei.T @ (xj * xj), xi.T @ xj])
-
-
-def _emit(keys: Sequence[str], key_values: tuple, key_types: list, sums: np.ndarray, chunk: int = 200_000):
-    """Pairs i < j that some row holds both of; the last two key values are the tile's blocks."""
-    *key_values, block_i, block_j = key_values
-    live = sums[0] > 0
-    i, j = np.nonzero(np.triu(live, 1) if block_i == block_j else live)
-    tile = sums.shape[1]
-    for lo in range(0, len(i), chunk):
-        a, b = i[lo : lo + chunk], j[lo : lo + chunk]
-        cols = {
-            k: pa.array([v] * len(a), type=t) for k, v, t in zip(keys, key_values, key_types)
-        }
-        cols["i"] = pa.array((a + block_i * tile).astype(np.int32))
-        cols["j"] = pa.array((b + block_j * tile).astype(np.int32))
-        for s, name in enumerate(_STATS):
-            cols[name] = pa.array(sums[s][a, b])
-        yield pa.RecordBatch.from_pydict(cols)
+    (xi, ei), (xj, ej) = dense[0], dense[-1]
+    made: dict[str, np.ndarray] = {}
+    for name in stats:
+        if right is None and name in ("sy", "syy") and (twin := name.replace("y", "x")) in made:
+            made[name] = made[twin].T
+            continue
+        pick = {"n": (ei, ej), "sx": (xi, ej), "sy": (ei, xj), "sxx": (xi, ej), "syy": (ei, xj), "sxy": (xi, xj)}[name]
+        one, two = (pick[0] ** 2 if name == "sxx" else pick[0]), (pick[1] ** 2 if name == "syy" else pick[1])
+        made[name] = one.T @ two
+    return np.stack([made[name] for name in stats])
+
+
+def _runs(batch: pa.RecordBatch, by: Sequence[str]) -> list[int]:
+    """Where runs of equal ``by`` begin, and the end."""
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for k in by:
+        codes = batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return [*np.flatnonzero(new).tolist(), batch.num_rows]
 
 
 def _tiled(packed: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
@@ -101,66 +106,151 @@ def _tiled(packed: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
     return cut.select(*keys, "_bi", "_bj", F.col("_l.idx").alias("li"), F.col("_l.val").alias("lv"), F.col("_r.idx").alias("ri"), F.col("_r.val").alias("rv"))
 
 
-def pair_sums(
-    cells: DataFrame, keys: Sequence[str] = (), entity: str = "film_id", item: str = "item_id",
-    value: str = "value", named: bool = True,
-) -> DataFrame:
-    """n, sums, squared sums and cross sums per (keys, item_i < item_j) over the
-    entities holding both items."""
-    keys = list(keys)
-    index = item_index(cells, item)
-    sums = packed_sums(pack_rows(cells, index, keys, entity, item, value), keys)
-    return name_pairs(sums, index, item) if named else sums
+def _partials(packed: DataFrame, keys: Sequence[str], tile: int, stats: Sequence[str], items: int | None, both: bool) -> DataFrame:
+    """Sums of each task's rows: (keys, _bi, _bj, _strip, at, sums), a row per strip of a tile.
 
-
-def packed_sums(packed: DataFrame, keys: Sequence[str], tile: int = TILE) -> DataFrame:
-    """The six sums per (keys, i < j) from packed rows."""
-    keys = list(keys)
-
-    by = [*keys, "_bi", "_bj"]
-
-    def sides(batch: pa.RecordBatch):
-        for i, v in (("li", "lv"), ("ri", "rv")):
-            column = batch.column(i)
-            lengths = np.diff(column.offsets.to_numpy())
-            idx = column.flatten().to_numpy(zero_copy_only=False) % tile
-            yield lengths, np.concatenate([[0], np.cumsum(lengths)]), idx, batch.column(v).flatten().to_numpy(zero_copy_only=False)
+    A strip is ``STRIP`` items by one block; ``at`` lists its live places (int32) and
+    ``sums`` their values, one stat after the other.  Places are i < j, or with ``both``
+    every i and j, so that all pairs of an item stand in the strips of its own block.
+    Up to ``tile`` items there is one tile, and rows are read as they are.
+    """
+    single = items is not None and items <= tile
+    by = [*keys, *([] if single else ["_bi", "_bj"])]
+
+    def side(batch: pa.RecordBatch, i: str, v: str):
+        column = batch.column(i)
+        lengths = np.diff(column.offsets.to_numpy())
+        idx = column.flatten().to_numpy(zero_copy_only=False) % tile
+        return lengths, np.concatenate([[0], np.cumsum(lengths)]), idx, batch.column(v).flatten().to_numpy(zero_copy_only=False)
+
+    def emit(key_values: tuple, types: list, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key_values, (bi, bj) = (key_values, (0, 0)) if single else (key_values[:-2], key_values[-2:])
+        views = [(bi, bj, sums)]
+        if both and bi != bj:
+            views.append((bj, bi, sums[[stats.index(_SWAPPED[k]) for k in stats]].transpose(0, 2, 1)))
+        for one, two, held in views:
+            found: list[list] = [[], [], []]
+            for strip in range(0, tile, STRIP):
+                part = held[:, strip : strip + STRIP]
+                if not part.size or not part[0].any():
+                    continue
+                live = part[0] > 0
+                rows = np.arange(strip, strip + live.shape[0])[:, None]
+                if one == two:
+                    live &= (rows != np.arange(live.shape[1])) if both else (rows < np.arange(live.shape[1]))
+                i, j = np.nonzero(live)
+                if len(i):
+                    found[0].append(strip // STRIP)
+                    found[1].append((i * tile + j).astype(np.int32).tobytes())
+                    found[2].append(np.ascontiguousarray(part[:, i, j]).tobytes())
+            n = len(found[0])
+            if n:
+                cols = {k: pa.array([v] * n, type=t) for k, v, t in zip(keys, key_values, types)}
+                cols |= {"_bi": pa.array([one] * n, pa.int32()), "_bj": pa.array([two] * n, pa.int32())}
+                cols |= {"_strip": pa.array(found[0], pa.int32()), "at": pa.array(found[1], pa.binary()), "sums": pa.array(found[2], pa.binary())}
+                yield pa.RecordBatch.from_pydict(cols)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current: tuple | None = None
-        acc: np.ndarray | None = None
-        types: list = []
+        current, acc, types = None, None, []
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             types = [batch.column(k).type for k in keys]
-            both = list(sides(batch))
+            sides = [side(batch, "idx", "val")] if single else [side(batch, "li", "lv"), side(batch, "ri", "rv")]
+            cuts = _runs(batch, by)
             # rows arrive sorted by key and tile: one accumulator at a time
-            values = list(zip(*[batch.column(k).to_pylist() for k in by]))
-            cuts = [r for r in range(len(values)) if r == 0 or values[r] != values[r - 1]] + [len(values)]
             for lo, hi in zip(cuts, cuts[1:]):
-                if acc is not None and values[lo] != current:
-                    yield from _emit(keys, current, types, acc)
+                value = tuple(batch.column(k)[lo].as_py() for k in by)
+                if acc is not None and value != current:
+                    yield from emit(current, types, acc)
                     acc = None
-                current = values[lo]
+                current = value
+                diagonal = single or value[-1] == value[-2]
                 for at in range(lo, hi, _ROW_BLOCK):
                     end = min(at + _ROW_BLOCK, hi)
                     parts = [
-                        (np.repeat(np.arange(end - at), n[at:end]), idx[s[at] : s[end]], val[s[at] : s[end]]) for n, s, idx, val in both
+                        (np.repeat(np.arange(end - at), n[at:end]), idx[s[at] : s[end]], val[s[at] : s[end]]) for n, s, idx, val in sides
                     ]
-                    wide = max(int(parts[0][1].max(initial=0)), int(parts[1][1].max(initial=0))) + 1
-                    if acc is None:
-                        acc = np.zeros((len(_STATS), tile, tile))
-                    acc[:, :wide, :wide] += _tile_sums(end - at, *parts, wide)
+                    wide = max(int(x[1].max(initial=0)) for x in parts) + 1
+                    if acc is None or acc.shape[1] < wide:
+                        grown = np.zeros((len(stats), wide, wide))
+                        if acc is not None:
+                            grown[:, : acc.shape[1], : acc.shape[1]] = acc
+                        acc = grown
+                    acc[:, :wide, :wide] += _tile_sums(end - at, parts[0], None if diagonal else parts[1], wide, stats)
         if acc is not None:
-            yield from _emit(keys, current, types, acc)
+            yield from emit(current, types, acc)
 
-    key_ddl = "".join(
-        f"`{k}` {packed.schema[k].dataType.simpleString()}, " for k in keys
-    )
-    ddl = key_ddl + "i int, j int, " + ", ".join(f"{s} double" for s in _STATS)
-    partials = _tiled(packed, keys, tile).sortWithinPartitions(*by).mapInArrow(partial, ddl)
-    return partials.groupBy(*keys, "i", "j").agg(*[F.sum(s).alias(s) for s in _STATS])
+    rows = packed.select(*keys, "idx", "val") if single else _tiled(packed, keys, tile)
+    ddl = _key_ddl(packed, keys) + "_bi int, _bj int, _strip int, at binary, sums binary"
+    return (rows.sortWithinPartitions(*by) if by else rows).mapInArrow(partial, ddl)
+
+
+def _key_ddl(df: DataFrame, keys: Sequence[str]) -> str:
+    return "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+
+
+def _summed(partials: DataFrame, keys: Sequence[str], tile: int, stats: Sequence[str], finish: Callable, ddl: str) -> DataFrame:
+    """Adds the tasks' strips and hands each whole strip to ``finish``: (sums by stat, item,
+    other item) -> (items, others, columns), item numbers within strip and block."""
+    by = [*keys, "_bi", "_bj", "_strip"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, acc, types = None, np.zeros((len(stats), STRIP * tile)), []
+
+        def out(value: tuple) -> Iterator[pa.RecordBatch]:
+            *key_values, bi, bj, strip = value
+            i, j, columns = finish(acc.reshape(len(stats), STRIP, tile))
+            i, j = i + bi * tile + strip * STRIP, j + bj * tile
+            for lo in range(0, len(i), _EMIT):
+                m = slice(lo, lo + _EMIT)
+                cols = {k: pa.array([v] * len(i[m]), type=t) for k, v, t in zip(keys, key_values, types)}
+                cols |= {"i": pa.array(i[m].astype(np.int32)), "j": pa.array(j[m].astype(np.int32))}
+                yield pa.RecordBatch.from_pydict(cols | {k: pa.array(v[m]) for k, v in columns.items()})
+
+        for batch in batches:
+            types = [batch.column(k).type for k in keys]
+            for value, at, sums in zip(
+                zip(*[batch.column(k).to_pylist() for k in by]), batch.column("at").to_pylist(), batch.column("sums").to_pylist()
+            ):
+                if value != current:
+                    if current is not None:
+                        yield from out(current)
+                        acc[:] = 0.0
+                    current = value
+                acc[:, np.frombuffer(at, np.int32)] += np.frombuffer(sums).reshape(len(stats), -1)
+        if current is not None:
+            yield from out(current)
+
+    return partials.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, _key_ddl(partials, keys) + "i int, j int, " + ddl)
+
+
+def pair_sums(
+    cells: DataFrame, keys: Sequence[str] = (), entity: str = "film_id", item: str = "item_id",
+    value: str = "value", named: bool = True, stats: Sequence[str] = _STATS,
+) -> DataFrame:
+    """n, sums, squared sums and cross sums (or those in ``stats``) per (keys, item_i <
+    item_j) over the entities holding both items."""
+    keys = list(keys)
+    index = item_index(cells, item)
+    sums = packed_sums(pack_rows(cells, index, keys, entity, item, value), keys, stats=stats, items=index.count())
+    return name_pairs(sums, index, item) if named else sums
+
+
+def packed_sums(
+    packed: DataFrame, keys: Sequence[str], tile: int = TILE, stats: Sequence[str] = _STATS, items: int | None = None,
+) -> DataFrame:
+    """``stats`` (``n`` first) per (keys, i < j) from packed rows; ``items``: how many there
+    are, if known."""
+    keys, stats = list(keys), list(stats)
+    tile = min(tile, max(items, 1)) if items else tile
+
+    def finish(acc: np.ndarray):
+        i, j = np.nonzero(acc[0] > 0)
+        return i, j, {name: acc[k, i, j] for k, name in enumerate(stats)}
+
+    partials = _partials(packed, keys, tile, stats, items, both=False)
+    return _summed(partials, keys, tile, stats, finish, ", ".join(f"{x} double" for x in stats))
 
 
 def name_pairs(sums: DataFrame, index: DataFrame, item: str = "item_id") -> DataFrame:
@@ -217,7 +307,7 @@ def cosine_similarity(
 ) -> DataFrame:
     """Cosine of centred item columns over all entities, kept where at least
     ``min_support`` entities hold both items."""
-    sums = pair_sums(centred, (), entity, item, value).filter(F.col("n") >= min_support)
+    sums = pair_sums(centred, (), entity, item, value, stats=("n", "sxy")).filter(F.col("n") >= min_support)
     norms = centred.groupBy(item).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("norm"))
     a = norms.select(F.col(item).alias("item_i"), F.col("norm").alias("norm_i"))
     b = norms.select(F.col(item).alias("item_j"), F.col("norm").alias("norm_j"))
@@ -239,7 +329,7 @@ def implicit_zero_correlation(
     """
     keys = list(keys)
     index = item_index(centred, item)
-    sums = pair_sums(centred, keys, entity, item, value, named=False)
+    sums = pair_sums(centred, keys, entity, item, value, named=False, stats=("n", "sxy"))
     total = centred.groupBy(*keys).agg(F.count_distinct(entity).alias("n_users"))
     p = index.agg(F.count(F.lit(1))).scalar().cast("int")
     # the pair grid grows from the numbered items, one row each: no join
@@ -275,7 +365,7 @@ def support_statistics(
 ) -> DataFrame:
     """Median shared raters over all item pairs, absent pairs counting as zero,
     and the share of pairs under the floor."""
-    pairs = pair_sums(centred, (), entity, item, value).select(F.col("n").alias("support"))
+    pairs = pair_sums(centred, (), entity, item, value, stats=("n",)).select(F.col("n").alias("support"))
     n_items = centred.agg(F.count_distinct(item).cast("double").alias("p"))
     by_support = pairs.groupBy("support").agg(F.count(F.lit(1)).alias("pairs"))
     # cumulative counts run over distinct support levels, a small aggregate
@@ -304,6 +394,42 @@ def top_neighbours(similarity: DataFrame, top_k: int = 60) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
 
 
+def nearest_items(
+    centred: DataFrame, entity: str = "user_id", item: str = "item_id", value: str = "centred",
+    min_support: int = 50, top_k: int = 60, tile: int = TILE,
+) -> DataFrame:
+    """(src, dst, similarity, support, rank): each item's ``top_k`` strongest neighbours by
+    |cosine|, among those with ``min_support`` shared entities.
+
+    Values go in divided by their item's norm, so cross sums are cosines.  Each strip keeps
+    the ``top_k`` of its items within one block and no pair table is made: what is ranked in
+    the end are ``top_k`` rows per item and block.
+    """
+    index = item_index(centred, item)
+    n_items = index.count()
+    norms = centred.groupBy(item).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_norm"))
+    unit = centred.join(norms, item).withColumn(
+        value, F.col(value) / F.when(F.col("_norm") == 0, 1.0).otherwise(F.col("_norm"))).drop("_norm")
+    stats = ["n", "sxy"]
+    tile = min(tile, max(n_items, 1))
+
+    def finish(acc: np.ndarray):
+        n, cosine = acc
+        size = np.where((n >= min_support) & (cosine != 0), np.abs(np.round(cosine, 10)), -1.0)
+        k = min(top_k, size.shape[1])
+        order = np.argsort(-size, axis=1, kind="stable")[:, :k]
+        i, at = np.nonzero(np.take_along_axis(size, order, axis=1) >= 0)
+        j = order[i, at]
+        return i, j, {"n": n[i, j], "sxy": cosine[i, j]}
+
+    packed = pack_rows(unit, index, (), entity, item, value)
+    best = _summed(_partials(packed, [], tile, stats, n_items, both=True), [], tile, stats, finish, "n double, sxy double")
+    w = Window.partitionBy("i").orderBy(F.desc(F.abs(F.round("sxy", 10))), "j")  # top_k rows a block
+    ranked = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
+    return name_pairs(ranked, index, item).select(
+        F.col("item_i").alias("src"), F.col("item_j").alias("dst"), F.col("sxy").alias("similarity"), F.col("n").alias("support"), "rank")
+
+
 def group_coherence(corr: DataFrame, items: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean sign-aligned nonzero correlation among each group's items.
 

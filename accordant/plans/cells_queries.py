@@ -167,7 +167,7 @@ SELECT src, dst, round(similarity, 8) AS similarity, support, rank FROM (SELECT
   row_number() OVER (PARTITION BY src ORDER BY abs(round(similarity, 10)) DESC, dst) AS rank FROM both_) q
 WHERE rank <= 60"""))
 def _neighbours(spark, d):
-    edges = P.top_neighbours(P.cosine_similarity(centred_ratings(spark, d)))
+    edges = P.nearest_items(centred_ratings(spark, d))
     return edges.select("src", "dst", F.round("similarity", 8).alias("similarity"), "support", "rank")
 
 

@@ -215,7 +215,7 @@ def edges(spark, d):
     w = reactions(spark, d).withColumn("weight", H.lookup("reaction", H.REACTION_WEIGHTS)).filter("weight <> 0")
     stars = w.groupBy("user_id", F.col("film_id").alias("item_id")).agg(F.avg("weight").alias("stars"))
     cen = C.centre(stars, entity="user_id", value="stars", drop_zero=False)
-    return P.top_neighbours(P.cosine_similarity(cut_lineage(cen), min_support=EDGE_SUPPORT))
+    return P.nearest_items(cut_lineage(cen), min_support=EDGE_SUPPORT)
 
 
 EDGES = f""", st AS (SELECT user_id, film_id, avg(weight) AS stars FROM wr WHERE weight <> 0 GROUP BY ALL),

@@ -42,3 +42,16 @@ def test_more_items_than_any_dense_matrix_takes(spark):
     few = df.filter("film_id = 9 or item_id < 'i00010'")
     got = {(r.item_i, r.item_j): r.n for r in pairs.pair_sums(few).collect()}
     assert got["i00000", "i05999"] == 1 and got["i00000", "i00003"] == 1 and ("i00000", "i00001") in got
+
+
+def test_nearest_items_equal_ranking_all_pairs(spark):
+    """In one tile and in many, with the pair table as the plain way."""
+    rng = np.random.default_rng(1)
+    cells = [(int(e), f"i{i:03d}", float(rng.normal())) for e in range(60) for i in rng.choice(50, rng.integers(5, 40), replace=False)]
+    df = spark.createDataFrame(cells, "user_id long, item_id string, centred double").repartition(3)
+    plain = pairs.top_neighbours(pairs.cosine_similarity(df, min_support=8), 7)
+    want = sorted((r.src, r["rank"], r.dst, r.support, round(r.similarity, 9)) for r in plain.collect())
+    for tile in (9, 64, 1024):
+        got = pairs.nearest_items(df, min_support=8, top_k=7, tile=tile).collect()
+        assert sorted((r.src, r["rank"], r.dst, r.support, round(r.similarity, 9)) for r in got) == want
+    assert len(want) > 200
