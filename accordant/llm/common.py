@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,6 +110,19 @@ def batches_by_size(batches: Iterator, column: str, limit: int = 1 << 20) -> Ite
             at = to
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """While it lasts, what runs sends Python batches of about ``size``: rows of some MB
+    each would otherwise gather to 64 MB on both sides."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Smallest id reachable over ``links(a, b)``: rows ``(node, component)``, all ends included.
 

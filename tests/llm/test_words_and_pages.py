@@ -107,8 +107,8 @@ def test_phrases(spark, small, limit, least, frontier):
 
 def test_phrases_of_odd_and_long_texts(spark, odd, monkeypatch):
     """Long texts go by stretches."""
-    monkeypatch.setattr(phrases, "LONG_TEXT", 50_000)
-    monkeypatch.setattr(phrases, "TOKENS", 5_000)
+    monkeypatch.setattr(phrases, "LONG_TEXT", 5_000)
+    monkeypatch.setattr(phrases, "TOKENS", 1_000)
     got = sorted(tuple(r) for r in phrases.collocations(odd, 500, 2).collect())
     assert got == collocations([(r.lang, r.text) for r in odd.collect()], 500, 2)
 
