@@ -14,7 +14,7 @@ from accordant.plans.registry import query
 from accordant.session import cut_lineage
 
 INCUMBENT = "1-URGENT"
-EDGE_SUPPORT = 20
+EDGE_SUPPORT = 50
 
 
 def rounded(df, places, *cols):
@@ -233,9 +233,9 @@ CF = EDGES + """, cf AS (SELECT user_id, src AS film_id, count(*) AS consulted,
 
 
 @query("neighbour_edges", "P10 A8", oracle_with("reactions", PREFS + EDGES + """
-SELECT src, dst, round(similarity, 8) AS similarity, support FROM edges WHERE support IS NULL OR support >= 30"""))
+SELECT src, dst, round(similarity, 8) AS similarity, support FROM edges WHERE support IS NULL OR support >= 50"""))
 def _edges(spark, d):
-    e = edges(spark, d).filter(F.col("support").isNull() | (F.col("support") >= 30))
+    e = edges(spark, d).filter(F.col("support").isNull() | (F.col("support") >= EDGE_SUPPORT))
     return e.select("src", "dst", F.round("similarity", 8).alias("similarity"), "support")
 
 
@@ -308,26 +308,30 @@ def _alignment(spark, d):
     return rounded(K.alignment(parts, ["user_id"]), 8, "alignment")
 
 
-def chosen_positions(spark, d, pos, base):
+def picked_sets(spark, d):
     """Users with an even id have picked the reference set their id points at."""
-    cents = H.set_centroids(bind(spark, d, "film_sets"), pos, base)
     users = reactions(spark, d).select("user_id").distinct().filter("user_id % 2 = 0")
-    picks = users.select(
+    return users.select(
         "user_id", F.element_at(F.array(*[F.lit(s) for s in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")]),
                                 (F.col("user_id") % 5 + 1).cast("int")).alias("set_id"),
         ((F.col("user_id") % 10) / F.lit(10.0)).alias("weight"))
-    return picks.join(F.broadcast(cents), "set_id").select("user_id", "weight", "factor_id", "centroid")
 
 
-def ranking(spark, d, variation, limit=6):
+def ranking_inputs(spark, d):
     pos = positions(spark, d)
     base = cut_lineage(H.corpus_baseline(pos))
     prefs = cut_lineage(H.rating_preferences(reactions(spark, d)))
     seen = reactions(spark, d).filter("reaction <> 'havent_seen'").select("user_id", "film_id").distinct()
     films = bind(spark, d, "films").filter("balance > 0").select("film_id", "year")
-    return K.session_ranking(
-        bind(spark, d, "members"), films, cut_lineage(person_scores(spark, d, pos)), pos, base, H.neighbour_scores(prefs, edges(spark, d)),
-        seen, chosen_positions(spark, d, pos, base), variation=variation, limit=limit)
+    cents = cut_lineage(H.set_centroids(bind(spark, d, "film_sets"), pos, base))
+    scores = cut_lineage(person_scores(spark, d, pos))
+    return bind(spark, d, "members"), films, scores, pos, base, H.neighbour_scores(prefs, edges(spark, d)), seen, picked_sets(spark, d), cents
+
+
+def ranking(spark, d, variation, limit=6):
+    *inputs, picks, cents = ranking_inputs(spark, d)
+    chosen = picks.join(F.broadcast(cents), "set_id").select("user_id", "weight", "factor_id", "centroid")
+    return K.session_ranking(*inputs, chosen, variation=variation, limit=limit)
 
 
 RANK = BASE + PREFS + SCORES + CF + ALIGN.format(who="scores") + """
@@ -364,7 +368,8 @@ SELECT session_id, film_id, year, agreement, mean_alignment, moral_agreement, me
   row_number() OVER (PARTITION BY session_id ORDER BY total DESC, mean_alignment DESC, film_id) AS rank FROM tt
 QUALIFY rank <= 6"""))
 def _ranking(spark, d):
-    return ranking(spark, d, 0.0)
+    return K.threshold_ranking(*ranking_inputs(spark, d)).select(
+        "session_id", "film_id", "year", "agreement", "mean_alignment", "moral_agreement", "members", "note_axis", "rank")
 
 
 @query("sampled_group_ranking", "W10 M30", oracle_with("verdicts factor_items reactions members films film_sets", RANK + f"""
