@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordant.functions.hashing import distributed_rank, hash_halves, hash_hex
 from accordant.operators import cells as C
 from accordant.operators import factors as L
+from accordant.operators import krylov as K
 from accordant.operators import pairs as P
+from accordant.operators import solvers as V
 from accordant.operators.persons import REACTION_WEIGHTS, lookup
 from accordant.session import cut_lineage
 
@@ -48,30 +52,81 @@ def taste_matrix(centred: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFram
 
 
 def taste_factors(centred: DataFrame, k: int, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, item_id, loadings): common factors of co-preference, strongest first."""
+    """(keys, item_id, loadings): common factors of co-preference, strongest first.
+
+    Up to ``MAX_DENSE`` items a key's correlations are solved in one task; beyond that the
+    keys are solved one after the other from the rating rows.
+    """
+    if centred.select("item_id").distinct().count() > L.MAX_DENSE:
+        found = [r.asDict() for r in centred.select(*keys).distinct().collect()] if keys else [{}]  # halves, not users
+        parts = []
+        for one in found:
+            mine = centred
+            for name, value in one.items():
+                mine = mine.filter(F.col(name).eqNullSafe(F.lit(value)))
+            parts.append(wide_factors(mine.drop(*keys), k).select(*[F.lit(v).alias(c) for c, v in one.items()], "item_id", "loadings"))
+        return reduce(DataFrame.unionByName, parts)
     corr, index = taste_matrix(centred, keys)
     load = L.loadings(corr, keys, k, method="taste")
     return load.join(index, load.i == index._idx).select(*keys, "item_id", "loadings")
 
 
 def taste_components(centred: DataFrame, k: int) -> DataFrame:
-    """(item_id, loadings): right singular vectors of the centred ratings times their
-    singular values, from the item Gram matrix; the variance share is kept beside."""
+    """(item_id, loadings, variance): right singular vectors of the centred ratings times their
+    singular values, from the rating rows themselves; the variance share is kept beside."""
+    index = P.item_index(centred)
+    rows = cut_lineage(P.pack_rows(centred, index, (), "user_id", "item_id", "centred").select("idx", "val"))
+    found = K.leading(rows, index.count(), k)
+    lam = np.maximum(found.values, 0)
+    share = lam / lam.sum() if lam.sum() else lam
+    stretched = F.transform("vector", lambda x, i: x * F.element_at(F.lit(np.sqrt(lam).tolist()), i + 1))
+    return found.vectors.join(index, found.vectors.i == index._idx).select(
+        "item_id", stretched.alias("loadings"), F.lit(share.tolist()).alias("variance"))
+
+
+def wide_factors(centred: DataFrame, k: int, start: np.ndarray | None = None, rounds: int = V.AXIS_ROUNDS) -> DataFrame:
+    """``taste_factors`` without a matrix of items by items, for any number of items.
+
+    The correlations act as scaled rating rows less the rank-one part of the item means;
+    each round of the principal axes takes the leading vectors with the communalities of
+    the round before on the diagonal, starting from its vectors.  Communalities begin with
+    ``start``, else with what the leading vectors of the correlations explain.
+    """
     index = P.item_index(centred)
+    items = index.count()
+    k = min(k, items)
     x = F.col("centred")
-    sums = P.pair_sums(centred, entity="user_id", value="centred", named=False).select("i", "j", F.col("sxy").alias("r"))
-    own = centred.join(index, "item_id").groupBy("_idx").agg(F.sum(x * x).alias("r")).select(
-        F.col("_idx").alias("i"), F.col("_idx").alias("j"), "r")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        gram, ids = L._matrix(pdf)
-        w, v = np.linalg.eigh(gram)
-        top = np.argsort(-w, kind="stable")[:k]
-        lam = np.maximum(w[top], 0)
-        return pd.DataFrame({"i": ids, "loadings": list(v[:, top] * np.sqrt(lam)), "variance": [lam / lam.sum()] * len(ids)})
-
-    out = L._keyed(sums.unionByName(own), (), solve, "i int, loadings array<double>, variance array<double>")
-    return out.join(index, out.i == index._idx).select("item_id", "loadings", "variance")
+    n_users = float(centred.agg(F.count_distinct("user_id")).first()[0])
+    per = centred.join(index, "item_id").groupBy("_idx").agg((F.sum(x) / n_users).alias("mean"), (F.sum(x * x) / n_users).alias("square"))
+    spread = F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(1e-12)))
+    per = cut_lineage(per.select("_idx", "mean", spread.alias("sd")))
+    means = per.select("_idx", "mean", "sd").orderBy("_idx").toArrow()  # a row per item, as large as a vector of a block
+    sd = means.column("sd").to_numpy()
+    shift = means.column("mean").to_numpy() / sd
+    scaled = centred.join(index, "item_id").join(per, "_idx").select(
+        "user_id", "item_id", (x / F.col("sd") / F.lit(n_users**0.5)).alias("centred"))
+    rows = cut_lineage(P.pack_rows(scaled, index, (), "user_id", "item_id", "centred").select("idx", "val"))
+    h, vectors, load = start, None, np.zeros((items, k))
+    if h is None:
+        vectors, load = _scaled(rows, items, k, shift, np.zeros(items), None)
+        h = np.square(load).sum(axis=1).clip(V.FIRST_LOW, V.FIRST_HIGH)
+    for _ in range(rounds):
+        vectors, load = _scaled(rows, items, k, shift, 1.0 - h, vectors)
+        common = np.square(load).sum(axis=1).clip(max=V.LAST_HIGH)
+        moved, h = np.abs(common - h).max(initial=0.0), common
+        if moved < V.AXIS_TOLERANCE:
+            break
+    pattern = V.promax(load)[0]
+    pattern = pattern[:, np.argsort(-np.square(pattern).sum(axis=0), kind="stable")]
+    out = centred.sparkSession.createDataFrame(pa.table({"_idx": pa.array(range(items), pa.int64()), "loadings": list(pattern)}))
+    return out.join(index, "_idx").select("item_id", "loadings")
+
+
+def _scaled(rows: DataFrame, items: int, k: int, shift: np.ndarray, ridge: np.ndarray, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Leading vectors, and the same as long as the roots of their values."""
+    found = K.leading(rows, items, k, shift, ridge, tolerance=1e-10, start=start)
+    vectors = np.array([r.vector for r in found.vectors.orderBy("i").toLocalIterator()])
+    return vectors, vectors * np.sqrt(found.values.clip(min=0.0))
 
 
 def replication(first: DataFrame, second: DataFrame, floor: float = REPLICATION_FLOOR) -> DataFrame:

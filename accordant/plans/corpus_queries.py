@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accordant.functions import text as X
@@ -529,11 +532,13 @@ def _provenance(spark, d):
 
 
 @query("provenance_backfill", "A44", """
-WITH r AS (SELECT o_orderpriority AS layer, CASE WHEN o_orderkey % 9 <> 0 THEN 'kept' WHEN o_orderkey % 2 = 0 THEN 'from_runs' ELSE 'asserted' END AS origin FROM orders WHERE o_orderstatus = 'F')
-SELECT origin, count(*) AS n FROM r GROUP BY ALL""")
+WITH r AS (SELECT o_orderstatus AS layer, CASE WHEN o_orderkey % 9 <> 0 THEN 'kept' WHEN o_orderkey % 2 = 0 THEN 'from_runs' ELSE 'asserted' END AS origin FROM orders
+  WHERE o_orderstatus IN ('F', 'O', 'P'))
+SELECT layer, origin, count(*) AS n FROM r GROUP BY ALL""")
 def _backfill_prov(spark, d):
     known = table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").cast("string").alias("run_id"), F.lit("m").alias("model"))
-    return D.backfill_provenance(layers(spark, d)["F"], known, "default").groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
+    done = [D.backfill_provenance(rows, known, "default").select(F.lit(s).alias("layer"), "origin") for s, rows in layers(spark, d).items()]
+    return reduce(DataFrame.unionByName, done).groupBy("layer", "origin").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("passes_present", "A52", oracle_with("item_dimensions", "SELECT pass_name, model, count(*) AS n FROM item_dimensions GROUP BY ALL"))

@@ -356,18 +356,17 @@ def _sections(spark, d):
     return T.split_sections(headed(spark, d))
 
 
-HEADED = r"""WITH doc AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '== Plot ==' WHEN 1 THEN '== Reception ==' ELSE '== Themes ==' END || chr(10) || split_part(text, chr(10), 1) || chr(10) ||
-   '=== Box office ===' || chr(10) || lang || chr(10) || '=== Legacy ===' || chr(10) || source AS text FROM documents)"""
+HEADED = r"""WITH doc AS (SELECT doc_id, source, CASE doc_id % 3 WHEN 1 THEN 'Reception' ELSE 'Themes' END AS h,
+   regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^\s+|\s+$', '', 'g') AS b,
+   trim(source) AS s FROM documents WHERE doc_id % 3 <> 0)"""
 
 
 @query("collected_layer", "T5", HEADED + r"""
-SELECT doc_id, CASE WHEN b = '' THEN '' ELSE '## ' || h || chr(10) || b || chr(10) || chr(10) END || '## ' || h || ' > Legacy' || chr(10) || trim(s) AS content,
-  CASE WHEN b = '' THEN 1 ELSE 2 END AS sections FROM (
-  SELECT doc_id, trim(split_part(text, chr(10), 2), ' ' || chr(9) || chr(13)) AS b, CASE doc_id % 3 WHEN 1 THEN 'Reception' ELSE 'Themes' END AS h, split_part(text, chr(10), 6) AS s
-  FROM doc WHERE doc_id % 3 <> 0) q""")
+SELECT doc_id, CASE WHEN b = '' THEN '' ELSE '## ' || h || chr(10) || b || chr(10) || chr(10) END || '## ' || h || ' > Legacy' || chr(10) || s AS content,
+  CASE WHEN b = '' THEN 1 ELSE 2 END AS sections FROM doc""")
 def _layer(spark, d):
     head = F.element_at(F.array(F.lit("== Plot =="), F.lit("== Reception =="), F.lit("== Themes ==")), (F.col("doc_id") % 3 + 1).cast("int"))
-    text = F.concat_ws("\n", head, F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), F.lit("=== Box office ==="), "lang", F.lit("=== Legacy ==="), "source")
+    text = F.concat_ws("\n", head, F.coalesce("text", F.lit("")), F.lit("=== Box office ==="), "lang", F.lit("=== Legacy ==="), "source")
     docs = table(spark, d, "documents").select("doc_id", text.alias("text"))
     return T.collect_layer(T.split_sections(docs), ["reception", "themes"], ["box office"])
 
