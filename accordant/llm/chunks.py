@@ -37,8 +37,8 @@ class Stretches(dict):
 class StretchEncoder:
     """``spaced``: a token may begin with one space (byte-level BPE); else spaces are dropped."""
 
-    def __init__(self, encode: Callable[[list[str]], list], spaced: bool, most: int | None = None) -> None:
-        self.encode, self.spaced, self.most = encode, spaced, most
+    def __init__(self, encode: Callable[[list[str]], list], spaced: bool, most: int | None = None, lowers: bool = False) -> None:
+        self.encode, self.spaced, self.most, self.lowers = encode, spaced, most, lowers
         self._clear()
 
     def _clear(self) -> None:
@@ -87,6 +87,8 @@ class StretchEncoder:
             self._clear()
         kept, chars = len(self.numbers), self.chars
         full = kept > (self.most or MOST_STRETCHES) or chars > MOST_CHARS
+        if self.lowers:  # A-Z; the rest is the tokenizer's own affair
+            texts = [t.encode().lower().decode() for t in texts]
         keys = [self._keys(t) for t in texts]
         counts = np.fromiter(map(len, keys), np.int64, len(keys))
         get = self.numbers.__getitem__
@@ -156,5 +158,7 @@ def json_encoder(path: str, spaced: bool, most: int | None = None) -> StretchEnc
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        _LOADED[path, spaced] = StretchEncoder(lambda s: _encode(tok, spaced, s), spaced, most)
+        # where the tokenizer lower-cases anyway, stretches that differ in case are one
+        lowers = "Lowercase" in repr(tok.normalizer)
+        _LOADED[path, spaced] = StretchEncoder(lambda s: _encode(tok, spaced, s), spaced, most, lowers)
     return _LOADED[path, spaced]
