@@ -191,8 +191,9 @@ def _key_ddl(df: DataFrame, keys: Sequence[str]) -> str:
 
 
 def _summed(partials: DataFrame, keys: Sequence[str], tile: int, stats: Sequence[str], finish: Callable, ddl: str) -> DataFrame:
-    """Adds the tasks' strips and hands each whole strip to ``finish``: (sums by stat, item,
-    other item) -> (items, others, columns), item numbers within strip and block."""
+    """Adds the tasks' strips and hands each whole strip to ``finish(sums, i, j)``: sums by
+    stat, item and other item, and the numbers of the first of both; it returns columns of
+    ``ddl``."""
     by = [*keys, "_bi", "_bj", "_strip"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,12 +201,11 @@ def _summed(partials: DataFrame, keys: Sequence[str], tile: int, stats: Sequence
 
         def out(value: tuple) -> Iterator[pa.RecordBatch]:
             *key_values, bi, bj, strip = value
-            i, j, columns = finish(acc.reshape(len(stats), STRIP, tile))
-            i, j = i + bi * tile + strip * STRIP, j + bj * tile
-            for lo in range(0, len(i), _EMIT):
+            columns = finish(acc.reshape(len(stats), STRIP, tile), bi * tile + strip * STRIP, bj * tile)
+            size = len(next(iter(columns.values())))
+            for lo in range(0, size, _EMIT):
                 m = slice(lo, lo + _EMIT)
-                cols = {k: pa.array([v] * len(i[m]), type=t) for k, v, t in zip(keys, key_values, types)}
-                cols |= {"i": pa.array(i[m].astype(np.int32)), "j": pa.array(j[m].astype(np.int32))}
+                cols = {k: pa.array([v] * len(range(*m.indices(size))), type=t) for k, v, t in zip(keys, key_values, types)}
                 yield pa.RecordBatch.from_pydict(cols | {k: pa.array(v[m]) for k, v in columns.items()})
 
         for batch in batches:
@@ -222,7 +222,7 @@ def _summed(partials: DataFrame, keys: Sequence[str], tile: int, stats: Sequence
         if current is not None:
             yield from out(current)
 
-    return partials.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, _key_ddl(partials, keys) + "i int, j int, " + ddl)
+    return partials.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, _key_ddl(partials, keys) + ddl)
 
 
 def pair_sums(
@@ -245,12 +245,20 @@ def packed_sums(
     keys, stats = list(keys), list(stats)
     tile = min(tile, max(items, 1)) if items else tile
 
-    def finish(acc: np.ndarray):
+    def finish(acc: np.ndarray, first_i: int, first_j: int) -> dict[str, np.ndarray]:
         i, j = np.nonzero(acc[0] > 0)
-        return i, j, {name: acc[k, i, j] for k, name in enumerate(stats)}
+        places = {"i": (i + first_i).astype(np.int32), "j": (j + first_j).astype(np.int32)}
+        return places | {name: acc[k, i, j] for k, name in enumerate(stats)}
 
-    partials = _partials(packed, keys, tile, stats, items, both=False)
-    return _summed(partials, keys, tile, stats, finish, ", ".join(f"{x} double" for x in stats))
+    return strip_sums(packed, keys, stats, finish, "i int, j int, " + ", ".join(f"{x} double" for x in stats), items, tile)
+
+
+def strip_sums(
+    packed: DataFrame, keys: Sequence[str], stats: Sequence[str], finish: Callable, ddl: str, items: int | None = None, tile: int = TILE,
+) -> DataFrame:
+    """Rows that ``finish`` makes of every whole strip of pairs i < j; see ``_summed``."""
+    keys, stats = list(keys), list(stats)
+    return _summed(_partials(packed, keys, tile, stats, items, both=False), keys, tile, stats, finish, ddl)
 
 
 def name_pairs(sums: DataFrame, index: DataFrame, item: str = "item_id") -> DataFrame:
@@ -413,17 +421,18 @@ def nearest_items(
     stats = ["n", "sxy"]
     tile = min(tile, max(n_items, 1))
 
-    def finish(acc: np.ndarray):
+    def finish(acc: np.ndarray, first_i: int, first_j: int) -> dict[str, np.ndarray]:
         n, cosine = acc
         size = np.where((n >= min_support) & (cosine != 0), np.abs(np.round(cosine, 10)), -1.0)
         k = min(top_k, size.shape[1])
         order = np.argsort(-size, axis=1, kind="stable")[:, :k]
         i, at = np.nonzero(np.take_along_axis(size, order, axis=1) >= 0)
         j = order[i, at]
-        return i, j, {"n": n[i, j], "sxy": cosine[i, j]}
+        places = {"i": (i + first_i).astype(np.int32), "j": (j + first_j).astype(np.int32)}
+        return places | {"n": n[i, j], "sxy": cosine[i, j]}
 
     packed = pack_rows(unit, index, (), entity, item, value)
-    best = _summed(_partials(packed, [], tile, stats, n_items, both=True), [], tile, stats, finish, "n double, sxy double")
+    best = _summed(_partials(packed, [], tile, stats, n_items, both=True), [], tile, stats, finish, "i int, j int, n double, sxy double")
     w = Window.partitionBy("i").orderBy(F.desc(F.abs(F.round("sxy", 10))), "j")  # top_k rows a block
     ranked = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
     return name_pairs(ranked, index, item).select(

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from accordant.functions.hashing import hash_hex
-
 FLAT_MARGIN = 0.05
 
 
@@ -73,33 +72,87 @@ def partition_agreement(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
         nmi.alias("nmi"), F.col("groups_a"), F.col("groups_b"))
 
 
-def permuted_rand(pairs: DataFrame, keys: Sequence[str], n_iter: int, seed: str) -> DataFrame:
-    """ARI of every hash-shuffled replicate.
+def _falling(c: Column, r: int) -> Column:
+    """c (c - 1) ... (c - r + 1)."""
+    out = c.cast("double")
+    for k in range(1, r):
+        out = out * (c.cast("double") - k)
+    return out
+
+
+def chance_moments(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, null_sd): the standard deviation of the adjusted Rand index over all ways to
+    hand one side's labels out anew; its mean is 0.
 
-    One group is one (pair, replicate) over the shared items, so it is bounded by
-    the item guard; both label lists are sorted and zipped by position.
+    Both margins stay, so cells are multivariate hypergeometric and products of their
+    falling factorials have closed forms in those of the margins.
     """
     keys = list(keys)
-    reps = pairs.select(*keys, "item_id", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))).alias("rep"))
-    h = hash_hex(seed, "rep", *[k for k in keys], "item_id")
-    zipped = reps.groupBy(*keys, "rep").agg(
-        F.sort_array(F.collect_list(F.struct("item_id", "a"))).alias("l"),
-        F.sort_array(F.collect_list(F.struct(h.alias("h"), F.col("b")))).alias("r"))
-    labels = zipped.select(*keys, "rep", F.explode(F.arrays_zip(F.col("l.a").alias("a"), F.col("r.b").alias("b"))).alias("z"))
-    cells = labels.groupBy(*keys, "rep", F.col("z.a").alias("a"), F.col("z.b").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    idx = cells.groupBy(*keys, "rep").agg(F.sum(_comb2(F.col("c"))).alias("idx"), F.sum("c").alias("n"))
-    marg = _marginals(contingency(pairs, keys), keys)
-    return idx.join(F.broadcast(marg), keys).select(  # one row per pair of scorers
-        *keys, "rep", _rand_index(F.col("idx"), F.col("pairs_a"), F.col("pairs_b"), F.col("n")).alias("ari"))
-
-
-def agreement_with_null(pairs: DataFrame, keys: Sequence[str], n_iter: int = 500, seed: str = "ari") -> DataFrame:
-    """Partition agreement with the mean of its permutation null and z."""
+    cells = contingency(pairs, keys)
+
+    def side(col: str, m: str) -> DataFrame:
+        f = lambda r: F.sum(_falling(F.col(m), r))
+        two = _falling(F.col(m), 2)
+        return cells.select(*keys, col, m).distinct().groupBy(*keys).agg(
+            F.sum(m).cast("double").alias(f"n_{col}"), f(2).alias(f"{col}2"), f(3).alias(f"{col}3"), f(4).alias(f"{col}4"),
+            F.sum(two * two).alias(f"{col}22"))
+
+    m = side("a", "ma").join(side("b", "mb"), keys)
+    n = F.col("n_a")
+    n2, n3, n4 = (_falling(n, r) for r in (2, 3, 4))
+    a, b = (F.col("a2") * F.col("a2") - F.col("a22")), (F.col("b2") * F.col("b2") - F.col("b22"))  # two different groups
+    mean = F.col("a2") * F.col("b2") / n2
+    same_cell = F.col("a4") * F.col("b4") / n4 + 4 * F.col("a3") * F.col("b3") / n3 + 2 * mean
+    square = same_cell + (F.col("a4") * b + a * F.col("b4") + a * b) / n4
+    spread = (F.col("a2") + F.col("b2")) / 2 - mean
+    sd = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))) / spread
+    return m.select(*keys, F.when((n >= 4) & (spread != 0), sd).alias("null_sd"))
+
+
+def drawn_rand(pairs: DataFrame, keys: Sequence[str], n_iter: int, seed: int) -> DataFrame:
+    """(keys, rep, ari) of random tables with both margins fixed, which is what shuffling one
+    side's labels gives.  A pair of scorers is one row of margins, and a replicate one row;
+    the items are not read again."""
+    keys = list(keys)
+    cells = contingency(pairs, keys)
+    margin = lambda col, m: cells.select(*keys, col, m).distinct().groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(col, m))), lambda r: r[m]).alias(m))  # one entry per group
+    rows = margin("a", "ma").join(margin("b", "mb"), keys)
+    reps = rows.select(*keys, "ma", "mb", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))).alias("rep"))
+    salted = reps.withColumn("_salt", F.xxhash64(F.lit(seed), "rep", *keys)).repartition("rep")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ma, mb, salt in zip(*(batch.column(c).to_pylist() for c in ("ma", "mb", "_salt"))):
+                rng, left, found = np.random.default_rng(salt & 0xFFFFFFFFFFFFFFFF), np.array(mb, np.int64), 0.0
+                for m in ma:  # one group after the other takes its items from what is left of the other side
+                    row = rng.multivariate_hypergeometric(left, m, method="marginals")
+                    left = left - row
+                    found += float((row * (row - 1)).sum()) / 2
+                out.append(found)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("rep"), pa.array(out, pa.float64())], [*keys, "rep", "idx"])
+
+    kinds = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    found = salted.mapInArrow(draw, kinds + "rep int, idx double")
+    marg = _marginals(cells, keys)
+    return found.join(marg, keys).select(
+        *keys, "rep", _rand_index(F.col("idx"), F.col("pairs_a"), F.col("pairs_b"), F.col("n_a")).alias("ari"))
+
+
+def agreement_with_null(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Partition agreement with the spread that chance gives and z; chance's mean is 0."""
+    out = partition_agreement(pairs, keys).join(chance_moments(pairs, keys), list(keys), "left")
+    return out.withColumn("z", F.when(F.col("null_sd") > 1e-12, F.col("ari") / F.col("null_sd")))
+
+
+def agreement_draws(pairs: DataFrame, keys: Sequence[str], n_iter: int = 500, seed: int = 11) -> DataFrame:
+    """Observed index, mean and spread of the drawn null, and how many draws reach the observed one."""
     keys = list(keys)
-    null = permuted_rand(pairs, keys, n_iter, seed).groupBy(*keys).agg(
-        F.avg("ari").alias("null_mean"), F.stddev_pop("ari").alias("null_sd"))
-    out = partition_agreement(pairs, keys).join(null, keys, "left")
-    return out.withColumn("z", F.when(F.col("null_sd") > 1e-12, (F.col("ari") - F.col("null_mean")) / F.col("null_sd")))
+    drawn = drawn_rand(pairs, keys, n_iter, seed).join(partition_agreement(pairs, keys).select(*keys, F.col("ari").alias("observed")), keys)
+    return drawn.groupBy(*keys, "observed").agg(
+        F.count(F.lit(1)).alias("permutations"), F.avg("ari").alias("null_mean"), F.stddev_pop("ari").alias("null_sd"),
+        F.count_if(F.col("ari") >= F.col("observed") - 1e-12).alias("n_at_least_observed"))
 
 
 def overlap_jaccard(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -180,7 +233,7 @@ def item_stability(parts: DataFrame) -> DataFrame:
         F.avg("jaccard").alias("stability"), F.count(F.lit(1)).alias("pairs"))
 
 
-def k_sweep(parts: DataFrame, n_iter: int = 0, seed: str = "sweep") -> DataFrame:
+def k_sweep(parts: DataFrame, n_iter: int = 0, seed: int = 12) -> DataFrame:
     """Mean, least and greatest pairwise ARI at each k, with the null mean when asked."""
     keys = ["k", "scorer_a", "scorer_b"]
     pairs = partition_pairs(parts, ["k"])
@@ -190,7 +243,7 @@ def k_sweep(parts: DataFrame, n_iter: int = 0, seed: str = "sweep") -> DataFrame
         F.count(F.lit(1)).alias("pairs"), F.avg("ari").alias("mean_ari"), F.min("ari").alias("min_ari"),
         F.max("ari").alias("max_ari")).join(models, "k")
     if n_iter:
-        null = permuted_rand(pairs, keys, n_iter, seed).groupBy("k").agg(F.avg("ari").alias("null"))
+        null = drawn_rand(pairs, keys, n_iter, seed).groupBy("k").agg(F.avg("ari").alias("null"))
         out = out.join(null, "k", "left")
     return out
 

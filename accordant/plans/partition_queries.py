@@ -51,24 +51,28 @@ def _agreement(spark, d):
     return rounded(T.partition_agreement(pairs(spark, d), SC), 9, "raw", "ari", "nmi")
 
 
-NULL = """, rp AS (SELECT scorer_a, scorer_b, item_id, a, b, rep FROM pr CROSS JOIN range({n}) t(rep)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY scorer_a, scorer_b, rep ORDER BY item_id) AS r1,
-   row_number() OVER (PARTITION BY scorer_a, scorer_b, rep ORDER BY md5('{seed}|' || rep || '|' || scorer_a || '|' || scorer_b || '|' || item_id)) AS r2 FROM rp),
-nc AS (SELECT x.scorer_a, x.scorer_b, x.rep, x.a, y.b, count(*) AS c FROM rk x JOIN rk y ON x.scorer_a = y.scorer_a
-   AND x.scorer_b = y.scorer_b AND x.rep = y.rep AND x.r1 = y.r2 GROUP BY ALL),
-ni AS (SELECT scorer_a, scorer_b, rep, sum(c * (c - 1) / 2e0) AS idx FROM nc GROUP BY ALL),
-na AS (SELECT scorer_a, scorer_b, rep, CASE WHEN (pa + pb) / 2 - ex = 0 THEN 1e0 ELSE (ni.idx - ex) / ((pa + pb) / 2 - ex) END AS ari
-   FROM ni JOIN ag USING (scorer_a, scorer_b)),
-nu AS (SELECT scorer_a, scorer_b, avg(ari) AS null_mean, stddev_pop(ari) AS null_sd FROM na GROUP BY ALL)"""
-
-
-@query("partition_agreement_null", "M12", oracle_with("partitions", P1 + A1 + NULL.format(n=500, seed="ari") + """
+NULL = """, mo AS (SELECT {k}, side, sum(m * (m - 1e0)) AS s2, sum(m * (m - 1e0) * (m - 2)) AS s3, sum(m * (m - 1e0) * (m - 2) * (m - 3)) AS s4,
+   sum(m * (m - 1e0) * m * (m - 1)) AS s22, CAST(sum(m) AS DOUBLE) AS n
+   FROM (SELECT {k}, 'a' AS side, m FROM am UNION ALL SELECT {k}, 'b', m FROM bm) q GROUP BY ALL),
+nx AS (SELECT {k}, x.n, x.s2 * y.s2 / (x.n * (x.n - 1)) AS ex2, (x.s2 + y.s2) / 2 AS top, x.s3 * y.s3 / (x.n * (x.n - 1) * (x.n - 2)) AS e3,
+   x.s4 * y.s4 + x.s4 * (y.s2 * y.s2 - y.s22) + (x.s2 * x.s2 - x.s22) * y.s4 + (x.s2 * x.s2 - x.s22) * (y.s2 * y.s2 - y.s22) AS f4
+   FROM mo x JOIN mo y USING ({k}) WHERE x.side = 'a' AND y.side = 'b'),
+nu AS (SELECT {k}, CASE WHEN n >= 4 AND top <> ex2 THEN
+   sqrt(greatest(f4 / (n * (n - 1) * (n - 2) * (n - 3)) + 4 * e3 + 2 * ex2 - ex2 * ex2, 0)) / (top - ex2) END AS null_sd FROM nx)"""
+
+
+@query("partition_agreement_null", "M12", oracle_with("partitions", P1 + A1 + NULL.format(k="scorer_a, scorer_b") + """
 SELECT scorer_a, scorer_b, n_items, round(raw, 9) AS raw, round(ari, 9) AS ari, round(nmi, 9) AS nmi, groups_a, groups_b,
-  round(null_mean, 9) AS null_mean, round(null_sd, 9) AS null_sd, round((ari - null_mean) / null_sd, 6) AS z
+  round(null_sd, 7) AS null_sd, round(ari / null_sd, 4) AS z
 FROM agr JOIN nu USING (scorer_a, scorer_b)"""))
 def _agreement_null(spark, d):
-    out = T.agreement_with_null(pairs(spark, d), SC, 500)
-    return rounded(rounded(out, 9, "raw", "ari", "nmi", "null_mean", "null_sd"), 6, "z")
+    out = T.agreement_with_null(pairs(spark, d), SC)
+    return rounded(rounded(rounded(out, 9, "raw", "ari", "nmi"), 7, "null_sd"), 4, "z")
+
+
+@query("partition_agreement_draws", "M12")
+def _agreement_draws(spark, d):
+    return T.agreement_draws(pairs(spark, d), SC, 500)
 
 
 @query("group_overlap_jaccard", "U6", oracle_with("partitions", P1 + A1 + """
@@ -135,11 +139,45 @@ def main_pass(spark, d):
     return bind(spark, d, "item_dimensions").filter("pass_name = 'main'").select("item_id", "dim_id", "polarity", "fit")
 
 
-VC = """, vc AS (SELECT film_id, variant, item_id, avg(value) AS value FROM verdicts WHERE scorer = '1-URGENT' GROUP BY ALL),
+_LOW = 2**32 - 1
+
+
+def _mixed(source, kept):
+    """``source`` with the 32-bit finaliser of its column ``t``; a subquery a step, as an
+    expression in which every step repeats the one before doubles each time."""
+    for step in (f"(xor(t, t >> 16) * {M._FACTOR}) & {_LOW}",) * 2 + ("xor(t, t >> 16)",):
+        source = f"(SELECT {kept}, {step} AS t FROM {source} s)"
+    return source
+
+
+def _image(source, where=""):
+    """One step of the keyed bijection of 0 .. 2^(2 half) - 1 on ``x``."""
+    base = "rep, idx, key, n, half, mask"
+    out = f"(SELECT {base}, x >> half AS l, x & mask AS r FROM {source} {where})"
+    for k in range(M.ROUNDS):
+        out = _mixed(f"(SELECT {base}, l, r, (r + key + {k * M._STEP}) & {_LOW} AS t FROM {out} s)", f"{base}, l, r")
+        out = f"(SELECT {base}, r AS l, xor(l, t & mask) AS r FROM {out} s)"
+    return f"SELECT {base}, l * (mask + 1) + r AS x FROM {out} s"
+
+
+def labelled(seed, n):
+    """CTEs: cells, axes, and ``lab``, the labels of every replicate (-1: observed)."""
+    salted = f"({seed * M._STEP} + (rep + 1) * {M._REP}) & {_LOW}"
+    return f""", vc AS (SELECT film_id, variant, item_id, avg(value) AS value FROM verdicts WHERE scorer = '1-URGENT' GROUP BY ALL),
 dm AS (SELECT item_id, dim_id, polarity FROM item_dimensions WHERE pass_name = 'main'),
-r0 AS (SELECT item_id, dim_id, rep, row_number() OVER (PARTITION BY rep ORDER BY item_id) AS r1,
-   row_number() OVER (PARTITION BY rep ORDER BY md5('{seed}|' || rep || '|' || item_id)) AS r2 FROM dm CROSS JOIN range({n}) t(rep)),
-lab AS (SELECT -1 AS rep, item_id, dim_id FROM dm UNION ALL SELECT x.rep, x.item_id, y.dim_id FROM r0 x JOIN r0 y ON x.rep = y.rep AND x.r1 = y.r2)"""
+ix AS (SELECT item_id, dim_id, row_number() OVER (ORDER BY dim_id, item_id) - 1 AS idx, count(*) OVER () AS n FROM dm),
+ky AS (SELECT rep, t AS key FROM {_mixed(f'(SELECT rep, {salted} AS t FROM range({n}) q(rep))', 'rep')} s),
+st0 AS (SELECT rep, idx, key, n, half, (1::BIGINT << half) - 1 AS mask, idx AS x
+   FROM (SELECT *, CAST(greatest(1, (length(bin(greatest(n - 1, 1))) + 1) // 2) AS INTEGER) AS half FROM ix) i CROSS JOIN ky),
+walk AS ({_image('st0')} UNION ALL {_image('walk', 'WHERE x >= n')}),
+lab AS (SELECT -1 AS rep, item_id, dim_id FROM ix UNION ALL
+   SELECT w.rep, i.item_id, o.dim_id FROM walk w JOIN ix i ON i.idx = w.idx JOIN ix o ON o.idx = w.x WHERE w.x < w.n)"""
+
+
+def recursive(sql):
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 SUMMARY = """, ob AS (SELECT stat AS observed FROM st WHERE rep = -1),
 nl AS (SELECT avg(stat) AS null_mean, stddev_pop(stat) AS null_sd, count(*) AS permutations,
    count(*) FILTER (WHERE stat >= observed - 1e-12) AS n_at_least_observed, any_value(observed) AS observed FROM st, ob WHERE rep >= 0)
@@ -147,20 +185,20 @@ SELECT round(null_mean, 8) AS null_mean, round(null_sd, 8) AS null_sd, permutati
   round((observed - null_mean) / null_sd, 5) AS z FROM nl"""
 
 
-@query("co_engagement_permutation_test", "M17 A23", oracle_with("verdicts item_dimensions", VC.format(n=1000, seed="3") + """
+@query("co_engagement_permutation_test", "M17 A23", recursive(oracle_with("verdicts item_dimensions", labelled(3, 1000) + """
 , ij AS (SELECT a.item_id AS i, b.item_id AS j, count(*) AS n FROM vc a JOIN vc b ON a.film_id = b.film_id AND a.variant = b.variant
    AND a.item_id < b.item_id GROUP BY ALL),
 st AS (SELECT x.rep, sum(CASE WHEN x.dim_id = y.dim_id THEN n ELSE 0 END) / sum(n) AS stat FROM ij JOIN lab x ON x.item_id = i
-   JOIN lab y ON y.item_id = j AND y.rep = x.rep GROUP BY ALL)""" + SUMMARY))
+   JOIN lab y ON y.item_id = j AND y.rep = x.rep GROUP BY ALL)""" + SUMMARY)))
 def _co_test(spark, d):
     out = M.co_engagement_test(reading_cells(spark, d), main_pass(spark, d), 1000)
     return rounded(rounded(out, 8, "null_mean", "null_sd", "observed"), 5, "z")
 
 
-@query("coherence_permutation_test", "M17 A24", oracle_with("verdicts item_dimensions", VC.format(n=1000, seed="4") + """
+@query("coherence_permutation_test", "M17 A24", recursive(oracle_with("verdicts item_dimensions", labelled(4, 1000) + """
 , pk AS (SELECT rep, film_id, variant, lab.dim_id, count(*) AS c, sum(polarity * value) AS s FROM vc JOIN lab USING (item_id)
    JOIN dm ON dm.item_id = vc.item_id GROUP BY ALL HAVING count(*) >= 3),
-st AS (SELECT rep, avg(abs(s) / c) AS stat FROM pk GROUP BY rep)""" + SUMMARY))
+st AS (SELECT rep, avg(abs(s) / c) AS stat FROM pk GROUP BY rep)""" + SUMMARY)))
 def _coherence_test(spark, d):
     out = M.coherence_test(reading_cells(spark, d), main_pass(spark, d), 1000)
     return rounded(rounded(out, 8, "null_mean", "null_sd", "observed"), 5, "z")
