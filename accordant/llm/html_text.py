@@ -36,16 +36,22 @@ from pyspark.sql import functions as F
 from accordant.llm.common import batches_by_size, keep_only
 
 # fixed values: element names of HTML by what they do
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var wbr".split()
-)
-ENDS_P = frozenset(
-    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr main menu nav ol p pre search section summary table ul".split()
-)
+VOID = frozenset({
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+})
+RAW = frozenset({
+    "script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes",
+})
+INLINE = frozenset({
+    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
+    "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
+    "wbr",
+})
+ENDS_P = frozenset({
+    "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption",
+    "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre",
+    "search", "section", "summary", "table", "ul",
+})
 #: an element that starts ends an open one of the second kind, unless one of the third stands between
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -63,17 +69,29 @@ IMPLIED = {
 CELLS = frozenset({"td", "th", "caption", "table", "template"})
 HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 ARTICLE = frozenset({"article", "main"})
-UNSEEN = frozenset("head script style template noscript iframe object svg canvas audio video select textarea title datalist".split())
-ASIDE = frozenset("nav footer aside form menu dialog button input search fieldset".split())
-ASIDE_ROLES = frozenset("navigation contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-ASIDE_NAMES = frozenset(
-    "nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar footer masthead ad ads adv advert adverts advertisement "
-    "advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal "
-    "overlay newsletter subscribe subscription signup login searchbox comment comments commentlist disqus replies respond share "
-    "sharing social related recommended recommendations pagination pager toolbar widget".split()
-)
-COMMENT_NAMES = frozenset("comment comments commentlist disqus replies respond".split())
-NEGATING = frozenset("has with no without".split())
+UNSEEN = frozenset({
+    "head", "script", "style", "template", "noscript", "iframe", "object", "svg", "canvas", "audio", "video", "select", "textarea",
+    "title", "datalist",
+})
+ASIDE = frozenset({
+    "nav", "footer", "aside", "form", "menu", "dialog", "button", "input", "search", "fieldset",
+})
+ASIDE_ROLES = frozenset({
+    "navigation", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form",
+})
+ASIDE_NAMES = frozenset({
+    "nav", "navbar", "navigation", "menu", "submenu", "breadcrumb", "breadcrumbs", "sidebar", "footer", "masthead", "ad", "ads",
+    "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner",
+    "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "popup", "modal", "overlay", "newsletter",
+    "subscribe", "subscription", "signup", "login", "searchbox", "comment", "comments", "commentlist", "disqus", "replies", "respond",
+    "share", "sharing", "social", "related", "recommended", "recommendations", "pagination", "pager", "toolbar", "widget",
+})
+COMMENT_NAMES = frozenset({
+    "comment", "comments", "commentlist", "disqus", "replies", "respond",
+})
+NEGATING = frozenset({
+    "has", "with", "no", "without",
+})
 
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+)>")
 _OTHER = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?/][^>]*+>?", re.S)
