@@ -11,11 +11,13 @@ from pyspark.sql.types import StringType
 
 # Words that decide what a sentence does with its subject.
 NEGATION = (
-    "never not no cannot cant nothing neither nor without none nobody isnt arent doesnt dont wont"
-).split()
+    "never", "not", "no", "cannot", "cant", "nothing", "neither", "nor", "without", "none", "nobody", "isnt", "arent",
+    "doesnt", "dont", "wont",
+)
 OBLIGATION = (
-    "must required requires obliged obligatory obligation duty ought should demands demanded mandatory"
-).split()
+    "must", "required", "requires", "obliged", "obligatory", "obligation", "duty", "ought", "should", "demands",
+    "demanded", "mandatory",
+)
 # Labels that stand for "no name was found".
 PLACEHOLDERS = (
     "", "-", "?", "n/a", "na", "none", "null", "nil", "empty", "unknown", "unnamed", "unspecified",

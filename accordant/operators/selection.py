@@ -12,6 +12,7 @@ from accordant.functions.text import is_placeholder, plain_key, slug, split_disa
 
 # What a new value of each facet is worth.
 FACET_WEIGHTS: Mapping[str, float] = {"language": 3.0, "country": 3.0, "decade": 1.5, "genre": 1.0}
+# Titles that are no single film, and the least size of an article.
 SKIP_TITLES = (
     r"(?i)^(List of|Category:|Template:|Index of|Outline of)|\b(film series|filmography|awards|soundtrack|video game)\b"
 )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from accordant.functions.text import strip
 
+# The forms of a timecode, of a rendered cue and of markup in a track.
 TIMECODE = r"(\d{1,2}):(\d{2}):(\d{2})[,.](\d{1,3})\s*-->"
 RENDERED = r"^\[(\d+):(\d{2}):(\d{2})\]\s*(.*)$"
 TAG = r"<[^>]+>|\{[^}]*\}"

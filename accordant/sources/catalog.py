@@ -2,70 +2,220 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_KINDS = {
-    "s": T.StringType(), "i": T.IntegerType(), "l": T.LongType(), "d": T.DoubleType(),
-    "b": T.BooleanType(), "t": T.TimestampType(), "as": T.ArrayType(T.StringType()),
-    "ad": T.ArrayType(T.DoubleType()), "aas": T.ArrayType(T.ArrayType(T.StringType())),
-}
-
 
 @dataclass(frozen=True)
 class TableSpec:
     name: str
-    schema: T.StructType
+    ddl: str
     key: tuple[str, ...]
     partitions: tuple[str, ...] = ()
     user_table: bool = False
-    nullify: tuple[str, ...] = field(default=())  # entity columns cleared instead of deleting the row
-
-
-def _spec(name: str, key: str, cols: str, partitions: str = "", user: bool = False, nullify: str = "") -> TableSpec:
-    fields = [T.StructField(n, _KINDS[k]) for n, k in (c.split(":") for c in cols.split())]
-    return TableSpec(name, T.StructType(fields), tuple(key.split()), tuple(partitions.split()), user, tuple(nullify.split()))
+    nullify: tuple[str, ...] = ()  # entity columns cleared instead of deleting the row
 
+    @property
+    def schema(self) -> T.StructType:
+        """Parsed by the running session."""
+        return T.StructType.fromDDL(self.ddl)
 
-_READING = "scorer:s variant:s bank_version:s"
 
+# The columns of the tables and their types.
 TABLES: dict[str, TableSpec] = {t.name: t for t in (
-    _spec("films", "film_id", "film_id:s imdb_id:s tmdb_id:l title:s year:i runtime:i origin_country:as original_language:s genres:as keywords:as directors:as writers:as billed_cast:as collection:s based_on:s description:s description_source:s artwork_url:s wikipedia_title:s seed_note:s fetched_at:t"),
-    _spec("evidence", "film_id layer", "film_id:s layer:s content:s source_url:s word_count:i meta:s fetched_at:t"),
-    _spec("runs", "run_id", "run_id:s stage:s model:s prompt_version:s params:s n_calls:l input_tokens:l cached_tokens:l output_tokens:l cost_usd:d started_at:t finished_at:t"),
-    _spec("skeletons", "film_id variant run_id", "film_id:s variant:s run_id:s data:s model:s prompt_version:s created_at:t"),
-    _spec("propositions", "prop_id", "prop_id:s film_id:s variant:s run_id:s text:s stance:s model:s prompt_version:s created_at:t"),
-    _spec("item_bank", "item_id bank_version", "item_id:s bank_version:s text:s cluster_id:l support:i active:b note:s model:s run_id:s", "bank_version"),
-    _spec("scores", "film_id item_id bank_version variant run_id", "film_id:s item_id:s bank_version:s variant:s run_id:s value:i confidence:d evidence:s model:s", "bank_version variant"),
-    _spec("verdicts", "scorer film_id item_id bank_version variant", "film_id:s item_id:s run_id:s value:i confidence:d evidence:s original_value:i audited_at:t bank_version:s scorer:s variant:s", "bank_version scorer variant"),
-    _spec("refusals", "scorer film_id bank_version", "scorer:s film_id:s bank_version:s reason:s created_at:t"),
-    _spec("model_propositions", "prop_id", "prop_id:s scorer:s film_id:s variant:s text:s stance:s run_id:s"),
-    _spec("model_dimensions", "scorer dim_version dim_id", "scorer:s dim_version:s dim_id:i name:s pole_high:s pole_low:s"),
-    _spec("model_item_dimensions", "scorer dim_version bank_version item_id", "scorer:s dim_version:s bank_version:s item_id:s dim_id:i polarity:i fit:d"),
-    _spec("dimensions", "dim_version dim_id", "dim_version:s dim_id:i name:s question:s pole_high:s pole_low:s", "dim_version"),
-    _spec("item_dimensions", "dim_version bank_version item_id pass_name", "dim_version:s bank_version:s item_id:s dim_id:i polarity:i fit:d pass_name:s model:s", "dim_version"),
-    _spec("factors", "scorer variant bank_version factor_id", _READING + " factor_id:i name:s question:s pole_high:s pole_low:s pole_high_label:s pole_low_label:s coherent:b coherence:d n_items:i eigenvalue:d margin:d model:s run_id:s", "bank_version scorer variant"),
-    _spec("factor_items", "scorer variant bank_version item_id", _READING + " item_id:s factor_id:i loading:d loadings:ad", "bank_version scorer variant"),
-    _spec("partitions", "scorer item_id", "scorer:s item_id:s group_id:i"),
-    _spec("placements", "scorer variant bank_version factor_id", _READING + " factor_id:i reliability:d noise_ceiling:d places_people:b fingerprint:s"),
-    _spec("taste_nulls", "scorer variant bank_version", _READING + " eigenvalues:ad null_threshold:ad n_factors:i fingerprint:s"),
-    _spec("film_adjusted", "scorer variant bank_version film_id dim_id", _READING + " film_id:s dim_id:i score:d taste_explained:d"),
-    _spec("neighbours", "film_id neighbour_id", "film_id:s neighbour_id:s similarity:d support:l source:s created_at:t"),
-    _spec("taste_dimensions", "dim_id", "dim_id:i pole_high:s pole_low:s variance:d replication:d profile_reliability:d evidence:d tags_high:as tags_low:as status:s source:s"),
-    _spec("film_taste", "film_id dim_id", "film_id:s dim_id:i position:d"),
-    _spec("film_sets", "set_id", "set_id:s name:s source:s url:s colour:s sort_order:i"),
-    _spec("film_set_members", "set_id film_id", "set_id:s film_id:s"),
-    _spec("documents", "name", "name:s key:s payload:s created_at:t", "name"),
-    _spec("users", "user_id", "user_id:s name:s moral_stance:s moral_weight:d", user=True),
-    _spec("reactions", "rating_id", "rating_id:s user_id:s film_id:s reaction:s submitted_at:t", user=True),
-    _spec("test_results", "result_id", "result_id:s user_id:s session_token:s answers:s submitted_at:t", user=True),
-    _spec("sessions", "session_id", "session_id:s share_token:s deck:s selected_film_id:s created_at:t", user=True, nullify="selected_film_id"),
-    _spec("members", "session_id user_id", "session_id:s user_id:s joined_at:t", user=True),
-    _spec("session_films", "session_id film_id", "session_id:s film_id:s position:i", "session_id", user=True),
-    _spec("votes", "session_id user_id film_id", "session_id:s user_id:s film_id:s reaction:s submitted_at:t", user=True),
-    _spec("event_log", "event_id", "event_id:s user_id:s kind:s detail:s created_at:t", user=True),
+    TableSpec(
+        "films",
+        "film_id STRING, imdb_id STRING, tmdb_id BIGINT, title STRING, year INT, runtime INT, origin_country "
+        "ARRAY<STRING>, original_language STRING, genres ARRAY<STRING>, keywords ARRAY<STRING>, directors "
+        "ARRAY<STRING>, writers ARRAY<STRING>, billed_cast ARRAY<STRING>, collection STRING, based_on STRING, "
+        "description STRING, description_source STRING, artwork_url STRING, wikipedia_title STRING, seed_note "
+        "STRING, fetched_at TIMESTAMP",
+        key=("film_id",),
+    ),
+    TableSpec(
+        "evidence",
+        "film_id STRING, layer STRING, content STRING, source_url STRING, word_count INT, meta STRING, fetched_at "
+        "TIMESTAMP",
+        key=("film_id", "layer"),
+    ),
+    TableSpec(
+        "runs",
+        "run_id STRING, stage STRING, model STRING, prompt_version STRING, params STRING, n_calls BIGINT, "
+        "input_tokens BIGINT, cached_tokens BIGINT, output_tokens BIGINT, cost_usd DOUBLE, started_at TIMESTAMP, "
+        "finished_at TIMESTAMP",
+        key=("run_id",),
+    ),
+    TableSpec(
+        "skeletons",
+        "film_id STRING, variant STRING, run_id STRING, data STRING, model STRING, prompt_version STRING, created_at "
+        "TIMESTAMP",
+        key=("film_id", "variant", "run_id"),
+    ),
+    TableSpec(
+        "propositions",
+        "prop_id STRING, film_id STRING, variant STRING, run_id STRING, text STRING, stance STRING, model STRING, "
+        "prompt_version STRING, created_at TIMESTAMP",
+        key=("prop_id",),
+    ),
+    TableSpec(
+        "item_bank",
+        "item_id STRING, bank_version STRING, text STRING, cluster_id BIGINT, support INT, active BOOLEAN, note "
+        "STRING, model STRING, run_id STRING",
+        key=("item_id", "bank_version"), partitions=("bank_version",),
+    ),
+    TableSpec(
+        "scores",
+        "film_id STRING, item_id STRING, bank_version STRING, variant STRING, run_id STRING, value INT, confidence "
+        "DOUBLE, evidence STRING, model STRING",
+        key=("film_id", "item_id", "bank_version", "variant", "run_id"), partitions=("bank_version", "variant"),
+    ),
+    TableSpec(
+        "verdicts",
+        "film_id STRING, item_id STRING, run_id STRING, value INT, confidence DOUBLE, evidence STRING, "
+        "original_value INT, audited_at TIMESTAMP, bank_version STRING, scorer STRING, variant STRING",
+        key=("scorer", "film_id", "item_id", "bank_version", "variant"), partitions=("bank_version", "scorer", "variant"),
+    ),
+    TableSpec(
+        "refusals",
+        "scorer STRING, film_id STRING, bank_version STRING, reason STRING, created_at TIMESTAMP",
+        key=("scorer", "film_id", "bank_version"),
+    ),
+    TableSpec(
+        "model_propositions",
+        "prop_id STRING, scorer STRING, film_id STRING, variant STRING, text STRING, stance STRING, run_id STRING",
+        key=("prop_id",),
+    ),
+    TableSpec(
+        "model_dimensions",
+        "scorer STRING, dim_version STRING, dim_id INT, name STRING, pole_high STRING, pole_low STRING",
+        key=("scorer", "dim_version", "dim_id"),
+    ),
+    TableSpec(
+        "model_item_dimensions",
+        "scorer STRING, dim_version STRING, bank_version STRING, item_id STRING, dim_id INT, polarity INT, fit "
+        "DOUBLE",
+        key=("scorer", "dim_version", "bank_version", "item_id"),
+    ),
+    TableSpec(
+        "dimensions",
+        "dim_version STRING, dim_id INT, name STRING, question STRING, pole_high STRING, pole_low STRING",
+        key=("dim_version", "dim_id"), partitions=("dim_version",),
+    ),
+    TableSpec(
+        "item_dimensions",
+        "dim_version STRING, bank_version STRING, item_id STRING, dim_id INT, polarity INT, fit DOUBLE, pass_name "
+        "STRING, model STRING",
+        key=("dim_version", "bank_version", "item_id", "pass_name"), partitions=("dim_version",),
+    ),
+    TableSpec(
+        "factors",
+        "scorer STRING, variant STRING, bank_version STRING, factor_id INT, name STRING, question STRING, pole_high "
+        "STRING, pole_low STRING, pole_high_label STRING, pole_low_label STRING, coherent BOOLEAN, coherence DOUBLE, "
+        "n_items INT, eigenvalue DOUBLE, margin DOUBLE, model STRING, run_id STRING",
+        key=("scorer", "variant", "bank_version", "factor_id"), partitions=("bank_version", "scorer", "variant"),
+    ),
+    TableSpec(
+        "factor_items",
+        "scorer STRING, variant STRING, bank_version STRING, item_id STRING, factor_id INT, loading DOUBLE, loadings "
+        "ARRAY<DOUBLE>",
+        key=("scorer", "variant", "bank_version", "item_id"), partitions=("bank_version", "scorer", "variant"),
+    ),
+    TableSpec(
+        "partitions",
+        "scorer STRING, item_id STRING, group_id INT",
+        key=("scorer", "item_id"),
+    ),
+    TableSpec(
+        "placements",
+        "scorer STRING, variant STRING, bank_version STRING, factor_id INT, reliability DOUBLE, noise_ceiling "
+        "DOUBLE, places_people BOOLEAN, fingerprint STRING",
+        key=("scorer", "variant", "bank_version", "factor_id"),
+    ),
+    TableSpec(
+        "taste_nulls",
+        "scorer STRING, variant STRING, bank_version STRING, eigenvalues ARRAY<DOUBLE>, null_threshold "
+        "ARRAY<DOUBLE>, n_factors INT, fingerprint STRING",
+        key=("scorer", "variant", "bank_version"),
+    ),
+    TableSpec(
+        "film_adjusted",
+        "scorer STRING, variant STRING, bank_version STRING, film_id STRING, dim_id INT, score DOUBLE, "
+        "taste_explained DOUBLE",
+        key=("scorer", "variant", "bank_version", "film_id", "dim_id"),
+    ),
+    TableSpec(
+        "neighbours",
+        "film_id STRING, neighbour_id STRING, similarity DOUBLE, support BIGINT, source STRING, created_at TIMESTAMP",
+        key=("film_id", "neighbour_id"),
+    ),
+    TableSpec(
+        "taste_dimensions",
+        "dim_id INT, pole_high STRING, pole_low STRING, variance DOUBLE, replication DOUBLE, profile_reliability "
+        "DOUBLE, evidence DOUBLE, tags_high ARRAY<STRING>, tags_low ARRAY<STRING>, status STRING, source STRING",
+        key=("dim_id",),
+    ),
+    TableSpec(
+        "film_taste",
+        "film_id STRING, dim_id INT, position DOUBLE",
+        key=("film_id", "dim_id"),
+    ),
+    TableSpec(
+        "film_sets",
+        "set_id STRING, name STRING, source STRING, url STRING, colour STRING, sort_order INT",
+        key=("set_id",),
+    ),
+    TableSpec(
+        "film_set_members",
+        "set_id STRING, film_id STRING",
+        key=("set_id", "film_id"),
+    ),
+    TableSpec(
+        "documents",
+        "name STRING, key STRING, payload STRING, created_at TIMESTAMP",
+        key=("name",), partitions=("name",),
+    ),
+    TableSpec(
+        "users",
+        "user_id STRING, name STRING, moral_stance STRING, moral_weight DOUBLE",
+        key=("user_id",), user_table=True,
+    ),
+    TableSpec(
+        "reactions",
+        "rating_id STRING, user_id STRING, film_id STRING, reaction STRING, submitted_at TIMESTAMP",
+        key=("rating_id",), user_table=True,
+    ),
+    TableSpec(
+        "test_results",
+        "result_id STRING, user_id STRING, session_token STRING, answers STRING, submitted_at TIMESTAMP",
+        key=("result_id",), user_table=True,
+    ),
+    TableSpec(
+        "sessions",
+        "session_id STRING, share_token STRING, deck STRING, selected_film_id STRING, created_at TIMESTAMP",
+        key=("session_id",), user_table=True, nullify=("selected_film_id",),
+    ),
+    TableSpec(
+        "members",
+        "session_id STRING, user_id STRING, joined_at TIMESTAMP",
+        key=("session_id", "user_id"), user_table=True,
+    ),
+    TableSpec(
+        "session_films",
+        "session_id STRING, film_id STRING, position INT",
+        key=("session_id", "film_id"), partitions=("session_id",), user_table=True,
+    ),
+    TableSpec(
+        "votes",
+        "session_id STRING, user_id STRING, film_id STRING, reaction STRING, submitted_at TIMESTAMP",
+        key=("session_id", "user_id", "film_id"), user_table=True,
+    ),
+    TableSpec(
+        "event_log",
+        "event_id STRING, user_id STRING, kind STRING, detail STRING, created_at TIMESTAMP",
+        key=("event_id",), user_table=True,
+    ),
 )}
 
 ENTITY_COLUMNS = ("film_id", "neighbour_id", "selected_film_id")
