@@ -105,7 +105,10 @@ def matrix_shape(cells: DataFrame, *keys: str, films: DataFrame | None = None) -
     return shape.withColumn("density", F.col("n_engaged") / (F.col("n_films") * F.col("n_items")))
 
 
-def require_matrix(cells: DataFrame, *keys: str, min_items: int = 2, min_films: int = 3) -> DataFrame:
+LEAST_ITEMS, LEAST_FILMS = 2, 3
+
+
+def require_matrix(cells: DataFrame, *keys: str, min_items: int = LEAST_ITEMS, min_films: int = LEAST_FILMS) -> DataFrame:
     """Fail the job when a reading is too small to factor."""
     shape = matrix_shape(cells, *keys)
     small = (F.col("n_items") < min_items) | (F.col("n_films") < min_films)

@@ -84,3 +84,30 @@ def promax(load: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.linalg.pinv(to_target.T @ to_target)
     spread = np.sqrt(np.diag(inverse).clip(min=1e-12))
     return base @ (to_target * spread), inverse / np.outer(spread, spread)
+
+
+def nearest_centres(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmin(np.square(x[:, None, :] - centres[None]).sum(axis=2), axis=1)
+
+
+def k_means(x: np.ndarray, k: int, seed: int, starts: int = 10, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Groups and centres of the best of ``starts`` runs. Each begins with points drawn in
+    proportion to their squared distance from those drawn before (Arthur and Vassilvitskii)."""
+    rng, best = np.random.default_rng(seed), None
+    k = min(k, len(np.unique(x, axis=0)))
+    for _ in range(starts):
+        centres = x[[rng.integers(len(x))]]
+        while len(centres) < k:
+            gap = np.square(x[:, None, :] - centres[None]).sum(axis=2).min(axis=1)
+            centres = np.vstack([centres, x[rng.choice(len(x), p=gap / gap.sum())]])
+        group = nearest_centres(x, centres)
+        for _ in range(rounds):
+            centres = np.array([x[group == g].mean(axis=0) if (group == g).any() else centres[g] for g in range(k)])
+            moved = nearest_centres(x, centres)
+            if (moved == group).all():
+                break
+            group = moved
+        loss = np.square(x - centres[group]).sum()
+        if best is None or loss < best[0] - 1e-12:
+            best = loss, group, centres
+    return best[1], best[2]

@@ -72,10 +72,10 @@ def _groups(spark, d):
 
 @query("component_groups", "M7")
 def _components(spark, d):
-    cells = response(spark, d).filter("scorer = '1-URGENT'").drop("scorer")
+    cells = response(spark, d)
     index = P.item_index(cells)
-    load = L.loadings(L.correlation_cells(cells, (), index), (), 3, method="pca")
-    return L.component_groups(load, index, 3)
+    load = L.loadings(L.correlation_cells(cells, R, index), R, 3, method="pca")
+    return L.component_groups(load, index, R)
 
 
 @query("composite_groups", "M9")
@@ -92,5 +92,7 @@ def _halves(spark, d):
 
 @query("factor_analysis_report", "M10 M32")
 def _analyse(spark, d):
+    v = bind(spark, d, "verdicts").select("scorer", "film_id", "item_id", "variant", "value")
+    counts = C.contested_counters(cut_lineage(C.cell_means(v, *R, "film_id", "item_id")), *R)
     report, _items = L.analyse(response(spark, d), R, n_iter=200)
-    return report.drop("observed", "null_threshold")
+    return counts.join(report.drop("observed", "null_threshold"), R, "left").withColumn("status", F.coalesce("status", F.lit("no contested item")))

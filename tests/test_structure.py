@@ -74,11 +74,34 @@ def test_component_groups_claim_factors_one_to_one(spark):
     cells = long(spark, planted())
     index = P.item_index(cells)
     load = L.loadings(L.correlation_cells(cells, (), index), (), 3, method="pca")
-    out = L.component_groups(load, index, 3).toPandas()
+    out = L.component_groups(load, index, k=3).toPandas()
     assert out.groupby("group_id").dominant.nunique().eq(1).all()
     assert out.drop_duplicates("group_id").dominant.is_unique
 
 
+def test_component_groups_of_many_readings(spark):
+    """Each reading on its own, also with a single group."""
+    both = long(spark, planted()).withColumn("scorer", F.lit("a")).unionByName(long(spark, planted(n=200, seed=8)).withColumn("scorer", F.lit("b")))
+    index = P.item_index(both)
+    load = L.loadings(L.correlation_cells(both, ["scorer"], index), ["scorer"], 3, method="pca")
+    out = L.component_groups(load, index, ["scorer"]).toPandas()
+    for _, one in out.groupby("scorer"):
+        truth = one.item_id.str[1:].astype(int) // 15
+        assert pd.crosstab(one.group_id, truth).max(axis=1).sum() >= 0.9 * len(one)
+    single = L.component_groups(load, index, ["scorer"], k=1).toPandas()
+    assert (single.group_id == 0).all() and len(single) == len(out)
+
+
+def test_a_reading_too_small_does_not_stop_the_others(spark):
+    big = long(spark, planted()).withColumn("scorer", F.lit("a"))
+    tiny = big.filter("film_id = 0").limit(1).withColumn("scorer", F.lit("z"))
+    for method in ("fa", "pca"):
+        report, items = L.analyse(big.unionByName(tiny), ["scorer"], n_iter=10, method=method)
+        status = {r.scorer: (r.status, r.n_factors) for r in report.collect()}
+        assert status["z"] == ("too small", None) and status["a"][0] == "factored"
+        assert {r.scorer for r in items.select("scorer").distinct().collect()} == {"a"}
+
+
 def test_composites_of_one_reading(spark):
     cells = long(spark, planted(n=120, per=6))
     index = P.item_index(cells)
