@@ -63,38 +63,38 @@ def funnel(**tables: DataFrame) -> DataFrame:
     return out
 
 
-def widest_variant(verdicts: DataFrame, assignments: DataFrame | None = None) -> DataFrame:
-    """(film_id, variant): the variant with the most rows on assigned items, first of equals."""
+def widest_variant(verdicts: DataFrame, assignments: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, film_id, variant): the variant with the most rows on assigned items, first of equals."""
     rows = verdicts if assignments is None else verdicts.join(assignments.select("item_id"), "item_id", "left_semi")
-    n = rows.groupBy("film_id", "variant").agg(F.count(F.lit(1)).alias("n"))
-    ranked = Window.partitionBy("film_id").orderBy(F.desc("n"), "variant")
-    return n.withColumn("_r", F.row_number().over(ranked)).filter(F.col("_r") == 1).select("film_id", "variant")
+    n = rows.groupBy(*keys, "film_id", "variant").agg(F.count(F.lit(1)).alias("n"))
+    ranked = Window.partitionBy(*keys, "film_id").orderBy(F.desc("n"), "variant")
+    return n.withColumn("_r", F.row_number().over(ranked)).filter(F.col("_r") == 1).select(*keys, "film_id", "variant")
 
 
-def film_profiles(verdicts: DataFrame, assignments: DataFrame) -> DataFrame:
+def film_profiles(verdicts: DataFrame, assignments: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean signed verdict per axis from each film's widest variant."""
-    wide = widest_variant(verdicts, assignments)
-    rows = verdicts.join(wide, ["film_id", "variant"]).join(assignments, "item_id")
-    return rows.groupBy("film_id", "variant", "dim_id").agg(
+    wide = widest_variant(verdicts, assignments, keys)
+    rows = verdicts.join(wide, [*keys, "film_id", "variant"]).join(assignments, "item_id")
+    return rows.groupBy(*keys, "film_id", "variant", "dim_id").agg(
         F.avg(F.col("polarity") * F.col("value")).alias("net"), F.count(F.lit(1)).alias("n_items"))
 
 
-def top_axes(profiles: DataFrame, k: int = 3) -> DataFrame:
-    w = Window.partitionBy("film_id").orderBy(F.desc(F.round(F.abs(F.col("net") * F.col("n_items")), 9)), "dim_id")
+def top_axes(profiles: DataFrame, k: int = 3, keys: Sequence[str] = ()) -> DataFrame:
+    w = Window.partitionBy(*keys, "film_id").orderBy(F.desc(F.round(F.abs(F.col("net") * F.col("n_items")), 9)), "dim_id")
     return profiles.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def film_axes(verdicts: DataFrame, assignments: DataFrame, texts: DataFrame) -> DataFrame:
+def film_axes(verdicts: DataFrame, assignments: DataFrame, texts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Every verdict behind a film's axis: label, direction, and its place by
     |value x confidence|.  One row per verdict, so no film's evidence is gathered."""
-    wide = widest_variant(verdicts, assignments)
-    rows = verdicts.join(wide, ["film_id", "variant"]).join(assignments, "item_id").join(texts, "item_id")
+    wide = widest_variant(verdicts, assignments, keys)
+    rows = verdicts.join(wide, [*keys, "film_id", "variant"]).join(assignments, "item_id").join(texts, "item_id")
     signed = F.col("polarity") * F.col("value")
     toward = F.when(signed > 0, "high").when(signed < 0, "low")
     verdict = F.when(F.col("value") > 0, "affirms").when(F.col("value") < 0, "denies").otherwise("not addressed")
-    w = Window.partitionBy("film_id", "dim_id").orderBy(
+    w = Window.partitionBy(*keys, "film_id", "dim_id").orderBy(
         F.desc(F.round(F.abs(F.col("value") * F.coalesce("confidence", F.lit(0.0))), 9)), "item_id", "run_id")
-    return rows.select("film_id", "variant", "dim_id", "item_id", "run_id", "text", verdict.alias("verdict"), toward.alias("toward"),
+    return rows.select(*keys, "film_id", "variant", "dim_id", "item_id", "run_id", "text", verdict.alias("verdict"), toward.alias("toward"),
                        "confidence", "value").withColumn("position", F.row_number().over(w))
 
 

@@ -64,13 +64,13 @@ def film_positions(cells: DataFrame, loadings: DataFrame, keys: Sequence[str] =
         (F.col("_den") / unit).alias("mass"))
 
 
-def contributions(cells: DataFrame, loadings: DataFrame) -> DataFrame:
+def contributions(cells: DataFrame, loadings: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Signed share of every verdict in its film's position; the terms sum to it."""
     w = F.abs("strength")
     rows = cells.join(loadings, "item_id")
-    total = rows.groupBy("film_id", "factor_id").agg(F.sum(w).alias("_total"))
-    return rows.join(total, ["film_id", "factor_id"]).select(
-        "film_id", "factor_id", "item_id", "value", F.col("strength").alias("loading"),
+    total = rows.groupBy(*keys, "film_id", "factor_id").agg(F.sum(w).alias("_total"))
+    return rows.join(total, [*keys, "film_id", "factor_id"]).select(
+        *keys, "film_id", "factor_id", "item_id", "value", F.col("strength").alias("loading"),
         F.when(F.col("value") > 0, "affirms").otherwise("denies").alias("verdict"),
         (F.col("strength") < 0).alias("reverse_keyed"),
         F.when((F.col("value") > 0) == (F.col("strength") > 0), "high").otherwise("low").alias("points_to"),
@@ -269,25 +269,28 @@ def taste_reading(
                       F.round(100.0 * share).cast("int").alias("percentile"))
 
 
-def set_centroids(members: DataFrame, positions: DataFrame, baseline: DataFrame, min_members: int = 8) -> DataFrame:
+def set_centroids(
+    members: DataFrame, positions: DataFrame, baseline: DataFrame, min_members: int = 8, keys: Sequence[str] = (),
+) -> DataFrame:
     """Mean centred position of each reference set per axis; sets with fewer
     placed members are left out."""
-    placed = members.join(positions.select("film_id").distinct(), "film_id", "left_semi")
-    big = placed.groupBy("set_id").agg(F.count_distinct("film_id").alias("members")).filter(
+    keys = list(keys)
+    placed = members.join(positions.select(*keys, "film_id").distinct(), "film_id")
+    big = placed.groupBy(*keys, "set_id").agg(F.count_distinct("film_id").alias("members")).filter(
         F.col("members") >= min_members)
     return (
-        placed.join(F.broadcast(big), "set_id").join(positions, "film_id")
-        .join(F.broadcast(baseline), "factor_id", "left").groupBy("set_id", "factor_id", "members")
+        placed.join(F.broadcast(big), [*keys, "set_id"]).join(positions, [*keys, "film_id"])
+        .join(F.broadcast(baseline), [*keys, "factor_id"], "left").groupBy(*keys, "set_id", "factor_id", "members")
         .agg(F.avg(F.col("position") - F.coalesce("middle", F.lit(0.0))).alias("centroid")))
 
 
-def plotted_centroids(members: DataFrame, positions: DataFrame, x_axis: int, y_axis: int) -> DataFrame:
+def plotted_centroids(members: DataFrame, positions: DataFrame, x_axis: int, y_axis: int, keys: Sequence[str] = ()) -> DataFrame:
     """Set centroid in a pair of axes, over the films that have both."""
-    both = positions.filter(F.col("factor_id").isin(x_axis, y_axis)).groupBy("film_id").agg(
+    both = positions.filter(F.col("factor_id").isin(x_axis, y_axis)).groupBy(*keys, "film_id").agg(
         F.max(F.when(F.col("factor_id") == x_axis, F.col("position"))).alias("x"),
         F.max(F.when(F.col("factor_id") == y_axis, F.col("position"))).alias("y"),
     ).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    return members.join(both, "film_id").groupBy("set_id").agg(
+    return members.join(both, "film_id").groupBy(*keys, "set_id").agg(
         F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("films"))
 
 

@@ -258,49 +258,53 @@ def items_by_pole(items: DataFrame, min_weight: float = 0.20, per_end: int = 40,
 
 # -- factor pages -------------------------------------------------------------------
 
-def factor_detail(cells: DataFrame, items: DataFrame, positions: DataFrame, min_items: int = 3) -> DataFrame:
+def factor_detail(cells: DataFrame, items: DataFrame, positions: DataFrame, min_items: int = 3, keys: Sequence[str] = ()) -> DataFrame:
     """Per factor: affirmations and denials of its own items, corpus score and the
     number of films with enough items to be placed."""
-    sides = cells.join(items.select("item_id", "factor_id"), "item_id").groupBy("factor_id").agg(
+    by = [*keys, "factor_id"]
+    sides = cells.join(items.select("item_id", "factor_id"), "item_id").groupBy(*by).agg(
         F.count_if(F.col("value") > 0).alias("affirms"), F.count_if(~(F.col("value") > 0)).alias("denies"))
-    placed = positions.filter(F.col("n_items") >= min_items).groupBy("factor_id").agg(F.count(F.lit(1)).alias("films_positioned"))
+    placed = positions.filter(F.col("n_items") >= min_items).groupBy(*by).agg(F.count(F.lit(1)).alias("films_positioned"))
     total = F.col("affirms") + F.col("denies")
-    return sides.join(placed, "factor_id", "left").select(
-        "factor_id", "affirms", "denies",
+    return sides.join(placed, by, "left").select(
+        *by, "affirms", "denies",
         F.when(total > 0, F.round((F.col("affirms") - F.col("denies")) / total, 3)).otherwise(0.0).alias("corpus_score"),
         F.coalesce("films_positioned", F.lit(0)).alias("films_positioned"))
 
 
-def strongest_items(cells: DataFrame, items: DataFrame, limit: int = 40) -> DataFrame:
+def strongest_items(cells: DataFrame, items: DataFrame, limit: int = 40, keys: Sequence[str] = ()) -> DataFrame:
     """A factor's own items by weight, distance, then engagement, with their counts."""
-    sides = cells.groupBy("item_id").agg(
+    keys = list(keys)
+    sides = cells.groupBy(*keys, "item_id").agg(
         F.count_if(F.col("value") > 0).alias("affirms"), F.count_if(~(F.col("value") > 0)).alias("denies"))
-    rows = items.join(sides, "item_id", "left").withColumn("affirms", F.coalesce("affirms", F.lit(0))).withColumn(
+    every = items.join(F.broadcast(cells.select(*keys).distinct())) if keys else items  # one row per reading
+    rows = every.join(sides, [*keys, "item_id"], "left").withColumn("affirms", F.coalesce("affirms", F.lit(0))).withColumn(
         "denies", F.coalesce("denies", F.lit(0))).withColumn("weight", F.abs("loading"))
-    w = Window.partitionBy("factor_id").orderBy(
+    w = Window.partitionBy(*keys, "factor_id").orderBy(
         F.desc(F.coalesce("weight", F.lit(0.0))), F.coalesce("distance", F.lit(0.0)), F.desc(F.col("affirms") + F.col("denies")), "item_id")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
-def pole_films(positions: DataFrame, per_pole: int = 10, min_items: int = 3) -> DataFrame:
+def pole_films(positions: DataFrame, per_pole: int = 10, min_items: int = 3, keys: Sequence[str] = ()) -> DataFrame:
     """The films at both ends of every axis."""
+    by = [*keys, "factor_id"]
     rows = positions.filter(F.col("n_items") >= min_items).withColumn("score", F.round("position", 8))
-    high = Window.partitionBy("factor_id").orderBy(F.desc("score"), "film_id")
-    low = Window.partitionBy("factor_id").orderBy("score", F.desc("film_id"))
+    high = Window.partitionBy(*by).orderBy(F.desc("score"), "film_id")
+    low = Window.partitionBy(*by).orderBy("score", F.desc("film_id"))
     top = rows.withColumn("rank", F.row_number().over(high)).filter(F.col("rank") <= per_pole).withColumn("pole", F.lit("high"))
     bottom = rows.withColumn("rank", F.row_number().over(low)).filter(F.col("rank") <= per_pole).withColumn("pole", F.lit("low"))
-    return top.unionByName(bottom).select("factor_id", "pole", "rank", "film_id", "score")
+    return top.unionByName(bottom).select(*by, "pole", "rank", "film_id", "score")
 
 
-def position_histogram(positions: DataFrame, bins: int = 17) -> DataFrame:
+def position_histogram(positions: DataFrame, bins: int = 17, keys: Sequence[str] = ()) -> DataFrame:
     """Films per bin of [-1, 1] on each axis, half-up rounding to the nearest bin."""
     bin_of = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.round("position", 10) + 1) / 2 * (bins - 1) + 0.5)))
-    return positions.groupBy("factor_id", bin_of.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("films"))
+    return positions.groupBy(*keys, "factor_id", bin_of.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("films"))
 
 
-def position_summary(positions: DataFrame, edge: float = 0.2) -> DataFrame:
+def position_summary(positions: DataFrame, edge: float = 0.2, keys: Sequence[str] = ()) -> DataFrame:
     p = F.round("position", 10)
-    return positions.groupBy("factor_id").agg(
+    return positions.groupBy(*keys, "factor_id").agg(
         F.avg("position").alias("mean"), F.count_if(p > edge).alias("high"), F.count_if(p < -edge).alias("low"),
         F.count_if((p <= edge) & (p >= -edge)).alias("between"))
 

@@ -15,6 +15,7 @@ from accordant.plans import people_queries as PQ
 from accordant.plans import text_queries as TQ
 from accordant.plans.bindings import bind, oracle_with, table
 from accordant.plans.registry import query
+from accordant.session import cut_lineage
 from accordant.sources import catalog, readers, writers
 
 INCUMBENT = "1-URGENT"
@@ -297,29 +298,29 @@ def _missing(spark, d):
     return D.missing_metadata(f).select("film_id")
 
 
-AUD = """, av AS (SELECT film_id, item_id, run_id, value, repeat('x', CAST(round(confidence * 30) AS INTEGER)) AS evidence,
-  CASE WHEN variant = 'O' THEN created_at END AS audited_at FROM verdicts WHERE scorer = '1-URGENT')"""
+AUD = """, av AS (SELECT scorer, film_id, item_id, run_id, value, repeat('x', CAST(round(confidence * 30) AS INTEGER)) AS evidence,
+  CASE WHEN variant = 'O' THEN created_at END AS audited_at FROM verdicts)"""
 
 
 def audited(spark, d):
-    return one(spark, d).select("film_id", "item_id", "run_id", "value", F.expr("repeat('x', cast(round(confidence * 30) as int))").alias("evidence"),
+    return bind(spark, d, "verdicts").select("scorer", "film_id", "item_id", "run_id", "value", F.expr("repeat('x', cast(round(confidence * 30) as int))").alias("evidence"),
                                 F.when(F.col("variant") == "O", F.col("created_at")).alias("audited_at"))
 
 
 @query("due_for_audit", "P5", oracle_with("verdicts items", AUD + BANK + """
-SELECT film_id, item_id, run_id, value, text FROM av JOIN bank USING (item_id) WHERE length(evidence) > 25 AND audited_at IS NULL"""))
+SELECT scorer, film_id, item_id, run_id, value, text FROM av JOIN bank USING (item_id) WHERE length(evidence) > 25 AND audited_at IS NULL"""))
 def _due(spark, d):
-    return D.due_for_audit(audited(spark, d), bank(spark, d)).select("film_id", "item_id", "run_id", "value", "text")
+    return D.due_for_audit(audited(spark, d), bank(spark, d)).select("scorer", "film_id", "item_id", "run_id", "value", "text")
 
 
 @query("audit_corrections", "F18", oracle_with("verdicts", AUD + """
-, j AS (SELECT film_id, item_id, run_id, value > 1 AS contradicted FROM av WHERE film_id % 3 = 0)
-SELECT av.film_id, av.item_id, av.run_id, CASE WHEN contradicted THEN -value ELSE value END AS value, CASE WHEN contradicted THEN value END AS original_value,
-  CASE WHEN contradicted IS NOT NULL THEN TIMESTAMP '2030-01-01' ELSE audited_at END AS audited_at FROM av LEFT JOIN j USING (film_id, item_id, run_id)"""))
+, j AS (SELECT scorer, film_id, item_id, run_id, value > 1 AS contradicted FROM av WHERE film_id % 3 = 0)
+SELECT av.scorer, av.film_id, av.item_id, av.run_id, CASE WHEN contradicted THEN -value ELSE value END AS value, CASE WHEN contradicted THEN value END AS original_value,
+  CASE WHEN contradicted IS NOT NULL THEN TIMESTAMP '2030-01-01' ELSE audited_at END AS audited_at FROM av LEFT JOIN j USING (scorer, film_id, item_id, run_id)"""))
 def _audit(spark, d):
     v = audited(spark, d).withColumn("original_value", F.lit(None).cast("int")).drop("evidence")
-    j = v.filter("film_id % 3 = 0").select("film_id", "item_id", "run_id", (F.col("value") > 1).alias("contradicted"))
-    return D.apply_audit(v, j, ["film_id", "item_id", "run_id"], F.lit("2030-01-01").cast("timestamp"))
+    j = v.filter("film_id % 3 = 0").select("scorer", "film_id", "item_id", "run_id", (F.col("value") > 1).alias("contradicted"))
+    return D.apply_audit(v, j, ["scorer", "film_id", "item_id", "run_id"], F.lit("2030-01-01").cast("timestamp"))
 
 
 @query("corpus_search", "P6", oracle_with("films", """
@@ -436,29 +437,35 @@ def _payloads(spark, d):
 
 # -- profiles and documents -----------------------------------------------------------
 
-DM = """, v1 AS (SELECT * FROM verdicts WHERE scorer = '1-URGENT'), dm AS (SELECT item_id, dim_id, polarity, fit FROM item_dimensions WHERE pass_name = 'main'),
-wd AS (SELECT film_id, variant FROM (SELECT film_id, variant, count(*) AS n FROM v1 GROUP BY ALL) q QUALIFY row_number() OVER (PARTITION BY film_id ORDER BY n DESC, variant) = 1),
-pf AS (SELECT film_id, variant, dim_id, avg(polarity * value) AS net, count(*) AS n_items FROM v1 JOIN wd USING (film_id, variant) JOIN dm USING (item_id) GROUP BY ALL)"""
+DM = """, v1 AS (SELECT * FROM verdicts), dm AS (SELECT item_id, dim_id, polarity, fit FROM item_dimensions WHERE pass_name = 'main'),
+wd AS (SELECT scorer, film_id, variant FROM (SELECT scorer, film_id, variant, count(*) AS n FROM v1 GROUP BY ALL) q
+   QUALIFY row_number() OVER (PARTITION BY scorer, film_id ORDER BY n DESC, variant) = 1),
+pf AS (SELECT scorer, film_id, variant, dim_id, avg(polarity * value) AS net, count(*) AS n_items FROM v1 JOIN wd USING (scorer, film_id, variant) JOIN dm USING (item_id) GROUP BY ALL)"""
 
 
-@query("film_profiles", "A16 W3", oracle_with("verdicts item_dimensions", DM + " SELECT film_id, variant, dim_id, round(net, 9) AS net, n_items FROM pf"))
+def profiles(spark, d):
+    return D.film_profiles(bind(spark, d, "verdicts"), main_pass(spark, d), ["scorer"])
+
+
+@query("film_profiles", "A16 W3", oracle_with("verdicts item_dimensions", DM + " SELECT scorer, film_id, variant, dim_id, round(net, 9) AS net, n_items FROM pf"))
 def _profiles(spark, d):
-    return rounded(D.film_profiles(one(spark, d), main_pass(spark, d)), 9, "net")
+    return rounded(profiles(spark, d), 9, "net")
 
 
 @query("top_film_axes", "W9 A16", oracle_with("verdicts item_dimensions", DM + """
-SELECT film_id, variant, dim_id, round(net, 9) AS net, n_items, row_number() OVER (PARTITION BY film_id ORDER BY round(abs(net * n_items), 9) DESC, dim_id) AS rank FROM pf QUALIFY rank <= 3"""))
+SELECT scorer, film_id, variant, dim_id, round(net, 9) AS net, n_items,
+  row_number() OVER (PARTITION BY scorer, film_id ORDER BY round(abs(net * n_items), 9) DESC, dim_id) AS rank FROM pf QUALIFY rank <= 3"""))
 def _top_axes(spark, d):
-    return rounded(D.top_axes(D.film_profiles(one(spark, d), main_pass(spark, d))), 9, "net")
+    return rounded(D.top_axes(profiles(spark, d), keys=["scorer"]), 9, "net")
 
 
 @query("film_axis_evidence", "A17 J1 F12", oracle_with("verdicts item_dimensions items", DM + BANK + """
-SELECT film_id, variant, dim_id, item_id, run_id, text, CASE WHEN value > 0 THEN 'affirms' WHEN value < 0 THEN 'denies' ELSE 'not addressed' END AS verdict,
+SELECT scorer, film_id, variant, dim_id, item_id, run_id, text, CASE WHEN value > 0 THEN 'affirms' WHEN value < 0 THEN 'denies' ELSE 'not addressed' END AS verdict,
   CASE WHEN polarity * value > 0 THEN 'high' WHEN polarity * value < 0 THEN 'low' END AS toward, confidence, value,
-  row_number() OVER (PARTITION BY film_id, dim_id ORDER BY round(abs(value * confidence), 9) DESC, item_id, run_id) AS position
-FROM v1 JOIN wd USING (film_id, variant) JOIN dm USING (item_id) JOIN bank USING (item_id)"""))
+  row_number() OVER (PARTITION BY scorer, film_id, dim_id ORDER BY round(abs(value * confidence), 9) DESC, item_id, run_id) AS position
+FROM v1 JOIN wd USING (scorer, film_id, variant) JOIN dm USING (item_id) JOIN bank USING (item_id)"""))
 def _axes(spark, d):
-    return D.film_axes(one(spark, d), main_pass(spark, d), bank(spark, d).select("item_id", "text"))
+    return D.film_axes(bind(spark, d, "verdicts"), main_pass(spark, d), bank(spark, d).select("item_id", "text"), ["scorer"])
 
 
 @query("axis_inventory", "A12", oracle_with("item_dimensions", """
@@ -658,48 +665,51 @@ def _halves(spark, d):
 
 # -- factor pages ---------------------------------------------------------------------
 
-@query("factor_detail", "A35", oracle_with("verdicts factor_items", PQ.POS + """
-, sd AS (SELECT factor_id - 1 AS factor_id, count(*) FILTER (WHERE value > 0) AS affirms, count(*) FILTER (WHERE NOT value > 0) AS denies FROM c1 JOIN factor_items USING (item_id) GROUP BY 1)
-SELECT sd.*, round((affirms - denies) / (affirms + denies), 3) AS corpus_score, (SELECT count(*) FROM pos WHERE pos.factor_id = sd.factor_id AND n_items >= 3) AS films_positioned FROM sd"""))
+@query("factor_detail", "A35", oracle_with("verdicts factor_items", PQ.of_readings(PQ.POS) + """
+, sd AS (SELECT scorer, variant, factor_id - 1 AS factor_id, count(*) FILTER (WHERE value > 0) AS affirms, count(*) FILTER (WHERE NOT value > 0) AS denies
+   FROM c1 JOIN factor_items USING (item_id) GROUP BY ALL)
+SELECT sd.*, round((affirms - denies) / (affirms + denies), 3) AS corpus_score, (SELECT count(*) FROM pos WHERE pos.factor_id = sd.factor_id
+   AND pos.scorer = sd.scorer AND pos.variant = sd.variant AND n_items >= 3) AS films_positioned FROM sd"""))
 def _detail(spark, d):
-    return S.factor_detail(PQ.one_reading(spark, d), PQ.factor_items(spark, d), PQ.positions(spark, d))
+    return S.factor_detail(PQ.readings(spark, d), PQ.factor_items(spark, d), PQ.reading_positions(spark, d), keys=PQ.READING)
 
 
-@query("strongest_items", "W5", oracle_with("verdicts factor_items", PQ.LD + """
-, sd AS (SELECT item_id, count(*) FILTER (WHERE value > 0) AS affirms, count(*) FILTER (WHERE NOT value > 0) AS denies FROM c1 GROUP BY 1)
-SELECT item_id, factor_id - 1 AS factor_id, abs(loading) AS weight, coalesce(affirms, 0) AS affirms, coalesce(denies, 0) AS denies,
-  row_number() OVER (PARTITION BY factor_id ORDER BY coalesce(abs(loading), 0) DESC, coalesce(affirms, 0) + coalesce(denies, 0) DESC, item_id) AS rank
-FROM factor_items LEFT JOIN sd USING (item_id) QUALIFY rank <= 40"""))
+@query("strongest_items", "W5", oracle_with("verdicts factor_items", PQ.of_readings(PQ.LD) + """
+, sd AS (SELECT scorer, variant, item_id, count(*) FILTER (WHERE value > 0) AS affirms, count(*) FILTER (WHERE NOT value > 0) AS denies FROM c1 GROUP BY ALL)
+SELECT scorer, variant, item_id, factor_id - 1 AS factor_id, abs(loading) AS weight, coalesce(affirms, 0) AS affirms, coalesce(denies, 0) AS denies,
+  row_number() OVER (PARTITION BY scorer, variant, factor_id ORDER BY coalesce(abs(loading), 0) DESC, coalesce(affirms, 0) + coalesce(denies, 0) DESC, item_id) AS rank
+FROM factor_items CROSS JOIN (SELECT DISTINCT scorer, variant FROM c1) r LEFT JOIN sd USING (scorer, variant, item_id) QUALIFY rank <= 40"""))
 def _strongest_items(spark, d):
     items = PQ.factor_items(spark, d).withColumn("distance", F.lit(0.0))
-    return S.strongest_items(PQ.one_reading(spark, d), items).select("item_id", "factor_id", "weight", "affirms", "denies", "rank")
+    cells = cut_lineage(PQ.readings(spark, d))
+    return S.strongest_items(cells, items, keys=PQ.READING).select(*PQ.READING, "item_id", "factor_id", "weight", "affirms", "denies", "rank")
 
 
-@query("pole_films", "W5 W12", oracle_with("verdicts factor_items", PQ.POS + """
-, p AS (SELECT factor_id, film_id, round(position, 8) AS score FROM pos WHERE n_items >= 3)
-SELECT factor_id, 'high' AS pole, row_number() OVER (PARTITION BY factor_id ORDER BY score DESC, film_id) AS rank, film_id, score FROM p QUALIFY rank <= 10
-UNION ALL SELECT factor_id, 'low', row_number() OVER (PARTITION BY factor_id ORDER BY score, film_id DESC) AS rank, film_id, score FROM p QUALIFY rank <= 10"""))
+@query("pole_films", "W5 W12", oracle_with("verdicts factor_items", PQ.of_readings(PQ.POS) + """
+, p AS (SELECT scorer, variant, factor_id, film_id, round(position, 8) AS score FROM pos WHERE n_items >= 3)
+SELECT scorer, variant, factor_id, 'high' AS pole, row_number() OVER (PARTITION BY scorer, variant, factor_id ORDER BY score DESC, film_id) AS rank, film_id, score FROM p QUALIFY rank <= 10
+UNION ALL SELECT scorer, variant, factor_id, 'low', row_number() OVER (PARTITION BY scorer, variant, factor_id ORDER BY score, film_id DESC) AS rank, film_id, score FROM p QUALIFY rank <= 10"""))
 def _poles(spark, d):
-    return S.pole_films(PQ.positions(spark, d))
+    return S.pole_films(PQ.reading_positions(spark, d), keys=PQ.READING)
 
 
-@query("position_histogram", "A40", oracle_with("verdicts factor_items", PQ.POS + """
-SELECT factor_id, CAST(greatest(0, least(16, floor((round(position, 10) + 1) / 2 * 16 + 0.5))) AS INTEGER) AS bin, count(*) AS films FROM pos GROUP BY ALL"""))
+@query("position_histogram", "A40", oracle_with("verdicts factor_items", PQ.of_readings(PQ.POS) + """
+SELECT scorer, variant, factor_id, CAST(greatest(0, least(16, floor((round(position, 10) + 1) / 2 * 16 + 0.5))) AS INTEGER) AS bin, count(*) AS films FROM pos GROUP BY ALL"""))
 def _histogram(spark, d):
-    return S.position_histogram(PQ.positions(spark, d))
+    return S.position_histogram(PQ.reading_positions(spark, d), keys=PQ.READING)
 
 
-@query("position_summary", "A40", oracle_with("verdicts factor_items", PQ.POS + """
-SELECT factor_id, round(avg(position), 8) AS mean, count(*) FILTER (WHERE round(position, 10) > 0.2) AS high, count(*) FILTER (WHERE round(position, 10) < -0.2) AS low,
-  count(*) FILTER (WHERE round(position, 10) BETWEEN -0.2 AND 0.2) AS between FROM pos GROUP BY ALL""").replace("AS between FROM", 'AS "between" FROM'))
+@query("position_summary", "A40", oracle_with("verdicts factor_items", PQ.of_readings(PQ.POS) + """
+SELECT scorer, variant, factor_id, round(avg(position), 8) AS mean, count(*) FILTER (WHERE round(position, 10) > 0.2) AS high, count(*) FILTER (WHERE round(position, 10) < -0.2) AS low,
+  count(*) FILTER (WHERE round(position, 10) BETWEEN -0.2 AND 0.2) AS "between" FROM pos GROUP BY ALL"""))
 def _pos_summary(spark, d):
-    return rounded(S.position_summary(PQ.positions(spark, d)), 8, "mean")
+    return rounded(S.position_summary(PQ.reading_positions(spark, d), keys=PQ.READING), 8, "mean")
 
 
-@query("films_on_axis", "W12", oracle_with("verdicts factor_items", PQ.POS + """
-SELECT film_id, round(position, 8) AS position FROM pos WHERE factor_id = 0 ORDER BY round(position, 10) DESC, film_id"""))
+@query("films_on_axis", "W12", oracle_with("verdicts factor_items", PQ.of_readings(PQ.POS) + """
+SELECT scorer, variant, film_id, round(position, 8) AS position FROM pos WHERE factor_id = 0 ORDER BY round(position, 10) DESC, film_id"""))
 def _on_axis(spark, d):
-    return S.films_on_axis(PQ.positions(spark, d), 0).select("film_id", F.round("position", 8).alias("position"))
+    return S.films_on_axis(PQ.reading_positions(spark, d), 0).select(*PQ.READING, "film_id", F.round("position", 8).alias("position"))
 
 
 @query("public_index", "M34 S18")

@@ -43,6 +43,18 @@ def positions(spark, d):
     return cut_lineage(H.film_positions(one_reading(spark, d), loadings(spark, d)))
 
 
+READING = ["scorer", "variant"]
+
+
+def readings(spark, d):
+    """Cells of every scorer's every variant."""
+    return C.cell_means(bind(spark, d, "verdicts"), *READING, "film_id", "item_id")
+
+
+def reading_positions(spark, d):
+    return cut_lineage(H.film_positions(readings(spark, d), loadings(spark, d), READING))
+
+
 def reactions(spark, d):
     return bind(spark, d, "reactions")
 
@@ -62,6 +74,18 @@ POS = LD + """, pos AS (SELECT film_id, factor_id, sum(value / 2e0 * sign(streng
   FROM c1 JOIN ld USING (item_id) GROUP BY ALL)"""
 BASE = POS + """, base AS (SELECT factor_id, avg(position) AS middle,
   CASE WHEN coalesce(stddev_samp(position), 0) = 0 THEN 1e0 ELSE stddev_samp(position) END AS spread FROM pos GROUP BY ALL)"""
+
+
+def of_readings(sql):
+    """The same CTEs for every scorer's every variant."""
+    for old, new in (
+        ("SELECT film_id, item_id, avg(value) AS value FROM verdicts WHERE scorer = '1-URGENT'", "SELECT scorer, variant, film_id, item_id, avg(value) AS value FROM verdicts"),
+        ("pos AS (SELECT film_id", "pos AS (SELECT scorer, variant, film_id"), ("base AS (SELECT factor_id", "base AS (SELECT scorer, variant, factor_id"),
+    ):
+        sql = sql.replace(old, new)
+    return sql
+
+
 _W = "CASE reaction WHEN 'loved_it' THEN 1e0 WHEN 'liked_it' THEN 0.5e0 WHEN 'not_for_me' THEN -0.5e0 WHEN 'hated_it' THEN -1e0 ELSE 0e0 END"
 PREFS = f""", wr AS (SELECT *, {_W} AS weight FROM reactions),
 rp AS (SELECT user_id, film_id, weight, reaction AS detail FROM wr WHERE weight <> 0
@@ -76,28 +100,28 @@ scores AS (SELECT user_id, factor_id, score, CASE WHEN score >= bar THEN 'high'
    ev AS evidence_items, films, ev / (ev + 8) AS confidence FROM sc)"""
 
 
-@query("film_positions", "A30 A31", oracle_with("verdicts factor_items", POS + """
-SELECT film_id, factor_id, round(position, 8) AS position, n_items, round(mass, 8) AS mass FROM pos"""))
+@query("film_positions", "A30 A31", oracle_with("verdicts factor_items", of_readings(POS) + """
+SELECT scorer, variant, film_id, factor_id, round(position, 8) AS position, n_items, round(mass, 8) AS mass FROM pos"""))
 def _positions(spark, d):
-    return rounded(positions(spark, d), 8, "position", "mass")
+    return rounded(reading_positions(spark, d), 8, "position", "mass")
 
 
-@query("verdict_contributions", "A36 F12", oracle_with("verdicts factor_items", LD + """
-SELECT film_id, factor_id, item_id, round(value, 9) AS value, strength AS loading,
+@query("verdict_contributions", "A36 F12", oracle_with("verdicts factor_items", of_readings(LD) + """
+SELECT scorer, variant, film_id, factor_id, item_id, round(value, 9) AS value, strength AS loading,
   CASE WHEN value > 0 THEN 'affirms' ELSE 'denies' END AS verdict, strength < 0 AS reverse_keyed,
   CASE WHEN (value > 0) = (strength > 0) THEN 'high' ELSE 'low' END AS points_to, abs(value) >= 2 AS emphatic,
-  round(value / 2e0 * strength / sum(abs(strength)) OVER (PARTITION BY film_id, factor_id) + 3e-11, 9) AS contribution
+  round(value / 2e0 * strength / sum(abs(strength)) OVER (PARTITION BY scorer, variant, film_id, factor_id) + 3e-11, 9) AS contribution
 FROM c1 JOIN ld USING (item_id)"""))
 def _contributions(spark, d):
     # the nudge keeps exact halves of the last digit on one side in every engine
-    out = H.contributions(one_reading(spark, d), loadings(spark, d)).withColumn("contribution", F.col("contribution") + 3e-11)
+    out = H.contributions(readings(spark, d), loadings(spark, d), READING).withColumn("contribution", F.col("contribution") + 3e-11)
     return rounded(out, 9, "value", "contribution")
 
 
-@query("corpus_baseline", "A29", oracle_with("verdicts factor_items", BASE + """
-SELECT factor_id, round(middle, 8) AS middle, round(spread, 8) AS spread FROM base"""))
+@query("corpus_baseline", "A29", oracle_with("verdicts factor_items", of_readings(BASE) + """
+SELECT scorer, variant, factor_id, round(middle, 8) AS middle, round(spread, 8) AS spread FROM base"""))
 def _baseline(spark, d):
-    return rounded(H.corpus_baseline(positions(spark, d)), 8, "middle", "spread")
+    return rounded(H.corpus_baseline(reading_positions(spark, d), READING), 8, "middle", "spread")
 
 
 @query("rating_preferences", "W4 J11", oracle_with("reactions", PREFS + """
@@ -264,22 +288,22 @@ def _summary(spark, d):
                              cut_lineage(person_scores(spark, d, pos)))
 
 
-@query("set_centroids", "A37", oracle_with("verdicts factor_items film_sets", BASE + """
-, big AS (SELECT set_id, count(DISTINCT film_id) AS members FROM film_sets WHERE film_id IN (SELECT film_id FROM pos)
+@query("set_centroids", "A37", oracle_with("verdicts factor_items film_sets", of_readings(BASE) + """
+, big AS (SELECT scorer, variant, set_id, count(DISTINCT film_id) AS members FROM film_sets JOIN (SELECT DISTINCT scorer, variant, film_id FROM pos) p USING (film_id)
    GROUP BY ALL HAVING count(DISTINCT film_id) >= 8)
-SELECT set_id, factor_id, members, round(avg(position - middle), 8) AS centroid FROM film_sets JOIN big USING (set_id)
-  JOIN pos USING (film_id) JOIN base USING (factor_id) GROUP BY ALL"""))
+SELECT scorer, variant, set_id, factor_id, members, round(avg(position - middle), 8) AS centroid FROM film_sets JOIN big USING (set_id)
+  JOIN pos USING (scorer, variant, film_id) JOIN base USING (scorer, variant, factor_id) GROUP BY ALL"""))
 def _centroids(spark, d):
-    pos = positions(spark, d)
-    return rounded(H.set_centroids(bind(spark, d, "film_sets"), pos, H.corpus_baseline(pos)), 8, "centroid")
+    pos = reading_positions(spark, d)
+    return rounded(H.set_centroids(bind(spark, d, "film_sets"), pos, H.corpus_baseline(pos, READING), keys=READING), 8, "centroid")
 
 
-@query("plotted_centroids", "A38", oracle_with("verdicts factor_items film_sets", POS + """
-, b AS (SELECT x.film_id, x.position AS x, y.position AS y FROM pos x JOIN pos y ON x.film_id = y.film_id
-   AND x.factor_id = 0 AND y.factor_id = 1)
-SELECT set_id, round(avg(x), 8) AS x, round(avg(y), 8) AS y, count(*) AS films FROM film_sets JOIN b USING (film_id) GROUP BY ALL"""))
+@query("plotted_centroids", "A38", oracle_with("verdicts factor_items film_sets", of_readings(POS) + """
+, b AS (SELECT x.scorer, x.variant, x.film_id, x.position AS x, y.position AS y FROM pos x JOIN pos y ON x.film_id = y.film_id
+   AND x.scorer = y.scorer AND x.variant = y.variant AND x.factor_id = 0 AND y.factor_id = 1)
+SELECT scorer, variant, set_id, round(avg(x), 8) AS x, round(avg(y), 8) AS y, count(*) AS films FROM film_sets JOIN b USING (film_id) GROUP BY ALL"""))
 def _plotted(spark, d):
-    return rounded(H.plotted_centroids(bind(spark, d, "film_sets"), positions(spark, d), 0, 1), 8, "x", "y")
+    return rounded(H.plotted_centroids(bind(spark, d, "film_sets"), reading_positions(spark, d), 0, 1, READING), 8, "x", "y")
 
 
 @query("companion_profiles", "J17", oracle_with("verdicts factor_items reactions members", BASE + PREFS + SCORES + """
