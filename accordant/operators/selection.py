@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Mapping, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from accordant.functions.text import is_placeholder, plain_key, slug, split_disambiguated, title_key
+from accordant.session import cut_lineage
 
 # What a new value of each facet is worth.
 FACET_WEIGHTS: Mapping[str, float] = {"language": 3.0, "country": 3.0, "decade": 1.5, "genre": 1.0}
@@ -54,16 +58,16 @@ def facet_coverage(films: DataFrame, top: int = 5) -> DataFrame:
     return best.join(F.broadcast(total), "facet")  # one row per facet
 
 
-def greedy_coverage(films: DataFrame, n: int, already: DataFrame | None = None) -> DataFrame:
+def greedy_coverage(films: DataFrame, n: int, already: DataFrame | None = None, ahead: int = 2000) -> DataFrame:
     """n films, each adding the most that is missing: the sum of weight / (1 + times
     seen) over its facets, over sqrt(1 + number of facets); ties by least id.
 
     Films with the same facets are interchangeable, so they are one row holding
-    their first n ids.  A pick is one job over those rows with the seen counts as a
-    literal map; the picks are sequential by definition.
+    their first n ids.  What a film adds never grows as others are picked, so gains that
+    were worked out earlier bound later ones: a job brings the ``ahead`` rows that gain most
+    now, and picks are made among them, each worked out anew only when it comes first, as
+    long as the best stands before all rows left behind.
     """
-    from accordant.session import cut_lineage
-
     spark = films.sparkSession
     rows = facets(films).select("film_id", F.struct("facet", "value").alias("f"))
     sig = rows.groupBy("film_id").agg(F.sort_array(F.collect_list("f")).alias("sig"))  # a film's own facets
@@ -77,32 +81,57 @@ def greedy_coverage(films: DataFrame, n: int, already: DataFrame | None = None)
         sig = sig.join(already.select("film_id"), "film_id", "left_anti")
     w = Window.partitionBy("sig").orderBy("film_id")
     first = sig.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
-    pool = cut_lineage(first.groupBy("sig").agg(F.sort_array(F.collect_list("film_id")).alias("ids")))
-    worth = F.create_map(*[F.lit(x) for kv in FACET_WEIGHTS.items() for x in kv])
+    pool = first.groupBy("sig").agg(F.sort_array(F.collect_list("film_id")).alias("ids"))
+    pool = cut_lineage(pool.withColumn("key", F.monotonically_increasing_id()))
     used: dict[int, int] = {}
     picks: list[tuple[int, int, float]] = []
-    pool = pool.withColumn("key", F.xxhash64("sig")).persist()
-    for step in range(n):
-        counts = F.create_map(*[F.lit(x) for (f, v), c in seen.items() for x in (f"{f}|{v}", float(c))]) if seen else None
-        taken = F.create_map(*[F.lit(x) for kv in used.items() for x in kv]) if used else None
-        at = lambda f: F.coalesce(F.try_element_at(counts, F.concat_ws("|", f["facet"], f["value"])), F.lit(0.0)) if seen else F.lit(0.0)
-        total = F.aggregate("sig", F.lit(0.0), lambda s, f: s + F.coalesce(worth[f["facet"]], F.lit(1.0)) / (1.0 + at(f)))
-        gain = F.round(total / F.sqrt(F.lit(1.0) + F.size("sig")), 12)
-        skip = F.coalesce(F.try_element_at(taken, F.col("key")), F.lit(0)) if used else F.lit(0)
-        cand = pool.withColumn("_next", F.get("ids", skip)).filter(F.col("_next").isNotNull())
-        best = cand.select("key", "sig", "_next", gain.alias("gain")).orderBy(F.desc("gain"), "_next").limit(1).collect()
-        if not best:
+    while len(picks) < n:
+        best = _most_gaining(pool, seen, used, ahead + 1)
+        behind = (-best[ahead]["gain"], best[ahead]["next"]) if len(best) > ahead else None
+        before = len(picks)
+        heap = [(-r["gain"], r["next"], k, before) for k, r in enumerate(best[:ahead])]
+        heapq.heapify(heap)
+        while heap and len(picks) < n:
+            gain, film, k, known = heapq.heappop(heap)
+            row = best[k]
+            if known < len(picks):  # worked out before the latest pick
+                heapq.heappush(heap, (-_gain(row["sig"], seen), film, k, len(picks)))
+                continue
+            if behind is not None and (gain, film) > behind:
+                break
+            picks.append((len(picks) + 1, film, -gain))
+            at = used[row["key"]] = used.get(row["key"], 0) + 1
+            for f in row["sig"]:
+                seen[(f["facet"], f["value"])] = seen.get((f["facet"], f["value"]), 0) + 1
+            if at < len(row["ids"]):
+                heapq.heappush(heap, (-_gain(row["sig"], seen), row["ids"][at], k, len(picks)))
+        if len(picks) == before:
             break
-        row = best[0]
-        picks.append((step + 1, row["_next"], row["gain"]))
-        used[row["key"]] = used.get(row["key"], 0) + 1
-        for f in row["sig"]:
-            seen[(f["facet"], f["value"])] = seen.get((f["facet"], f["value"]), 0) + 1
-    pool.unpersist()
     kind = films.schema["film_id"].dataType.simpleString()
     return spark.createDataFrame(picks, f"pick int, film_id {kind}, gain double")
 
 
+def _gain(sig: list, seen: dict[tuple[str, str], int]) -> float:
+    """What ``_most_gaining`` works out, for one row."""
+    total = 0.0
+    for f in sig:
+        total += FACET_WEIGHTS.get(f["facet"], 1.0) / (1.0 + seen.get((f["facet"], f["value"]), 0))
+    return float(Decimal(repr(total / math.sqrt(1.0 + len(sig)))).quantize(Decimal("1e-12"), ROUND_HALF_UP))
+
+
+def _most_gaining(pool: DataFrame, seen: dict[tuple[str, str], int], used: dict[int, int], most: int) -> list:
+    """The ``most`` rows that add most now, with the film that would be picked next."""
+    worth = F.create_map(*[F.lit(x) for kv in FACET_WEIGHTS.items() for x in kv])
+    counts = F.create_map(*[F.lit(x) for (f, v), c in seen.items() for x in (f"{f}|{v}", float(c))]) if seen else None
+    taken = F.create_map(*[F.lit(x) for kv in used.items() for x in kv]) if used else None
+    at = lambda f: F.coalesce(F.try_element_at(counts, F.concat_ws("|", f["facet"], f["value"])), F.lit(0.0)) if seen else F.lit(0.0)
+    total = F.aggregate("sig", F.lit(0.0), lambda s, f: s + F.coalesce(worth[f["facet"]], F.lit(1.0)) / (1.0 + at(f)))
+    gain = F.round(total / F.sqrt(F.lit(1.0) + F.size("sig")), 12)
+    skip = F.coalesce(F.try_element_at(taken, F.col("key")), F.lit(0)) if used else F.lit(0)
+    rows = pool.withColumn("next", F.get("ids", skip)).filter(F.col("next").isNotNull())
+    return rows.select("key", "sig", "ids", "next", gain.alias("gain")).orderBy(F.desc("gain"), "next").limit(most).collect()
+
+
 # -- sets and lookups ---------------------------------------------------------------
 
 def by_rule(films: DataFrame, rule: Mapping[str, object]) -> DataFrame:

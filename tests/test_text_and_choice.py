@@ -133,3 +133,32 @@ def test_titles(spark):
     assert keys[0] == "amelieandcafex"
     split = [(r[0].title, r[0].year) for r in df.select(X.split_disambiguated(F.col("t"))).collect()]
     assert split[1:] == [("Gladiator", 2000), ("Heat", 1995), ("Up", None)]
+
+
+def test_a_thousand_greedy_picks_take_a_handful_of_jobs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    films = pd.DataFrame({
+        "film_id": range(1500), "language": [f"l{x}" for x in rng.zipf(1.6, 1500) % 30], "country": [f"c{x}" for x in rng.zipf(1.5, 1500) % 40],
+        "year": rng.integers(1930, 2025, 1500)})
+    films.loc[::97, "language"] = ""
+    jobs = []
+    real = S._most_gaining
+    monkeypatch.setattr(S, "_most_gaining", lambda *a: jobs.append(1) or real(*a))
+    df = spark.createDataFrame(films)
+    got = S.greedy_coverage(df, 1000, df.filter("film_id < 10"), ahead=400).toPandas()
+    sig = {
+        r.film_id: sorted([("language", r.language)] * bool(r.language) + [("country", r.country), ("decade", f"{r.year // 10 * 10}s")])
+        for r in films.itertuples()}
+    seen, want = {}, []
+    add = lambda f: seen.update({k: seen.get(k, 0) + 1 for k in sig[f]})
+    for f in range(10):
+        add(f)
+    left = {f for f in sig if f >= 10}
+    gain = lambda f: round(sum(S.FACET_WEIGHTS[k[0]] / (1 + seen.get(k, 0)) for k in sig[f]) / math.sqrt(1 + len(sig[f])), 12)
+    while len(want) < 1000:
+        best = min(left, key=lambda f: (-gain(f), f))
+        want.append(best)
+        left.discard(best)
+        add(best)
+    assert got.sort_values("pick").film_id.tolist() == want
+    assert len(jobs) < 60
