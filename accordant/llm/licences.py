@@ -34,13 +34,11 @@ SPELLINGS = (
     ("&", " and "),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BODY = r"(notices?|holders?|owners?|licen[cs]es?|laws?|statements?|interests?|claims?|and|or)\b(?!:)"
-NOTICE_LINE = (
-    r"(?m)^[ \t#*/;-]*(copyright([^\n]*(\b[0-9]{4}\b|\(c\)|©)|(?!\w)(?![ \t]*$)(?![ \t]+" + BODY + r"))"
-    r"|\(c\)|©|all rights reserved)[^\n]*$"
-)
-# of the SQL, whose regular expressions cannot look ahead: any line that begins with the word
-SQL_NOTICE_LINE = r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+BODY = r"(notices?|holders?|owners?|licen[cs]es?|laws?|statements?|interests?|claims?|and|or)"
+LEAD = r"^[ \t#*/;-]*"
+DATED = r"copyright[^\n]*(\b[0-9]{4}\b|\(c\)|©)"
+MARKED = r"\(c\)|©|all rights reserved"
+NOTICE_LINE = rf"(?m){LEAD}({DATED}|copyright(?!\w)(?![ \t]*$)(?![ \t]+{BODY}\b(?!:))|{MARKED})[^\n]*$"
 BREAKS = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”‘’–—…©®]+"
 
 # fixed values: names and the short texts of common licences
@@ -168,11 +166,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def oracle() -> str:
-    """The scan as DuckDB SQL; it does not know texts that are wrapped before "copyright" or
+    """The scan as DuckDB SQL, whose regular expressions cannot look ahead: the notice rule is
+    three tests of a line there. It does not know texts that are wrapped before "copyright" or
     within a spelling."""
     lit = lambda s: "'" + s.replace("'", "''") + "'"
     form = f"translate(text, {lit(UPPER)}, {lit(LOWER)})"
-    form = f"regexp_replace({form}, {lit(SQL_NOTICE_LINE)}, '', 'g')"
+    named = lit(LEAD + r"copyright(\W|$)"), lit(LEAD + r"copyright[ \t]*$"), lit(LEAD + rf"copyright[ \t]+{BODY}($|[^\w:])")
+    notice = f"regexp_matches(x, {lit(rf'{LEAD}({DATED}|{MARKED})')}) OR (regexp_matches(x, {named[0]})"
+    notice += f" AND NOT regexp_matches(x, {named[1]}) AND NOT regexp_matches(x, {named[2]}))"
+    form = f"array_to_string([CASE WHEN {notice} THEN '' ELSE x END FOR x IN string_split({form}, chr(10))], chr(10))"
     for a, b in SPELLINGS:
         form = f"replace({form}, {lit(a)}, {lit(b)})"
     form = f"regexp_replace({form}, {lit(BREAKS)}, ' ', 'g')"
