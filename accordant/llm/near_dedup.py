@@ -170,16 +170,22 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
 
 
 def large_buckets(shared: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Component edges within buckets of any size: every block of a bucket meets every other."""
+    """Component edges within buckets of any size: every block of a bucket meets every other.
+
+    A block by itself gives the edges of its own components. Two blocks give only what joins
+    their components, so a bucket that is all alike gives one edge a member and one a pair of
+    blocks.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         keep_only("words")
         for t in _groups(batches, ("key", "lo", "hi"), SIGNATURES):
-            nodes = t.column("node").to_numpy()
+            nodes, first = t.column("node").to_numpy(), t.column("first").to_numpy()
             raw = t.column("signature").to_pylist()
-            edges = forest(_may_be_similar(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), least))
+            similar = _may_be_similar(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), least)
+            edges = forest(similar) if t.column("lo")[0] == t.column("hi")[0] else joining(similar, first)
             if edges:
                 a, b = np.array(edges).T
                 yield pa.record_batch([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
@@ -188,11 +194,36 @@ def large_buckets(shared: DataFrame, reps: DataFrame, least: float) -> DataFrame
     rows = shared.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.join(reps.select("node", "signature"), "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "signature")
+    lo, hi = F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
+    rows = rows.select("key", lo, hi, "node", "signature", (F.col("block") <= F.col("other")).alias("first"))
     by = ("key", "lo", "hi")
     return rows.repartition(partitions(reps.sparkSession), *by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
 
 
+def joining(similar: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join the components of the rows in ``first`` with those of the others."""
+    owner = np.arange(len(first))
+    for side in (np.flatnonzero(first), np.flatnonzero(~first)):
+        for root, member in forest(similar[np.ix_(side, side)]):
+            owner[side[member]] = side[root]
+    i, j = np.nonzero(similar & first[:, None] & ~first[None, :])
+    met = np.unique(np.stack([owner[i], owner[j]]), axis=1).T if len(i) else np.empty((0, 2), np.int64)
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    edges = []
+    for a, b in met.tolist():
+        x, y = top(a), top(b)
+        if x != y:
+            up[y] = x
+            edges.append((a, b))
+    return edges
+
+
 def shared_counts(rows: list[np.ndarray], columns: list[np.ndarray] | None = None) -> np.ndarray:
     """Sizes of the intersections of all sets of ``rows`` with all of ``columns`` (or of ``rows``)."""
     both = rows + (columns or [])

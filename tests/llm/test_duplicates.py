@@ -75,6 +75,33 @@ def test_large_clusters_lose_no_link(spark, monkeypatch, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_blocks_of_a_bucket_keep_its_components(spark, monkeypatch):
+    """Small blocks of signatures: the same components, and hardly an edge more than members."""
+    docs = near_copies()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(near_dedup, "SIGNATURES", 16)
+    got = near_dedup.near_duplicates(df, 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(docs, 3, 85)
+
+
+def test_joining_equals_the_components_of_all():
+    rng = np.random.default_rng(4)
+    for n in (2, 9, 40):
+        near = rng.random((n, n)) < 1.2 / n
+        near |= near.T
+        np.fill_diagonal(near, True)
+        first = rng.random(n) < 0.5
+        within = []
+        for side in (np.flatnonzero(first), np.flatnonzero(~first)):
+            within += [(side[a], side[b]) for a, b in near_dedup.forest(near[np.ix_(side, side)])]
+        both = np.eye(n, dtype=bool)
+        across = near_dedup.joining(near, first)
+        for a, b in [*within, *across]:
+            both[a, b] = both[b, a] = True
+        count = lambda m: n - len(near_dedup.forest(m))
+        assert count(both) == count(near) and len(within) + len(across) == n - count(near)
+
+
 def test_estimate_is_corrected_for_chance():
     rng = np.random.default_rng(0)
     factors = near_dedup.multipliers(400)
