@@ -376,8 +376,8 @@ mer AS (SELECT session_id, user_id, film_id, year, coalesce(alignment, 0) AS ali
         ELSE (1 - cw) * (0.59e0 * coalesce(cf.score, 0)) + cw * chosen END AS merit
    FROM cand LEFT JOIN al USING (user_id, film_id) LEFT JOIN cf USING (user_id, film_id)
    LEFT JOIN ch USING (user_id, film_id) LEFT JOIN pick USING (user_id)),
-rk AS (SELECT session_id, film_id, year, round(min(merit), 4) AS agreement, round(avg(merit), 4) AS mean_alignment,
-   round(min(alignment), 4) AS moral_agreement, count(*) AS members FROM mer GROUP BY ALL),
+rk AS (SELECT session_id, film_id, year, round(min(merit), 4) + 0e0 AS agreement, round(avg(merit), 4) + 0e0 AS mean_alignment,
+   round(min(alignment), 4) + 0e0 AS moral_agreement, count(*) AS members FROM mer GROUP BY ALL),
 wst AS (SELECT session_id, film_id, factor_id, min(part) AS p FROM cand JOIN ax USING (user_id, film_id) GROUP BY ALL),
 nt AS (SELECT session_id, film_id, CASE WHEN p > 0.05 THEN factor_id END AS note_axis FROM wst QUALIFY row_number()
    OVER (PARTITION BY session_id, film_id ORDER BY round(p, 10) DESC, factor_id) = 1),
