@@ -2,6 +2,12 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written and
 read again as the next one's ``docs``. All but the last return the columns of documents.
+
+Defined results: a null text counts as empty in every stage, and comes out of the passages
+stage as the empty text; rows with a null id are judged and stay, and their pieces carry the
+null id; of rows that repeat an id one is left by the near-duplicate stage; of equal texts the
+smallest id stays; a text that was all repeats goes with its row; an empty table gives no
+pieces. Further columns of documents are carried to the passages stage and dropped by packing.
 """
 
 from __future__ import annotations
