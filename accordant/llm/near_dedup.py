@@ -197,7 +197,9 @@ def large_buckets(shared: DataFrame, reps: DataFrame, least: float) -> DataFrame
     lo, hi = F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
     rows = rows.select("key", lo, hi, "node", "signature", (F.col("block") <= F.col("other")).alias("first"))
     by = ("key", "lo", "hi")
-    return rows.repartition(partitions(reps.sparkSession), *by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
+    # in the order of nodes: components begin with their least node, so buckets of the same members give the same edges
+    dealt = rows.repartition(partitions(reps.sparkSession), *by).sortWithinPartitions(*by, "node")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def joining(similar: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:

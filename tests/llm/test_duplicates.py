@@ -248,9 +248,18 @@ def test_pipeline_stages(spark, odd):
     packed = pipe.sequences(spark, docs, SF).toPandas()
     assert packed.groupby("sequence_id").length.sum().max() <= 4096
     for _, stage in pipe.STAGES:
-        assert stage(spark, odd, SF).count() >= 0
         assert stage(spark, odd.limit(0), SF).count() == 0
     assert before
+    held = [(r.doc_id, r.text or "") for r in odd.collect()]
+    alone = [r.doc_id for r in pipe.distinct(spark, odd, SF).collect()]
+    known = [d for d in alone if d is not None]
+    assert len(known) == len(set(known)) and alone.count(None) == sum(d is None for d, _ in held)
+    assert 4 in known and 5 not in known  # equal long texts: the smaller id
+    assert {2, 3, 7} <= set(known)  # texts without words are linked with nothing
+    cut = pipe.passages(spark, odd, SF).collect()
+    assert all(r.text is not None for r in cut) and {2, 3} <= {r.doc_id for r in cut}
+    whole = {d: sum(r.length for r in pipe.sequences(spark, odd.filter("doc_id in (2, 3, 8)"), SF).collect() if r.doc_id == d) for d in (2, 3, 8)}
+    assert whole[2] == whole[3] == 1 and whole[8] > 1  # an empty text is its end alone
 
 
 def test_pipeline_catches_planted_cases(spark, tmp_path):
