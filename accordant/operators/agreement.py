@@ -101,17 +101,22 @@ def displacement(
     cells: DataFrame, pairs: DataFrame, keys: Sequence[str] = (), summary: str = "spine", dialogue: str = "subs",
 ) -> DataFrame:
     """How far a child entity moved from its parent, per variant, with the ratio
-    of the summary variant's displacement to the dialogue variant's."""
+    of the summary variant's displacement to the dialogue variant's.
+
+    Distances are summed as decimals: a ratio that is exactly a limit must not pass it by
+    the order in which thirds were added.
+    """
     keys = list(keys)
     p = cells.join(pairs, cells.film_id == pairs.parent_id).select(
         *keys, "parent_id", "child_id", "variant", "item_id", F.col("value").alias("p"))
     c = cells.select(*keys, F.col("film_id").alias("child_id"), "variant", "item_id", F.col("value").alias("c"))
+    distance = F.abs(F.col("p") - F.col("c")).cast("decimal(38,18)")
     per = p.join(c, [*keys, "child_id", "variant", "item_id"]).groupBy(
         *keys, "parent_id", "child_id", "variant"
     ).agg(
         F.count(F.lit(1)).alias("shared_items"),
         F.count_if(F.col("p") != F.col("c")).alias("moved"),
-        (F.sum(F.abs(F.col("p") - F.col("c"))) / (2 * F.count(F.lit(1)))).alias("displacement"),
+        (F.sum(distance).cast("double") / (2 * F.count(F.lit(1)))).alias("displacement"),
     )
     pick = lambda v: F.max(F.when(F.col("variant") == v, F.col("displacement")))
     ratio = per.groupBy(*keys, "parent_id", "child_id").agg(
