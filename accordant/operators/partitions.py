@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accordant.functions.hashing import hash_hex
+from accordant.session import cut_lineage
+
 FLAT_MARGIN = 0.05
 
 
@@ -155,6 +158,35 @@ def agreement_draws(pairs: DataFrame, keys: Sequence[str], n_iter: int = 500, se
         F.count_if(F.col("ari") >= F.col("observed") - 1e-12).alias("n_at_least_observed"))
 
 
+def permuted_rand(pairs: DataFrame, keys: Sequence[str], n_iter: int, seed: str) -> DataFrame:
+    """(keys, rep, ari) of every hash-shuffled replicate: items in their own order take the
+    labels ``b`` in the order of ``md5(seed|rep|keys|item)``.
+
+    A replicate's labels are ranked by a window, which spills, and meet the places of the
+    items, which are ranked once; nothing is collected."""
+    keys = list(keys)
+    placed = pairs.select(*keys, "item_id", "a", "b", F.row_number().over(Window.partitionBy(*keys).orderBy("item_id")).alias("place"))
+    placed = cut_lineage(placed)
+    reps = placed.select(*keys, "item_id", "b", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))).alias("rep"))
+    hashed = reps.select(*keys, "rep", "b", F.unhex(hash_hex(seed, "rep", *keys, "item_id")).alias("_h"))
+    drawn = hashed.select(*keys, "rep", "b", F.row_number().over(Window.partitionBy(*keys, "rep").orderBy("_h")).alias("place"))
+    cells = drawn.join(placed.select(*keys, "place", "a"), [*keys, "place"]).groupBy(*keys, "rep", "a", "b").agg(F.count(F.lit(1)).alias("c"))
+    idx = cells.groupBy(*keys, "rep").agg(F.sum(_comb2(F.col("c"))).alias("idx"), F.sum("c").alias("n"))
+    return idx.join(_marginals(contingency(pairs, keys), keys), keys).select(
+        *keys, "rep", _rand_index(F.col("idx"), F.col("pairs_a"), F.col("pairs_b"), F.col("n")).alias("ari"))
+
+
+def agreement_with_permutations(pairs: DataFrame, keys: Sequence[str], n_iter: int = 500, seed: str = "ari") -> DataFrame:
+    """Partition agreement with mean, spread and z of its permutation null, and beside them
+    the spread and z over all permutations in closed form (``exact_sd``, ``exact_z``)."""
+    keys = list(keys)
+    null = permuted_rand(pairs, keys, n_iter, seed).groupBy(*keys).agg(
+        F.avg("ari").alias("null_mean"), F.stddev_pop("ari").alias("null_sd"))
+    exact = agreement_with_null(pairs, keys).withColumnsRenamed({"null_sd": "exact_sd", "z": "exact_z"})
+    out = exact.join(null, keys, "left")
+    return out.withColumn("z", F.when(F.col("null_sd") > 1e-12, (F.col("ari") - F.col("null_mean")) / F.col("null_sd")))
+
+
 def overlap_jaccard(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Overlap and Jaccard of every pair of groups that meet."""
     return contingency(pairs, keys).select(

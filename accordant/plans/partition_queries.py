@@ -51,23 +51,36 @@ def _agreement(spark, d):
     return rounded(T.partition_agreement(pairs(spark, d), SC), 9, "raw", "ari", "nmi")
 
 
-NULL = """, mo AS (SELECT {k}, side, sum(m * (m - 1e0)) AS s2, sum(m * (m - 1e0) * (m - 2)) AS s3, sum(m * (m - 1e0) * (m - 2) * (m - 3)) AS s4,
+MOMENTS = """, mo AS (SELECT {k}, side, sum(m * (m - 1e0)) AS s2, sum(m * (m - 1e0) * (m - 2)) AS s3, sum(m * (m - 1e0) * (m - 2) * (m - 3)) AS s4,
    sum(m * (m - 1e0) * m * (m - 1)) AS s22, CAST(sum(m) AS DOUBLE) AS n
    FROM (SELECT {k}, 'a' AS side, m FROM am UNION ALL SELECT {k}, 'b', m FROM bm) q GROUP BY ALL),
 nx AS (SELECT {k}, x.n, x.s2 * y.s2 / (x.n * (x.n - 1)) AS ex2, (x.s2 + y.s2) / 2 AS top, x.s3 * y.s3 / (x.n * (x.n - 1) * (x.n - 2)) AS e3,
    x.s4 * y.s4 + x.s4 * (y.s2 * y.s2 - y.s22) + (x.s2 * x.s2 - x.s22) * y.s4 + (x.s2 * x.s2 - x.s22) * (y.s2 * y.s2 - y.s22) AS f4
    FROM mo x JOIN mo y USING ({k}) WHERE x.side = 'a' AND y.side = 'b'),
-nu AS (SELECT {k}, CASE WHEN n >= 4 AND top <> ex2 THEN
-   sqrt(greatest(f4 / (n * (n - 1) * (n - 2) * (n - 3)) + 4 * e3 + 2 * ex2 - ex2 * ex2, 0)) / (top - ex2) END AS null_sd FROM nx)"""
+mm AS (SELECT {k}, CASE WHEN n >= 4 AND top <> ex2 THEN
+   sqrt(greatest(f4 / (n * (n - 1) * (n - 2) * (n - 3)) + 4 * e3 + 2 * ex2 - ex2 * ex2, 0)) / (top - ex2) END AS exact_sd FROM nx)"""
 
 
-@query("partition_agreement_null", "M12", oracle_with("partitions", P1 + A1 + NULL.format(k="scorer_a, scorer_b") + """
+NULL = """, rp AS (SELECT scorer_a, scorer_b, item_id, a, b, rep FROM pr CROSS JOIN range({n}) t(rep)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY scorer_a, scorer_b, rep ORDER BY item_id) AS r1,
+   row_number() OVER (PARTITION BY scorer_a, scorer_b, rep ORDER BY md5('{seed}|' || rep || '|' || scorer_a || '|' || scorer_b || '|' || item_id)) AS r2 FROM rp),
+nc AS (SELECT x.scorer_a, x.scorer_b, x.rep, x.a, y.b, count(*) AS c FROM rk x JOIN rk y ON x.scorer_a = y.scorer_a
+   AND x.scorer_b = y.scorer_b AND x.rep = y.rep AND x.r1 = y.r2 GROUP BY ALL),
+ni AS (SELECT scorer_a, scorer_b, rep, sum(c * (c - 1) / 2e0) AS idx FROM nc GROUP BY ALL),
+na AS (SELECT scorer_a, scorer_b, rep, CASE WHEN (pa + pb) / 2 - ex = 0 THEN 1e0 ELSE (ni.idx - ex) / ((pa + pb) / 2 - ex) END AS ari
+   FROM ni JOIN ag USING (scorer_a, scorer_b)),
+nu AS (SELECT scorer_a, scorer_b, avg(ari) AS null_mean, stddev_pop(ari) AS null_sd FROM na GROUP BY ALL)"""
+
+
+@query("partition_agreement_null", "M12", oracle_with("partitions", P1 + A1 + MOMENTS.format(k="scorer_a, scorer_b") + NULL.format(n=500, seed="ari") + """
 SELECT scorer_a, scorer_b, n_items, round(raw, 9) AS raw, round(ari, 9) AS ari, round(nmi, 9) AS nmi, groups_a, groups_b,
-  round(null_sd, 7) AS null_sd, round(ari / null_sd, 4) AS z
-FROM agr JOIN nu USING (scorer_a, scorer_b)"""))
+  round(null_mean, 9) AS null_mean, round(null_sd, 9) AS null_sd, round((ari - null_mean) / null_sd, 6) AS z,
+  round(exact_sd, 7) AS exact_sd, round(ari / exact_sd, 4) AS exact_z
+FROM agr JOIN nu USING (scorer_a, scorer_b) JOIN mm USING (scorer_a, scorer_b)"""))
 def _agreement_null(spark, d):
-    out = T.agreement_with_null(pairs(spark, d), SC)
-    return rounded(rounded(rounded(out, 9, "raw", "ari", "nmi"), 7, "null_sd"), 4, "z")
+    out = T.agreement_with_permutations(pairs(spark, d), SC, 500)
+    out = rounded(rounded(out, 9, "raw", "ari", "nmi", "null_mean", "null_sd"), 6, "z")
+    return rounded(rounded(out, 7, "exact_sd"), 4, "exact_z")
 
 
 @query("partition_agreement_draws", "M12")
