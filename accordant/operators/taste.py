@@ -25,6 +25,8 @@ PROFILE_RATINGS = 10
 MIN_RATERS = 200
 MIN_RATINGS = 5
 NULL_DRAWS = 60
+# dealt ratings that one group ranks, about
+_DEALT_ROWS = 200_000
 ALPHAS = tuple(np.logspace(-2, 3, 20))
 
 
@@ -374,8 +376,13 @@ def one_way_icc(values: DataFrame, keys: Sequence[str], group: str = "user_id",
     """One-way random-effects ICC of unequal groups, from counts, sums and squares."""
     keys = list(keys)
     v = F.col(value)
-    g = values.groupBy(*keys, group).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q")).filter(F.col("n") >= 2)
+    return _icc_of_sums(values.groupBy(*keys, group).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q")), keys)
+
+
+def _icc_of_sums(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same from every group's count ``n``, sum ``s`` and sum of squares ``q``."""
+    g = sums.filter(F.col("n") >= 2)
     t = g.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum("s").alias("s"),
         F.sum(F.col("s") * F.col("s") / F.col("n")).alias("sm"), F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("sw"),
@@ -393,6 +400,49 @@ def spearman_brown(icc: Column, n: Column) -> Column:
     return F.when(icc.isNull() | (icc <= 0), 0.0).otherwise(n * icc / (1 + (n - 1) * icc))
 
 
+def _dealt(pool: DataFrame, draws: int, seed: str) -> DataFrame:
+    """(draw, user_id, film_id, weight): every draw's ratings with their new raters.
+
+    Ratings split by leading digits of their digest, as in ``distributed_rank``.  Digests are
+    uniform, so a split's ranks lie close together in all draws, and the raters seated there
+    come along with it: a rating's new rater is known where its rank is.
+    """
+    digits = max(1, round(np.log(max(pool.count() * draws, 1) / _DEALT_ROWS) / np.log(16)))
+    h = F.col("_h")
+    dealt = pool.select("user_id", "film_id", "weight", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn(
+        "_h", hash_hex(seed, "draw", "user_id", "film_id"))
+    # 120 bits of the digest
+    part = lambda lo: F.conv(F.substring(h, lo, 15), 16, 10).cast("bigint")
+    dealt = dealt.select(
+        F.conv(F.substring(h, 1, digits), 16, 10).cast("int").alias("_b"), "draw", part(1).alias("_k"), part(16).alias("_l"), "film_id", "weight")
+    counts = dealt.groupBy("draw", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("draw").orderBy("_b")) - F.col("_n")
+    counts = cut_lineage(counts.withColumn("_at", before))  # a row per draw and split
+    block = _DEALT_ROWS // max(draws, 1) + 1
+    reach = counts.groupBy("_b").agg(F.min("_at").alias("lo"), F.max(F.col("_at") + F.col("_n")).alias("hi")).select(
+        "_b", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block))).alias("_block"))
+    seats = pool.select("seat", "user_id", F.floor(F.col("seat") / block).alias("_block")).join(reach, "_block").select(
+        "_b", F.lit(-1).alias("draw"), F.col("seat").alias("_at"), "user_id")
+    user, film = (pool.schema[c].dataType for c in ("user_id", "film_id"))
+    known = seats.unionByName(counts.select("_b", "draw", "_at", F.lit(None).cast(user).alias("user_id")))
+
+    def deal(rows: pa.Table, known: pa.Table) -> pa.Table:
+        draw, kind, at = rows.column("draw").to_numpy(), known.column("draw").to_numpy(), known.column("_at").to_numpy()
+        order = np.lexsort((rows.column("_l").to_numpy(), rows.column("_k").to_numpy(), draw))
+        draw = draw[order]
+        first = np.zeros(draws, np.int64)
+        first[kind[kind >= 0]] = at[kind >= 0]
+        seat = first[draw] + np.arange(len(draw)) - np.searchsorted(draw, np.arange(draws))[draw] + 1
+        held = np.flatnonzero(kind < 0)
+        held = held[np.argsort(at[held])]
+        return pa.table({
+            "draw": draw, "user_id": known.column("user_id").take(held[np.searchsorted(at[held], seat)]),
+            "film_id": rows.column("film_id").take(order), "weight": rows.column("weight").take(order)})
+
+    ddl = f"draw int, user_id {user.simpleString()}, film_id {film.simpleString()}, weight double"
+    return dealt.groupBy("_b").cogroup(known.groupBy("_b")).applyInArrow(deal, ddl)
+
+
 def person_placement(
     preferences: DataFrame, positions: DataFrame, reactions: DataFrame, draws: int = NULL_DRAWS,
     min_ratings: int = MIN_RATINGS, min_raters: int = 20, seed: str = "7",
@@ -401,22 +451,26 @@ def person_placement(
     ratings, whether the axis places people, and the liked-share control.
 
     A draw hands the pooled ratings back in the same group sizes: the rating at hash
-    rank r goes to the rater of the rating at static rank r.
+    rank r goes to the rater of the rating at static rank r.  Dealt ratings are shuffled
+    twice, as narrow rows: to be ranked and to their new raters.
     """
-    axes = positions.agg(F.count_distinct("factor_id")).scalar()
-    placed = positions.groupBy("film_id").agg(F.count_distinct("factor_id").alias("_n")).filter(F.col("_n") == axes).select("film_id")
-    usable = preferences.join(placed, "film_id", "left_semi").select("user_id", "film_id", "weight")
-    raters = usable.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_ratings)
+    axes = [r[0] for r in positions.select("factor_id").distinct().orderBy("factor_id").collect()]  # a handful
+    at = lambda k: F.max(F.when(F.col("factor_id") == axes[k], F.col("position")))
+    places = positions.groupBy("film_id").agg(*[at(k).alias(f"_p{k}") for k in range(len(axes))])
+    places = cut_lineage(places.dropna(subset=[f"_p{k}" for k in range(len(axes))]))
+    usable = preferences.join(places.select("film_id"), "film_id", "left_semi").select("user_id", "film_id", "weight")
+    raters = cut_lineage(usable.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_ratings))
     pool = usable.join(raters.select("user_id"), "user_id", "left_semi")
     pool = cut_lineage(distributed_rank(pool.withColumn("_h", hash_hex("seat", "user_id", "film_id")), [], "_h", "seat").drop("_h"))
     n_raters = raters.agg(F.count(F.lit(1))).scalar()
-    dealt = pool.select("user_id", "film_id", "weight", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    dealt = distributed_rank(dealt.withColumn("_h", hash_hex(seed, "draw", "user_id", "film_id")), ["draw"], "_h", "seat").drop("_h", "user_id")
-    dealt = cut_lineage(dealt).join(pool.select("seat", "user_id"), "seat").select("draw", "user_id", "film_id", "weight")
-    rows = pool.select(F.lit(-1).alias("draw"), "user_id", "film_id", "weight").unionByName(dealt)
-    values = rows.join(positions.select("film_id", "factor_id", "position"), "film_id").select(
-        "draw", "factor_id", "user_id", (F.col("weight") * F.col("position")).alias("v"))
-    rel = one_way_icc(values, ["draw", "factor_id"]).select("draw", "factor_id", spearman_brown(F.col("icc"), F.col("size")).alias("rel"))
+    rows = pool.select(F.lit(-1).alias("draw"), "user_id", "film_id", "weight").unionByName(_dealt(pool, draws, seed))
+    v = lambda k: F.col("weight") * F.col(f"_p{k}")
+    # a row per placed film goes to the ratings, which lie by rater from here on
+    per = rows.repartition("user_id").join(F.broadcast(places), "film_id").groupBy("draw", "user_id").agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        F.array(*[F.struct(F.lit(f).alias("factor_id"), F.sum(v(k)).alias("s"), F.sum(v(k) * v(k)).alias("q")) for k, f in enumerate(axes)]).alias("_a"))
+    sums = per.select("draw", "user_id", "n", F.explode("_a").alias("_a")).select("draw", "user_id", "n", "_a.*")
+    rel = _icc_of_sums(sums, ["draw", "factor_id"]).select("draw", "factor_id", spearman_brown(F.col("icc"), F.col("size")).alias("rel"))
     liked = reactions.withColumn("w", lookup("reaction", REACTION_WEIGHTS)).filter("w <> 0").join(
         raters.select("user_id"), "user_id", "left_semi").select("user_id", F.when(F.col("w") > 0, 1.0).otherwise(0.0).alias("v"))
     control = one_way_icc(liked, []).agg(F.first("icc")).scalar()
