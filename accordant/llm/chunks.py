@@ -132,6 +132,57 @@ def _joined(tok, words: list[str]) -> list:
     return [ids[cuts[i] : cuts[i + 1]] for i in range(len(words))]
 
 
+def _token_bytes(tok) -> np.ndarray | None:
+    """Bytes that each id stands for, where ids of a text spell its very bytes; else None."""
+    import json
+
+    made = json.loads(tok.to_str())
+    first = made["pre_tokenizer"] or {}
+    if made["normalizer"] or made["post_processor"] or first.get("type") != "ByteLevel":
+        return None
+    if not all(t["special"] for t in made["added_tokens"]):  # special ones are ordinary text here
+        return None
+    if first.get("add_prefix_space") or not first.get("use_regex") or not hasattr(tok, "encode_batch_fast"):
+        return None
+    vocab = tok.get_vocab()
+    sizes = np.zeros(max(vocab.values(), default=-1) + 1, np.int64)
+    for token, i in vocab.items():  # a character of a byte-level token is a byte
+        sizes[i] = len(token)
+    return sizes
+
+
+def _is_run(s: str) -> bool:
+    """Begins with one space and ends with none, so the next one's space begins a token."""
+    return len(s) > 1 and s[0] == " " and not s[1].isspace() and not s[-1].isspace()
+
+
+def _spelled(tok, sizes: np.ndarray, runs: list[str]) -> list | None:
+    """Ids of each of ``runs`` out of one call over all of them, told apart by the bytes that
+    ids stand for; None if a token lies across two runs."""
+    ids = tok.encode_batch_fast(["".join(runs)], add_special_tokens=False)[0].ids
+    ends = np.cumsum(sizes[np.array(ids, np.int64)])
+    wanted = np.cumsum(np.fromiter((len(s.encode()) for s in runs), np.int64, len(runs)))
+    cuts = np.searchsorted(ends, wanted, side="right")
+    if not len(ends) or ends[-1] != wanted[-1] or (ends[cuts - 1] != wanted).any():
+        return None
+    at = [0, *cuts.tolist()]
+    return [ids[a:b] for a, b in zip(at, at[1:])]
+
+
+def _encode_bytes(tok, sizes: np.ndarray, strings: list[str]) -> list:
+    """``_encode`` where ids spell the bytes of a text."""
+    runs = [i for i, s in enumerate(strings) if _is_run(s)]
+    found: list = [None] * len(strings)
+    for at in range(0, len(runs), 1000):
+        part = runs[at : at + 1000]
+        for i, ids in zip(part, _spelled(tok, sizes, [strings[i] for i in part]) or [], strict=False):
+            found[i] = ids
+    rest = [i for i, f in enumerate(found) if f is None]
+    for i, e in zip(rest, tok.encode_batch_fast([strings[i] for i in rest], add_special_tokens=False), strict=True):
+        found[i] = e.ids
+    return found
+
+
 def _encode(tok, spaced: bool, strings: list[str]) -> list:
     """Words are encoded many at a time, anything else on its own."""
     whole = strings if spaced else [f" {s}" for s in strings]
@@ -160,5 +211,7 @@ def json_encoder(path: str, spaced: bool, most: int | None = None) -> StretchEnc
         tok.encode_special_tokens = True
         # where the tokenizer lower-cases anyway, stretches that differ in case are one
         lowers = "Lowercase" in repr(tok.normalizer)
-        _LOADED[path, spaced] = StretchEncoder(lambda s: _encode(tok, spaced, s), spaced, most, lowers)
+        sizes = _token_bytes(tok) if spaced else None
+        encode = (lambda s: _encode(tok, spaced, s)) if sizes is None else (lambda s: _encode_bytes(tok, sizes, s))
+        _LOADED[path, spaced] = StretchEncoder(encode, spaced, most, lowers)
     return _LOADED[path, spaced]

@@ -214,3 +214,21 @@ def test_odd_tables(spark, odd, byte_tok, word_tok, multi_tok, tmp_path):
     assert token_files.read(spark, str(tmp_path / "none")).count() == 0
     assert packing.pack(none, P.path(queries.WORD_BPE)).count() == 0
     assert prefix_bpe.encode(none, P.path(queries.MULTI_BPE), P.PATTERN).count() == 0
+
+
+def test_words_of_one_call_are_told_apart_by_bytes(monkeypatch):
+    """op3_token_files: runs that begin with a space are encoded together, without offsets."""
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    sizes = chunks._token_bytes(tok)
+    assert sizes is not None and chunks._token_bytes(Tokenizer.from_file(P.path("word_bpe_49k.json"))) is None
+    strings = [" plain", " it's", "word", " a.\nB", " tail\n", "  two", " ", "", " été中\U0001f600", " <|endoftext|>", " 12 3", " x\x1c", " '", " s"]
+    want = [e.ids for e in tok.encode_batch(strings, add_special_tokens=False)]
+    monkeypatch.setattr(chunks, "_joined", None)
+    assert chunks._encode_bytes(tok, sizes, strings) == want
+    runs = [s for s in strings if chunks._is_run(s)]
+    assert chunks._spelled(tok, sizes, runs) == [w for s, w in zip(strings, want) if chunks._is_run(s)] and len(runs) == 8
+    assert chunks._spelled(tok, sizes, ["un", "der"]) is None
