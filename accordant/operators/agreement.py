@@ -241,6 +241,15 @@ def missing_answers(asked: DataFrame, answered: DataFrame, keys: Sequence[str])
     return asked.join(answered.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def missing_of_bank(answered: DataFrame, bank: Column, respondent: str = "film_id", item: str = "item_id") -> DataFrame:
+    """``missing_answers`` where every respondent of ``answered`` is asked the whole ``bank``,
+    an array: a respondent's answers are one row, so the asked pairs meet nothing and are
+    neither shuffled nor sorted.  A missing respondent has answered nothing."""
+    got = answered.groupBy(respondent).agg(F.collect_set(item).alias("_got"))
+    left = F.when(F.col(respondent).isNull(), bank).otherwise(F.array_except(bank, "_got"))
+    return got.select(respondent, F.explode(left).alias(item))
+
+
 def incomplete_respondents(
     asked: DataFrame, answered: DataFrame, slice_size: int = 20
 ) -> DataFrame:

@@ -244,14 +244,17 @@ SELECT f.film_id, i.item_id FROM fs f CROSS JOIN items i
   WHERE NOT EXISTS (SELECT 1 FROM verdicts v WHERE v.film_id = f.film_id AND v.item_id = i.item_id)"""))
 def _missing(spark, d):
     v = verdicts(spark, d)
-    asked = asked_grid(v.select("film_id").distinct(), bind(spark, d, "items"))
-    return A.missing_answers(asked, v, ["film_id", "item_id"])
+    return A.missing_of_bank(v, bank_list(bind(spark, d, "items")))
+
+
+def bank_list(bank):
+    """All items in order; the item guard bounds them."""
+    return bank.agg(F.sort_array(F.collect_list("item_id")).alias("b")).scalar()
 
 
 def asked_grid(respondents, bank):
-    """Every respondent is asked the whole bank: explode the bank, whose size the item guard bounds."""
-    bank_list = bank.agg(F.sort_array(F.collect_list("item_id")).alias("b")).scalar()
-    return respondents.select("*", F.explode(bank_list).alias("item_id"))
+    """Every respondent is asked the whole bank."""
+    return respondents.select("*", F.explode(bank_list(bank)).alias("item_id"))
 
 
 @query("incomplete_answers", "T15", oracle_with("verdicts items", """
