@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordant.operators.cells import MAX_STRENGTH, ZERO
+from accordant.session import cut_lineage
 
 # Reaction -> signed weight.
 REACTION_WEIGHTS: Mapping[str, float] = {
@@ -23,6 +24,10 @@ LEAN_THRESHOLD = 0.6
 PLAIN_LEAN = 0.12
 NEIGHBOUR_PRIOR = 0.5
 MIN_FILMS_FOR_A_READ = 3
+# a task of the neighbour scores sums about this many hits
+HITS_PER_TASK = 4_000_000
+# up to this many edges, rows of three numbers, go to every executor
+EDGES_SENT = 3_000_000
 
 
 def lookup(col: str | Column, table: Mapping[str, float]) -> Column:
@@ -183,15 +188,25 @@ def person_scores(
         F.coalesce("films", F.lit(0)).alias("films"), (mass / (mass + PRIOR_ITEMS)).alias("confidence"))
 
 
-def neighbour_scores(weights: DataFrame, edges: DataFrame, prior: float = NEIGHBOUR_PRIOR) -> DataFrame:
+def neighbour_scores(
+    weights: DataFrame, edges: DataFrame, prior: float = NEIGHBOUR_PRIOR, per_task: int = HITS_PER_TASK, sent: int = EDGES_SENT,
+) -> DataFrame:
     """Similarity-weighted mean of a person's own weights over a film's neighbours.
 
-    Films with no rated neighbour score 0 and are left out.
+    Films with no rated neighbour score 0 and are left out.  All hits of a person lie in one
+    task and the tasks are as many as keep each near ``per_task`` hits, so what a task sums
+    does not grow with the tables.  Up to ``sent`` edges go to every executor and no hit is shuffled.
     """
-    w = weights.filter(F.col("weight") != 0)
-    hits = edges.join(w, edges.dst == w.film_id).select(
+    w = cut_lineage(weights.filter(F.col("weight") != 0).select("user_id", "film_id", "weight"))
+    edges = cut_lineage(edges.select("dst", "src", "similarity"))
+    raters = w.groupBy(F.col("film_id").alias("dst")).agg(F.count(F.lit(1)).alias("_n"))
+    met = raters.join(edges.groupBy("dst").agg(F.count(F.lit(1)).alias("_m")), "dst").agg(F.sum(F.col("_n") * F.col("_m"))).first()[0]
+    tasks = max(1, min(-(-(met or 0) // per_task), 20_000))
+    few = edges.count() <= sent
+    mine, known = (w.repartition(tasks, "user_id"), F.broadcast(edges)) if few else (w, edges)
+    hits = mine.join(known, F.col("dst") == mine.film_id).select(
         "user_id", F.col("src").alias("film_id"), "similarity", "weight")
-    per = hits.groupBy("user_id", "film_id").agg(
+    per = (hits if few else hits.repartition(tasks, "user_id")).groupBy("user_id", "film_id").agg(
         F.sum(F.col("similarity") * F.col("weight")).alias("num"),
         F.sum(F.abs("similarity")).alias("den"), F.count(F.lit(1)).alias("consulted"))
     return per.select(
