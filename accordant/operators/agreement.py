@@ -103,8 +103,9 @@ def displacement(
     """How far a child entity moved from its parent, per variant, with the ratio
     of the summary variant's displacement to the dialogue variant's.
 
-    Distances are summed as decimals: a ratio that is exactly a limit must not pass it by
-    the order in which thirds were added.
+    Distances are summed as decimals and a ratio is held against the limits at twelve
+    places: one that is exactly a limit must not pass it by the order in which thirds were
+    added, nor by how they are stored.
     """
     keys = list(keys)
     p = cells.join(pairs, cells.film_id == pairs.parent_id).select(
@@ -121,10 +122,10 @@ def displacement(
     pick = lambda v: F.max(F.when(F.col("variant") == v, F.col("displacement")))
     ratio = per.groupBy(*keys, "parent_id", "child_id").agg(
         _ratio(pick(summary), pick(dialogue)).alias("summary_inflation"))
+    held = F.round("summary_inflation", 12)
     reading = (
-        F.when(F.col("summary_inflation").isNull(), None)
-        .when(F.col("summary_inflation") > INFLATES, "exaggerates")
-        .when(F.col("summary_inflation") < DEFLATES, "understates").otherwise("agrees"))
+        F.when(held.isNull(), None).when(held > INFLATES, "exaggerates")
+        .when(held < DEFLATES, "understates").otherwise("agrees"))
     return per.join(ratio, [*keys, "parent_id", "child_id"]).withColumn("reading", reading)
 
 
