@@ -17,6 +17,9 @@ Prefixes of a very long word would take memory in the square of its length. Word
 ``LONG`` letters are therefore named by running polynomial hashes instead of numbers, and
 their pairs are held against the letters before they count.
 
+Tables of places hold many rows a word, which Spark's sizes of compressed and exploded tables
+do not tell; so their joins are merges by hint, and no table of words or places is broadcast.
+
 Defined results: null and empty texts have no words; a missing id reads as the empty string;
 repeated rows count each; ties for a form go to the smaller word in code-point order.
 """
@@ -104,7 +107,7 @@ def trie_pairs(words: DataFrame) -> DataFrame:
     fore = numbered(words, prefixes).select(F.col("name").alias("prefix"), F.col("number").alias("p"))
     back = numbered(words, rests).select(F.col("name").alias("rest"), F.col("number").alias("s"))
     each = words.select("word", "n", F.explode(F.arrays_zip(prefixes.alias("prefix"), rests.alias("rest"), places.alias("i"))).alias("at"))
-    each = each.select("word", "n", "at.*").join(fore, "prefix").join(back, "rest")
+    each = each.select("word", "n", "at.*").join(fore.hint("merge"), "prefix").join(back.hint("merge"), "rest")
     held = each.groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("i", "p", "s"))).alias("nodes"))  # LONG + 1 at most
     return cut_lineage(held.select("word", "n", F.col("nodes.p").alias("p"), F.col("nodes.s").alias("s")))
 
@@ -121,7 +124,7 @@ def near_short(words: DataFrame) -> DataFrame:
     )
     first = (F.col("i") == 0) | (F.expr("substring(word, i + 1, 1)") != F.expr("substring(word, i, 1)"))
     inserted = nodes.select(F.col("word").alias("less"), F.col("n").alias("m"), F.explode(F.arrays_zip("p", "s")).alias("at"))
-    pairs = skipped.filter(first).join(inserted.select("less", "m", "at.p", "at.s"), ["p", "s"])
+    pairs = skipped.filter(first).join(inserted.select("less", "m", "at.p", "at.s").hint("merge"), ["p", "s"])
     return replaced.union(both_ways(pairs.select("word", "n", "less", "m")))
 
 
@@ -193,10 +196,10 @@ def near_long(words: DataFrame) -> DataFrame:
     skipped = rows.filter("skip = 1").select("number", *by)
     other = rows.select("skip", F.col("number").alias("other"), *by)
     # replaced letters once, from the smaller number; lost ones always
-    pairs = skipped.join(other, by).filter("skip = 0 or number < other").select("number", "other").distinct()
+    pairs = skipped.join(other.hint("merge"), by).filter("skip = 0 or number < other").select("number", "other").distinct()
     a = named.select("number", "word", "n")
     b = named.select(F.col("number").alias("other"), F.col("word").alias("less"), F.col("n").alias("m"))
-    met = pairs.join(a, "number").join(b, "other").select("word", "n", "less", "m")
+    met = pairs.join(a.hint("merge"), "number").join(b.hint("merge"), "other").select("word", "n", "less", "m")
     return both_ways(met.mapInArrow(true, "word string, n long, less string, m long"))
 
 
@@ -205,7 +208,7 @@ def forms_of(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     near = near_short(words.filter(F.length("word") <= LONG)).union(near_long(words.filter(F.length("word") >= LONG)))
     near = near.groupBy("word").agg(F.sum("near").alias("n_near"), F.min("best").alias("best"))
     fits = -F.col("best.k") >= ratio * F.col("n")
-    return words.join(near, "word", "left").select(
+    return words.join(near.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
         F.when(fits, F.col("best.word")).alias("form"), F.when(fits, -F.col("best.k")).alias("form_n"),
     )
@@ -219,9 +222,9 @@ def roots(forms: DataFrame) -> DataFrame:
     to = cut_lineage(forms.filter("form is not null").select("word", F.col("form").alias("root")))
     while True:
         on = to.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        if to.join(on, "root", "left_semi").isEmpty():
+        if to.join(on.hint("merge"), "root", "left_semi").isEmpty():
             return to
-        to = cut_lineage(to.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root")))
+        to = cut_lineage(to.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root")))
 
 
 def variant_groups(
@@ -232,4 +235,4 @@ def variant_groups(
     word if that is ``ratio`` times as frequent, and the word at the end of that way."""
     words = cut_lineage(word_counts(texts(docs, id_col, text_col), least_letters, least_count, slips))
     forms = cut_lineage(forms_of(words, ratio))
-    return forms.join(roots(forms), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return forms.join(roots(forms).hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
